@@ -28,14 +28,35 @@ def alert_context(now: Column | None = None) -> list[Column]:
     ]
 
 
+FIRED, VARIANT = "_fired", "_variant"
+
+
+def with_fired(telemetry: DataFrame, book: RuleBook) -> DataFrame:
+    """Adds what each reading raises, as bits."""
+    return telemetry.withColumn(FIRED, book.fired())
+
+
+def with_primary(df: DataFrame, book: RuleBook, fired: Column | None = None) -> DataFrame:
+    """Looks up the primary alert, after ``with_fired``.
+
+    ``fired`` overrides that column; where it is NULL there is no alert.
+    """
+    fired = F.col(FIRED) if fired is None else fired
+    return df.select(
+        "*",
+        *book.look_up(book.primary_variant(fired)),
+        book.total(fired).alias("total_alerts"),
+        book.others(fired).alias("additional_alerts"),
+    )
+
+
 def primary_alert_columns(book: RuleBook, now: Column | None = None) -> list[Column]:
-    """The fields of a reading's primary alert; only meaningful where a rule fires."""
-    total = book.total()
+    """The fields of the primary alert, after ``with_primary``."""
     return [
-        *book.describe(book.primary()),
+        *book.describe(),
         *alert_context(now),
-        total.alias("total_alerts"),
-        book.others(total).alias("additional_alerts"),
+        F.col("total_alerts"),
+        F.col("additional_alerts"),
     ]
 
 
@@ -47,9 +68,12 @@ def alerts_primary(
     Row-local: no shuffle, and usable on a stream in append mode.
     """
     book = RuleBook(rules)
-    return telemetry.where(book.any_fires()).select(
-        "event_id", *primary_alert_columns(book, now)
+    # Exploding none or one element, since a filter would be pushed below the
+    # projection and evaluate every condition a second time.
+    raised = with_fired(telemetry, book).withColumn(
+        FIRED, F.explode(F.array_remove(F.array(FIRED), F.lit(0).cast("bigint")))
     )
+    return with_primary(raised, book).select("event_id", *primary_alert_columns(book, now))
 
 
 def alerts_all(
@@ -57,12 +81,9 @@ def alerts_all(
 ) -> DataFrame:
     """One row per reading and rule that fires, from a single pass over the readings."""
     book = RuleBook(rules)
-    fired = (
-        telemetry.where(book.any_fires())
-        .withColumn("_code", F.explode(F.array(*book.codes)))
-        .where(F.col("_code").isNotNull())
-    )
-    return fired.select("event_id", *book.describe(F.col("_code")), *alert_context(now))
+    fired = telemetry.withColumn(VARIANT, F.explode(book.each_variant()))
+    described = fired.select("*", *book.look_up(F.col(VARIANT)))
+    return described.select("event_id", *book.describe(), *alert_context(now))
 
 
 def rule_alerts(
@@ -75,10 +96,7 @@ def rule_alerts(
     wanted = [rule for rule in rules if rule.alert_type == alert_type]
     if not wanted:
         raise ValueError(f"no rule raises {alert_type}")
-    book = RuleBook(wanted)
-    return telemetry.where(book.any_fires()).select(
-        "event_id", *book.describe(book.primary()), *alert_context(now)
-    )
+    return alerts_all(telemetry, wanted, now)
 
 
 def alerts_wire(alerts: DataFrame) -> DataFrame:

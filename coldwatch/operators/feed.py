@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coldwatch.operators.alerts import primary_alert_columns
+from coldwatch.operators.alerts import FIRED, primary_alert_columns, with_fired, with_primary
 from coldwatch.operators.rules import DEFAULT_RULES, Rule, RuleBook
 from coldwatch.schemas import (
     ALERT_RULE_FIELDS,
@@ -47,25 +47,22 @@ def feed_from_readings(
     ``keep`` names further columns of the readings to carry along.
     """
     book = RuleBook(rules)
-    alert = F.when(book.any_fires(), F.struct(*primary_alert_columns(book, now)))
-    both = telemetry.withColumn("alert", alert).withColumn(
-        "topic",
-        F.explode(
-            F.when(
-                F.col("alert").isNotNull(),
-                F.array(F.lit(TELEMETRY_TOPIC), F.lit(ALERTS_TOPIC)),
-            ).otherwise(F.array(F.lit(TELEMETRY_TOPIC)))
-        ),
+    one, both = F.array(F.lit(TELEMETRY_TOPIC)), F.array(F.lit(TELEMETRY_TOPIC), F.lit(ALERTS_TOPIC))
+    tagged = with_fired(telemetry, book).withColumn(
+        "topic", F.explode(F.when(F.col(FIRED) == 0, one).otherwise(both))
     )
     is_alert = F.col("topic") == ALERTS_TOPIC
+    # On the reading's own row nothing counts as fired, so the alert fields are NULL.
+    looked_up = with_primary(tagged, book, F.when(is_alert, F.col(FIRED)))
+    alert = dict(zip(PRIMARY_ALERT_FIELDS, primary_alert_columns(book, now)))
 
     def field(name: str) -> Column:
-        own = F.col("ts" if name == "timestamp" else name) if name in _SENSOR_FIELDS else None
-        if name not in PRIMARY_ALERT_FIELDS:
-            return F.when(~is_alert, own).alias(name)
-        from_alert = F.when(is_alert, F.col(f"alert.{name}"))
-        return (from_alert if own is None else from_alert.otherwise(own)).alias(name)
+        if name in _ALERT_ONLY:
+            return alert[name].alias(name)
+        own = F.col("ts" if name == "timestamp" else name)
+        mine = F.when(~is_alert, own)
+        return (mine.otherwise(alert[name]) if name in alert else mine).alias(name)
 
-    return both.select(
+    return looked_up.select(
         "topic", "event_id", *[field(name) for name in [*_SENSOR_FIELDS, *_ALERT_ONLY]], *keep
     )

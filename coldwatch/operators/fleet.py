@@ -19,7 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldwatch.functions.time import not_older_than
-from coldwatch.operators.alerts import alert_context, primary_alert_columns
+from coldwatch.operators.alerts import (
+    FIRED,
+    alert_context,
+    primary_alert_columns,
+    with_fired,
+    with_primary,
+)
 from coldwatch.operators.rules import DEFAULT_RULES, Rule, RuleBook
 from coldwatch.schemas import (
     ALERT_CONTEXT_FIELDS,
@@ -37,34 +43,43 @@ DEFAULT_MAX_AGE_SECONDS = 30
 _ORDER = ["ts", "topic_rank", "event_id"]
 
 
-def _telemetry_state() -> Column:
+def _reading_state(overwritten: Column, now: Column | None = None) -> Column:
+    """The state a reading leaves, or that of its alert where that overwrites it.
+
+    An alert tells where the truck is, but not what its sensors read.
+    """
+    told = dict(zip(ALERT_CONTEXT_FIELDS, alert_context(now)))
+
+    def either(own: Column, from_alert: Column | None) -> Column:
+        chosen = F.when(~overwritten, own)
+        return chosen if from_alert is None else chosen.otherwise(from_alert)
+
     return F.struct(
-        F.col("ts").alias("last_seen"),
+        either(F.col("ts"), told["timestamp"]).alias("last_seen"),
         F.col("latitude"),
         F.col("longitude"),
-        F.coalesce(F.col("speed_kmh"), F.lit(0.0)).alias("speed_kmh"),
-        F.coalesce(F.col("temperature_c"), F.col(LEGACY_TEMPERATURE)).alias("temperature_c"),
-        F.col("fuel_level_pct"),
-        F.col("door_status"),
-        F.col("status"),
-        F.col("driver_id"),
-        F.col("route_id"),
+        either(F.coalesce(F.col("speed_kmh"), F.lit(0.0)), F.lit(0.0)).alias("speed_kmh"),
+        either(F.coalesce("temperature_c", LEGACY_TEMPERATURE), None).alias("temperature_c"),
+        either(F.col("fuel_level_pct"), None).alias("fuel_level_pct"),
+        either(F.col("door_status"), None).alias("door_status"),
+        either(F.col("status"), told["status"]).alias("status"),
+        either(F.col("driver_id"), told["driver_id"]).alias("driver_id"),
+        either(F.col("route_id"), told["route_id"]).alias("route_id"),
     )
 
 
-def _alert_state(timestamp: Column, status: Column, driver_id: Column, route_id: Column) -> Column:
-    """An alert tells where the truck is, but not what its sensors read."""
+def _alert_state() -> Column:
     return F.struct(
-        timestamp.alias("last_seen"),
+        F.col("timestamp").alias("last_seen"),
         F.col("latitude"),
         F.col("longitude"),
         F.lit(0.0).alias("speed_kmh"),
         F.lit(None).cast("double").alias("temperature_c"),
         F.lit(None).cast("double").alias("fuel_level_pct"),
         F.lit(None).cast("string").alias("door_status"),
-        status.alias("status"),
-        driver_id.alias("driver_id"),
-        route_id.alias("route_id"),
+        F.col("status"),
+        F.col("driver_id"),
+        F.col("route_id"),
     )
 
 
@@ -79,67 +94,71 @@ def topic_messages(telemetry: DataFrame, alerts: DataFrame) -> DataFrame:
         "ts",
         F.lit(TOPICS.index(TELEMETRY_TOPIC)).alias("topic_rank"),
         "event_id",
-        _telemetry_state().alias("state"),
+        _reading_state(overwritten=F.lit(False)).alias("state"),
     )
     raised = _known_trucks(alerts).select(
         "truck_id",
         F.col("timestamp").alias("ts"),
         F.lit(TOPICS.index(ALERTS_TOPIC)).alias("topic_rank"),
         "event_id",
-        _alert_state(
-            F.col("timestamp"), F.col("status"), F.col("driver_id"), F.col("route_id")
-        ).alias("state"),
+        _alert_state().alias("state"),
         F.struct(*PRIMARY_ALERT_FIELDS).alias("alert"),
     )
     return readings.unionByName(raised, allowMissingColumns=True)
 
 
-def reading_messages(
+def latest_from_readings(
     telemetry: DataFrame,
     rules: Sequence[Rule] = DEFAULT_RULES,
     now: Column | None = None,
     sensors_only: bool = False,
 ) -> DataFrame:
-    """Messages straight from telemetry, deriving the alerts in the same scan.
+    """``latest_per_truck`` straight from telemetry, deriving the alerts in the same scan.
 
     A reading's alert has the reading's time and outranks it, so only the later
-    of the two can decide the state: one row per reading, not two. With
+    of the two can decide the state: one message per reading, not two. With
     ``sensors_only`` alerts are carried along but do not overwrite the state.
+
+    What travels through the aggregation is the reading. Alert texts are made
+    afterwards, for the one reading per truck that is left.
     """
     book = RuleBook(rules)
-    alerted = book.any_fires()
-    alert = F.when(alerted, F.struct(*primary_alert_columns(book, now)))
-    told = dict(zip(ALERT_CONTEXT_FIELDS, alert_context(now)))
-    from_alert = _alert_state(
-        told["timestamp"], told["status"], told["driver_id"], told["route_id"]
-    )
-    if sensors_only:
-        state, rank = _telemetry_state(), F.lit(0)
-    else:
-        state = F.when(alerted, from_alert).otherwise(_telemetry_state())
-        rank = F.when(alerted, 1).otherwise(0)
-    return _known_trucks(telemetry).select(
+    context = [c for c in ALERT_CONTEXT_FIELDS if c not in ("truck_id", "timestamp")]
+    used = list(dict.fromkeys(["ts", *context, *book.columns_used()]))
+    alerted = F.col(FIRED) != 0
+    messages = with_fired(_known_trucks(telemetry), book).select(
         "truck_id",
-        "ts",
-        rank.alias("topic_rank"),
+        F.col("ts"),
+        (F.lit(0) if sensors_only else F.when(alerted, 1).otherwise(0)).alias("topic_rank"),
         "event_id",
-        state.alias("state"),
-        alert.alias("alert"),
+        _reading_state(overwritten=F.lit(False) if sensors_only else alerted, now=now).alias(
+            "state"
+        ),
+        F.when(alerted, F.struct(FIRED, *used)).alias("alert"),
     )
+    last = _latest(messages, alert_time="ts")
+    raised = with_primary(last.select("*", "alert.*").drop("alert"), book)
+    fields = primary_alert_columns(book, now)
+    alert = F.when(F.col("alerts_seen") > 0, F.struct(*fields)).alias("alert")
+    return raised.select("truck_id", "state", alert, "alert_ts", "alerts_seen")
 
 
-def latest_per_truck(messages: DataFrame) -> DataFrame:
-    """Per truck: last ``state``, last ``alert``, its time, and the order keys."""
+def _latest(messages: DataFrame, alert_time: str) -> DataFrame:
     order = F.struct(*_ORDER)
     carries = F.col("alert").isNotNull()
     return messages.groupBy("truck_id").agg(
         F.max_by("state", order).alias("state"),
         F.max_by("alert", F.when(carries, order)).alias("alert"),
-        F.max(F.when(carries, F.col("alert.timestamp"))).alias("alert_ts"),
+        F.max(F.when(carries, F.col(f"alert.{alert_time}"))).alias("alert_ts"),
         F.count(F.when(carries, 1)).alias("alerts_seen"),
     )
 
 
+def latest_per_truck(messages: DataFrame) -> DataFrame:
+    """Per truck: last ``state``, last ``alert``, its time, and how many there were."""
+    return _latest(messages, alert_time="timestamp")
+
+
 def _alert_is_active(as_of: Column, max_age_seconds: float) -> Column:
     return (F.col("alerts_seen") > 0) & not_older_than(F.col("alert_ts"), as_of, max_age_seconds)
 

@@ -1,10 +1,13 @@
 """Threshold rules as data, compiled to column expressions.
 
 A rule names the reading it looks at, the condition under which it fires and
-its severity levels. ``RuleBook`` turns a list of rules into columns: one small
-integer code per rule, ordered by severity and then by rule position, from
-which every alert field is looked up. Nothing here leaves generated code, and
-message text is only built for readings that raise an alert.
+its severity levels. ``RuleBook`` numbers all (rule, level) pairs from most to
+least severe, equal severities in rule order, and gives each a bit. One pass
+over the conditions then yields one integer per reading: the lowest bit is the
+primary alert, the bit count is the number of alerts, and the texts are looked
+up by bit number. Operators put that integer in a column first and look up in a
+later projection, so no condition is evaluated once per alert field, and the
+generated methods stay below the size the JIT compiler accepts.
 """
 
 from __future__ import annotations
@@ -12,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,9 +39,11 @@ HEALTHY_READINGS = {
 SEVERITY_RANK = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 UNKNOWN_RANK = 99
 
-# A code is rank * _RANK_STEP + variant, so a rule list may hold this many
-# (rule, level) variants less one.
-_RANK_STEP = 1000
+# One bit per (rule, level) in a non-negative bigint.
+_MAX_VARIANTS = 63
+
+# Columns between ``look_up`` and ``describe``.
+FACT, VALUE = "_fact", "_value"
 
 
 @dataclass(frozen=True)
@@ -53,7 +57,7 @@ class Level:
 
 @dataclass(frozen=True)
 class Rule:
-    """``{v}`` in ``message`` stands for the reading."""
+    """``{v}`` in ``message`` stands for the reading, a number unless ``is_text``."""
 
     alert_type: str
     reading: str
@@ -63,6 +67,7 @@ class Rule:
     action: str
     threshold: str
     unit: str
+    is_text: bool = False
 
 
 # The eight rules, in evaluation order.
@@ -152,20 +157,22 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         action="DISPATCH_TECHNICIAN",
         threshold="ON",
         unit="status",
+        is_text=True,
     ),
 )
 
 
 def effective_readings() -> Readings:
-    """Sensor columns as the rules see them, with healthy values for silent sensors."""
-    readings = {
-        name: F.coalesce(F.col(name), F.lit(healthy)) for name, healthy in HEALTHY_READINGS.items()
-    }
-    readings["temperature_c"] = F.coalesce(
-        F.col("temperature_c"),
-        F.col(LEGACY_TEMPERATURE),
-        F.lit(HEALTHY_READINGS["temperature_c"]),
-    )
+    """Sensor columns as the rules see them, with healthy values for silent sensors.
+
+    NaN fires no rule, but compares as the largest number here, so it is taken
+    for a silent sensor as well.
+    """
+    readings = {}
+    for name, healthy in HEALTHY_READINGS.items():
+        reported = [name, LEGACY_TEMPERATURE] if name == "temperature_c" else [name]
+        value = F.coalesce(*reported, F.lit(healthy))
+        readings[name] = value if isinstance(healthy, str) else F.nanvl(value, F.lit(healthy))
     return readings
 
 
@@ -174,99 +181,115 @@ class RuleBook:
 
     def __init__(self, rules: Sequence[Rule] = DEFAULT_RULES):
         self.rules = tuple(rules)
-        self.readings = effective_readings()
-        # One entry per (rule, level); numbering follows rule order, so codes of
-        # equal severity sort by rule.
-        self._variants = [(rule, level) for rule in self.rules for level in rule.levels]
-        if not 0 < len(self._variants) < _RANK_STEP:
-            raise ValueError(f"1 to {_RANK_STEP - 1} rule levels expected")
-        self.codes = self._rule_codes()
-
-    def _fires(self, rule: Rule) -> Column:
-        # A reading a custom rule uses may be NULL: that is "does not fire".
-        return F.coalesce(rule.fires(self._reading_map(rule)), F.lit(False))
-
-    def _reading_map(self, rule: Rule) -> Readings:
-        if rule.reading in self.readings:
-            return self.readings
-        return {**self.readings, rule.reading: F.col(rule.reading)}
-
-    def _rule_codes(self) -> list[Column]:
-        """Per rule: NULL if it does not fire, else rank and variant in one integer."""
-        codes, variant = [], 0
+        levels = [(rule, level) for rule in self.rules for level in rule.levels]
+        if not 0 < len(levels) <= _MAX_VARIANTS:
+            raise ValueError(f"1 to {_MAX_VARIANTS} rule levels expected")
+        # A stable sort: equal severities stay in rule order.
+        self._variants = sorted(
+            levels, key=lambda v: SEVERITY_RANK.get(v[1].severity, UNKNOWN_RANK)
+        )
+        self._readings = effective_readings()
         for rule in self.rules:
-            numbered = []
-            for level in rule.levels:
-                rank = SEVERITY_RANK.get(level.severity, UNKNOWN_RANK)
-                numbered.append((level, F.lit(rank * _RANK_STEP + variant)))
-                variant += 1
-            code = F.lit(None).cast("int")
-            for level, number in reversed(numbered):
-                if level.only_if is None:
-                    code = number
-                else:
-                    code = F.when(level.only_if(self._reading_map(rule)), number).otherwise(code)
-            codes.append(F.when(self._fires(rule), code))
-        return codes
+            self._readings.setdefault(rule.reading, F.col(rule.reading))
+
+    def columns_used(self) -> list[str]:
+        """Columns ``describe`` reads, besides the fired bits."""
+        names = dict.fromkeys(rule.reading for rule in self.rules)
+        if "temperature_c" in names:
+            names[LEGACY_TEMPERATURE] = None
+        return list(names)
+
+    def _choose_level(self, rule: Rule, number: Callable[[int], int]) -> Column:
+        """The number of the level that applies if ``rule`` fires."""
+        chosen = None
+        for level in reversed(rule.levels):
+            mine = F.lit(number(self._variants.index((rule, level))))
+            if chosen is None or level.only_if is None:
+                chosen = mine
+            else:
+                chosen = F.when(level.only_if(self._readings), mine).otherwise(chosen)
+        return chosen
 
     # --- per reading -----------------------------------------------------
 
-    def any_fires(self) -> Column:
-        return reduce(or_, (self._fires(rule) for rule in self.rules))
+    def fired(self) -> Column:
+        """The variants a reading raises, as bits; 0 if it raises none."""
+        bits = [
+            # A condition on a missing value is NULL, which is "does not fire".
+            F.when(rule.fires(self._readings), self._choose_level(rule, lambda i: 1 << i))
+            .otherwise(F.lit(0))
+            .cast("bigint")
+            for rule in self.rules
+        ]
+        return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+    def each_variant(self) -> Column:
+        """The variants a reading raises, as an array in rule order."""
+        none = F.lit(-1)
+        numbers = [
+            F.when(rule.fires(self._readings), self._choose_level(rule, lambda i: i)).otherwise(none)
+            for rule in self.rules
+        ]
+        return F.array_remove(F.array(*numbers), none)
 
-    def total(self) -> Column:
-        """How many rules fire."""
-        return reduce(
-            lambda a, b: a + b, (F.when(c.isNotNull(), 1).otherwise(0) for c in self.codes)
-        )
+    # --- from the fired bits ---------------------------------------------
+
+    def primary_variant(self, fired: Column) -> Column:
+        """The most severe variant: the position of the lowest bit."""
+        return F.bit_count(fired.bitwiseAND(-fired) - 1)
 
-    def primary(self) -> Column:
-        """Code of the most severe alert; ties go to the earlier rule."""
-        return F.least(*self.codes) if len(self.codes) > 1 else self.codes[0]
+    def total(self, fired: Column) -> Column:
+        return F.bit_count(fired)
 
-    def others(self, total: Column) -> Column:
+    def others(self, fired: Column) -> Column:
         """Types of the alerts after the primary one, ranked; NULL if there are none."""
-        not_fired = F.lit(2**31 - 1)
-        ranked = F.sort_array(
-            F.array(
-                *[
-                    F.struct(F.coalesce(c, not_fired).alias("code"), F.lit(r.alert_type).alias("t"))
-                    for c, r in zip(self.codes, self.rules)
-                ]
-            )
-        )
-        return F.when(total > 1, F.slice(ranked, F.lit(2), total - 1)["t"])
-
-    # --- per code --------------------------------------------------------
-
-    def describe(self, code: Column) -> list[Column]:
-        """The eight rule fields of the alert with this code."""
-        variant = code % _RANK_STEP
-        facts = F.array(
-            *[
-                F.struct(
-                    F.lit(rule.alert_type).alias("alert_type"),
-                    F.lit(level.severity).alias("severity"),
-                    F.lit(rule.message.partition("{v}")[0]).alias("before"),
-                    F.lit(rule.message.partition("{v}")[2]).alias("after"),
-                    F.lit("{v}" in rule.message).alias("quotes_reading"),
-                    F.lit(rule.action).alias("action_required"),
-                    F.lit(rule.threshold).alias("threshold"),
-                    F.lit(rule.unit).alias("unit"),
-                    F.lit(level.sla_impact).alias("sla_impact"),
-                )
+        rest = fired.bitwiseAND(fired - 1)
+        names = [
+            F.when(rest.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, rule.alert_type).otherwise("")
+            for i, (rule, _) in enumerate(self._variants)
+        ]
+        return F.when(rest != 0, F.array_remove(F.array(*names), ""))
+
+    def look_up(self, variant: Column) -> list[Column]:
+        """What ``describe`` needs, as two columns: constants of the variant, and
+        the reading as text. NULL if there is no such variant."""
+        numeric = list(dict.fromkeys(r.reading for r in self.rules if not r.is_text))
+        texts = list(dict.fromkeys(r.reading for r in self.rules if r.is_text))
+        facts = self._constants(
+            [
+                {
+                    "alert_type": rule.alert_type,
+                    "severity": level.severity,
+                    "before": rule.message.partition("{v}")[0],
+                    "after": rule.message.partition("{v}")[2],
+                    "quotes_reading": "{v}" in rule.message,
+                    "action_required": rule.action,
+                    "threshold": rule.threshold,
+                    "unit": rule.unit,
+                    "sla_impact": level.sla_impact,
+                }
                 for rule, level in self._variants
             ]
         )
-        fact = F.get(facts, variant)
-        value = self._reading_text(variant)
-        message = F.concat(
-            fact["before"], F.when(fact["quotes_reading"], value).otherwise(""), fact["after"]
+        order = [*numeric, *texts]
+        slot = F.get(
+            self._constants([{"n": order.index(rule.reading)} for rule, _ in self._variants]),
+            variant,
+        )["n"]
+        value = F.coalesce(
+            self._pick(slot, numeric, "double").cast("string"),
+            self._pick(slot - len(numeric), texts, "string"),
         )
+        return [F.get(facts, variant).alias(FACT), value.alias(VALUE)]
+
+    def describe(self) -> list[Column]:
+        """The eight rule fields of an alert, after ``look_up``."""
+        fact, value = F.col(FACT), F.col(VALUE)
+        quoted = F.when(fact["quotes_reading"], value).otherwise("")
         return [
             fact["alert_type"].alias("alert_type"),
             fact["severity"].alias("severity"),
-            message.alias("alert_message"),
+            F.concat(fact["before"], quoted, fact["after"]).alias("alert_message"),
             fact["action_required"].alias("action_required"),
             fact["threshold"].alias("threshold"),
             value.alias("actual_value"),
@@ -274,14 +297,22 @@ class RuleBook:
             fact["sla_impact"].alias("sla_impact"),
         ]
 
-    def _reading_text(self, variant: Column) -> Column:
-        """The reading behind a variant as text; only the one asked for is cast."""
-        by_reading: dict[str, list[int]] = {}
-        for i, (rule, _) in enumerate(self._variants):
-            by_reading.setdefault(rule.reading, []).append(i)
-        text = None
-        for name, variants in by_reading.items():
-            cast = self.readings.get(name, F.col(name)).cast("string")
-            chosen = variant.isin(variants)
-            text = F.when(chosen, cast) if text is None else text.when(chosen, cast)
-        return text
+    @staticmethod
+    def _constants(rows: list[dict]) -> Column:
+        """A constant array of structs, as one SQL literal."""
+
+        def literal(value: str | int | bool) -> str:
+            if isinstance(value, str):
+                return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+            return str(value).lower()
+
+        structs = [
+            "named_struct(" + ", ".join(f"'{k}', {literal(v)}" for k, v in row.items()) + ")"
+            for row in rows
+        ]
+        return F.expr(f"array({', '.join(structs)})")
+
+    def _pick(self, slot: Column, names: list[str], kind: str) -> Column:
+        if not names:
+            return F.lit(None).cast(kind)
+        return F.get(F.array(*[self._readings[name].cast(kind) for name in names]), slot)

@@ -17,8 +17,7 @@ from coldwatch.operators.fleet import (
     alerts_active,
     fleet_state,
     fleet_summary,
-    latest_per_truck,
-    reading_messages,
+    latest_from_readings,
     truck_detail,
 )
 from coldwatch.operators.history import alert_history, alerts_recent, truck_recent_alerts
@@ -170,7 +169,7 @@ def q_truck_recent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _latest(spark: SparkSession, sf_dir: str, sensors_only: bool = False) -> tuple:
     telemetry = read_telemetry(spark, sf_dir)
-    latest = latest_per_truck(reading_messages(telemetry, sensors_only=sensors_only))
+    latest = latest_from_readings(telemetry, sensors_only=sensors_only)
     return latest, _as_of(telemetry)
 
 

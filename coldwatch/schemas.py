@@ -73,12 +73,21 @@ STATE_FIELDS = [
     "route_id",
 ]
 
-# Alerts as JSON carries them; used to read the alert topic back.
-ALERT_WIRE_FIELDS = [
-    (name, {"latitude": "double", "longitude": "double", "total_alerts": "int",
-            "additional_alerts": "array<string>"}.get(name, "string"))
-    for name in PRIMARY_ALERT_FIELDS
-]
+# Alerts as JSON carries them; threshold and value may be numbers or texts.
+_ALERT_TYPES = {
+    "latitude": "double",
+    "longitude": "double",
+    "total_alerts": "int",
+    "additional_alerts": "array<string>",
+}
+ALERT_WIRE_FIELDS = [(name, _ALERT_TYPES.get(name, "string")) for name in PRIMARY_ALERT_FIELDS]
+
+# Every field a message of either topic may have.
+MESSAGE_FIELDS = {
+    **dict(TELEMETRY_FIELDS),
+    LEGACY_TEMPERATURE: "double",
+    **dict(ALERT_WIRE_FIELDS),
+}
 
 _TYPES = {"string": T.StringType(), "double": T.DoubleType()}
 

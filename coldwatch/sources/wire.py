@@ -1,7 +1,9 @@
 """JSON messages: decoding with error routing, and what a reading looks like on the wire.
 
-A message is decoded once, into a variant. The text is wrapped in an object
+A message is parsed once, into typed fields. The text is wrapped in an object
 before parsing so that text after the JSON value is an error and not ignored.
+Only messages that yield no object are parsed again, to tell text that is not
+JSON from JSON that is not an object.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from coldwatch.functions.time import iso_utc, parse_utc
 from coldwatch.schemas import (
     ALERT_WIRE_FIELDS,
     LEGACY_TEMPERATURE,
+    MESSAGE_FIELDS,
     TELEMETRY_FIELDS,
 )
 
@@ -20,24 +23,29 @@ OK = "ok"
 MALFORMED = "malformed"
 NOT_OBJECT = "not_object"
 
+_DOCUMENT = "document"
+
 
 def decode(messages: DataFrame, value: str = "value") -> DataFrame:
     """Adds the parsed ``document``, its ``decode_status``, and the two outcomes
     the counters need: ``counted`` (it was JSON) and ``failed`` (it was unusable).
+
+    A field of the wrong type reads as NULL, like one that is absent.
     """
     text = F.col(value).cast("string")
-    parsed = F.try_parse_json(F.concat(F.lit('{"m":'), text, F.lit("}")))
-    looks_like_object = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
+    wrapped = F.concat(F.lit('{"m":'), text, F.lit("}"))
+    fields = ", ".join(f"{name}: {kind}" for name, kind in MESSAGE_FIELDS.items())
+    document = F.from_json(wrapped, f"m struct<{fields}>")["m"]
     status = (
-        F.when(F.col("document").isNull(), MALFORMED)
-        .when(looks_like_object, OK)
+        F.when(F.col(_DOCUMENT).isNotNull(), OK)
+        .when(F.try_parse_json(wrapped).isNull(), MALFORMED)
         .otherwise(NOT_OBJECT)
     )
     return (
-        messages.withColumn("document", parsed)
+        messages.withColumn(_DOCUMENT, document)
         .withColumn("decode_status", status)
         .withColumn("counted", F.col("decode_status") != MALFORMED)
-        .withColumn("failed", F.col("decode_status") != OK)
+        .withColumn("failed", F.col(_DOCUMENT).isNull())
     )
 
 
@@ -46,8 +54,13 @@ def decode_errors(decoded: DataFrame) -> DataFrame:
     return decoded.where(F.col("failed"))
 
 
-def _field(name: str, kind: str) -> Column:
-    return F.try_variant_get("document", f"$.m.{name}", kind)
+def _usable(decoded: DataFrame, usable_only: bool) -> DataFrame:
+    """Message fields as columns. Unfolding the document also drops messages
+    without one; filtering them out first would parse every message twice."""
+    documents = F.when(F.col(_DOCUMENT).isNotNull(), F.array(_DOCUMENT))
+    unfold = F.inline if usable_only else F.inline_outer
+    others = [c for c in decoded.columns if c not in MESSAGE_FIELDS and c != _DOCUMENT]
+    return decoded.select(*others, unfold(documents))
 
 
 def telemetry_from_wire(decoded: DataFrame, usable_only: bool = True) -> DataFrame:
@@ -56,40 +69,43 @@ def telemetry_from_wire(decoded: DataFrame, usable_only: bool = True) -> DataFra
     With ``usable_only=False`` unusable messages stay, as readings without a
     value, so that one pass can count them and evaluate the others.
     """
-    fields = {name: _field(name, kind) for name, kind in TELEMETRY_FIELDS}
-    fields[LEGACY_TEMPERATURE] = _field(LEGACY_TEMPERATURE, "double")
-    messages = decoded.where(~F.col("failed")) if usable_only else decoded
-    return messages.select(
-        *[c for c in decoded.columns if c not in fields],
-        parse_utc(fields["timestamp"]).alias("ts"),
-        *[column.alias(name) for name, column in fields.items()],
+    others = [c for c in decoded.columns if c not in MESSAGE_FIELDS and c != _DOCUMENT]
+    return _usable(decoded, usable_only).select(
+        *others,
+        parse_utc(F.col("timestamp")).alias("ts"),
+        *[name for name, _ in TELEMETRY_FIELDS],
+        LEGACY_TEMPERATURE,
     )
 
 
 def alerts_from_wire(decoded: DataFrame) -> DataFrame:
     """Alerts of the usable messages; the text ``timestamp`` becomes an instant."""
-    fields = {name: _field(name, kind) for name, kind in ALERT_WIRE_FIELDS}
-    fields["timestamp"] = parse_utc(fields["timestamp"])
-    return decoded.where(~F.col("failed")).select(
-        *[c for c in decoded.columns if c not in fields],
-        *[column.alias(name) for name, column in fields.items()],
+    others = [c for c in decoded.columns if c not in MESSAGE_FIELDS and c != _DOCUMENT]
+    return _usable(decoded, usable_only=True).select(
+        *others,
+        *[
+            parse_utc(F.col(name)).alias(name) if name == "timestamp" else F.col(name)
+            for name, _ in ALERT_WIRE_FIELDS
+        ],
     )
 
 
-def wire_problems() -> Column:
-    """Required telemetry fields that are absent or not of their type, in order.
-
-    Numbers may arrive as numeric text, but texts must be JSON strings.
-    """
+def with_wire_problems(decoded: DataFrame, value: str = "value") -> DataFrame:
+    """Adds ``problems``: required telemetry fields that are absent or not of
+    their type, in schema order. Text fields must be JSON strings."""
 
     def bad(name: str, kind: str) -> Column:
+        absent = F.col(f"{_DOCUMENT}.{name}").isNull()
         if kind != "string":
-            return _field(name, kind).isNull()
-        is_text = F.schema_of_variant(_field(name, "variant")) == "STRING"
-        return ~F.coalesce(is_text, F.lit(False))
+            return absent
+        found = F.try_variant_get("_variant", f"$.{name}", "variant")
+        return absent | ~F.coalesce(F.schema_of_variant(found) == "STRING", F.lit(False))
 
-    return F.array_compact(
-        F.array(*[F.when(bad(name, kind), F.lit(name)) for name, kind in TELEMETRY_FIELDS])
+    problems = [F.when(bad(name, kind), F.lit(name)) for name, kind in TELEMETRY_FIELDS]
+    return (
+        decoded.withColumn("_variant", F.try_parse_json(F.col(value).cast("string")))
+        .withColumn("problems", F.array_compact(F.array(*problems)))
+        .drop("_variant")
     )
 
 

@@ -22,8 +22,7 @@ from coldwatch.operators.feed import feed_from_readings
 from coldwatch.operators.fleet import (
     DEFAULT_MAX_AGE_SECONDS,
     fleet_state,
-    latest_per_truck,
-    reading_messages,
+    latest_from_readings,
 )
 from coldwatch.operators.metrics import count_messages, metrics_table
 from coldwatch.operators.rules import DEFAULT_RULES, Rule
@@ -85,7 +84,7 @@ def start_fleet_state(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keyed state, one row per truck, never evicted; a batch writes changed trucks only."""
-    latest = latest_per_truck(reading_messages(telemetry, rules, now))
+    latest = latest_from_readings(telemetry, rules, now)
     writer = latest.writeStream.outputMode("update").foreachBatch(_write_batches(folder))
     return _start(writer, folder, _or_default(trigger))
 
