@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coldwatch.functions.time import not_older_than
+from coldwatch.functions.time import not_older_than, parse_utc
 from coldwatch.operators.alerts import (
     FIRED,
     alert_context,
@@ -107,6 +107,28 @@ def topic_messages(telemetry: DataFrame, alerts: DataFrame) -> DataFrame:
     return readings.unionByName(raised, allowMissingColumns=True)
 
 
+def wire_messages(decoded: DataFrame) -> DataFrame:
+    """Messages of both topics out of one decoded source (``wire.decode``), in one pass."""
+    both = decoded.select(
+        "topic", "event_id", F.inline(F.when(F.col("document").isNotNull(), F.array("document")))
+    ).withColumn("timestamp", parse_utc(F.col("timestamp")))
+    is_alert = F.col("topic") == ALERTS_TOPIC
+    # The reading's state is built from ``ts``; an alert repeats its reading's time.
+    known = _known_trucks(both.withColumn("ts", F.col("timestamp")))
+    return known.select(
+        "truck_id",
+        "ts",
+        F.when(is_alert, TOPICS.index(ALERTS_TOPIC))
+        .otherwise(TOPICS.index(TELEMETRY_TOPIC))
+        .alias("topic_rank"),
+        "event_id",
+        F.when(is_alert, _alert_state())
+        .otherwise(_reading_state(overwritten=F.lit(False)))
+        .alias("state"),
+        F.when(is_alert, F.struct(*PRIMARY_ALERT_FIELDS)).alias("alert"),
+    )
+
+
 def latest_from_readings(
     telemetry: DataFrame,
     rules: Sequence[Rule] = DEFAULT_RULES,

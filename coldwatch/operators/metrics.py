@@ -23,7 +23,7 @@ def _or_unknown(name: str) -> Column:
 def messages_by_topic(feed: DataFrame) -> DataFrame:
     """Messages per topic; the known topics are listed even with none."""
     known = F.array(*[F.lit(topic) for topic in TOPICS])
-    zeros = feed.sparkSession.range(1).select(
+    zeros = feed.sparkSession.range(1, numPartitions=1).select(
         F.explode(known).alias("topic"), F.lit(0).cast("bigint").alias("messages")
     )
     counted = feed.groupBy("topic").agg(F.count("*").alias("messages"))
@@ -97,7 +97,7 @@ def metrics_table(counts: DataFrame) -> DataFrame:
         | (F.col("label_value").isNotNull() & (F.col("value") > 0))
     )
     zero = F.lit(0)
-    always = counts.sparkSession.range(1).select(
+    always = counts.sparkSession.range(1, numPartitions=1).select(
         F.inline(
             F.array(
                 sample(MESSAGES_TOTAL, None, None, zero),

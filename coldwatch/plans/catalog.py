@@ -18,7 +18,9 @@ from coldwatch.operators.fleet import (
     fleet_state,
     fleet_summary,
     latest_from_readings,
+    latest_per_truck,
     truck_detail,
+    wire_messages,
 )
 from coldwatch.operators.history import alert_history, alerts_recent, truck_recent_alerts
 from coldwatch.operators.metrics import (
@@ -32,7 +34,7 @@ from coldwatch.operators.quality import PROBLEMS, telemetry_invalid, telemetry_v
 from coldwatch.operators.routes import route_segments, routes, truck_route, truck_segments
 from coldwatch.operators.rules import DEFAULT_RULES
 from coldwatch.operators.trips import consecutive_fixes, trip_segments, trip_summary
-from coldwatch.schemas import TELEMETRY_FIELDS
+from coldwatch.schemas import ALERTS_TOPIC, TELEMETRY_FIELDS
 from coldwatch.session import run_folder
 from coldwatch.sources.events import events_path, read_telemetry, read_wire, stream_telemetry
 from coldwatch.sources.wire import decode, decode_errors, telemetry_from_wire
@@ -114,6 +116,17 @@ def q_metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics_table(count_messages(feed))
 
 
+def q_fleet_state_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fleet state from the JSON of both topics, as a consumer of them sees it."""
+    readings = read_wire(spark, sf_dir).select("topic", "event_id", "value")
+    raised = alerts_wire(alerts_primary(telemetry_from_wire(decode(readings))))
+    alerts = raised.select(F.lit(ALERTS_TOPIC).alias("topic"), "event_id", "value")
+    latest = latest_per_truck(wire_messages(decode(readings.unionByName(alerts))))
+    as_of = _as_of(read_telemetry(spark, sf_dir)).cast("timestamp")
+    state = fleet_state(latest, as_of, MAX_AGE_SECONDS)
+    return state.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
 # --- feed and counters -----------------------------------------------------------
 
 
@@ -235,26 +248,29 @@ def q_trip_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming ---------------------------------------------------------------------
 
 
-def _finished(start, spark: SparkSession, sf_dir: str, job: str) -> str:
-    """Runs a streaming job over all events there are; returns its folder."""
-    folder = run_folder(spark, job)
-    start(stream_telemetry(spark, events_path(sf_dir)), folder).awaitTermination()
-    return folder
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_telemetry(spark, events_path(sf_dir))
 
 
 def q_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _finished(jobs.start_alerts, spark, sf_dir, "stream_alerts")
+    folder = run_folder(spark, "stream_alerts")
+    alerts = alerts_primary(_events_stream(spark, sf_dir))
+    jobs.start_alerts(alerts, folder).awaitTermination()
     return _flat(jobs.read_alerts(spark, folder))
 
 
 def q_stream_fleet_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _finished(jobs.start_fleet_state, spark, sf_dir, "stream_fleet_state")
+    folder = run_folder(spark, "stream_fleet_state")
+    latest = latest_from_readings(_events_stream(spark, sf_dir))
+    jobs.start_fleet_state(latest, folder).awaitTermination()
     as_of = _as_of(read_telemetry(spark, sf_dir))
     return jobs.read_fleet_state(spark, folder, as_of, MAX_AGE_SECONDS)
 
 
 def q_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _finished(jobs.start_metrics, spark, sf_dir, "stream_metrics")
+    folder = run_folder(spark, "stream_metrics")
+    counts = count_messages(feed_from_readings(_events_stream(spark, sf_dir)))
+    jobs.start_metrics(counts, folder).awaitTermination()
     return jobs.read_metrics(spark, folder)
 
 
@@ -275,6 +291,7 @@ def catalog() -> dict[str, Query]:
             "decode_errors": q_decode_errors,
             "telemetry_decoded": q_telemetry_decoded,
             "metrics_table": q_metrics_table,
+            "fleet_state_wire": q_fleet_state_wire,
             "live_feed": q_live_feed,
             "messages_by_topic": q_messages_by_topic,
             "alerts_by_type": q_alerts_by_type,

@@ -327,6 +327,9 @@ def oracle_sql() -> dict[str, str]:
             select=f"SELECT * EXCLUDE (ts), {_ISO.format(t='ts')} AS timestamp FROM telemetry",
         ),
         "metrics_table": _with(WIRE, _USABLE, ALERTS, PRIMARY, select=_metrics("decoded")),
+        "fleet_state_wire": _with(
+            WIRE, _USABLE, ALERTS, PRIMARY, FLEET, select="SELECT * FROM state"
+        ),
         "live_feed": _with(*_TO_PRIMARY, FEED, select="SELECT * FROM feed"),
         "messages_by_topic": _with(
             *_TO_PRIMARY,

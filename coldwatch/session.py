@@ -14,6 +14,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Methods above HotSpot's limit would run interpreted; split those plans instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Fleet state is one row per truck and never evicted: keep it off the heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -2,71 +2,44 @@
 
 Each job takes a streaming DataFrame and a folder. Results and checkpoint live
 under that folder, so a job that is started again goes on where it stopped and
-counts nothing twice.
-
-The fleet view and the counters write what changed in a micro-batch as
-``batch_id=N``, replacing that batch's output if it is retried. Readers take
-the newest row per key.
+counts nothing twice: a micro-batch that is retried replaces its own output.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from coldwatch.operators.alerts import alerts_primary
-from coldwatch.operators.feed import feed_from_readings
-from coldwatch.operators.fleet import (
-    DEFAULT_MAX_AGE_SECONDS,
-    fleet_state,
-    latest_from_readings,
-)
-from coldwatch.operators.metrics import count_messages, metrics_table
-from coldwatch.operators.rules import DEFAULT_RULES, Rule
-
-
-def _start(writer, folder: str, trigger: dict) -> StreamingQuery:
-    return (
-        writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(**trigger).start()
-    )
-
-
-def _write_batches(folder: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
+from coldwatch.operators.fleet import DEFAULT_MAX_AGE_SECONDS, fleet_state
+from coldwatch.operators.metrics import metrics_table
 
-    return write
+# Micro-batches of changed trucks between two full snapshots of the fleet table.
+SNAPSHOT_EVERY = 100
 
 
-def _read_batches(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/table")
+def _start(writer, folder: str, trigger: dict | None) -> StreamingQuery:
+    trigger = trigger or {"availableNow": True}
+    return writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(**trigger).start()
 
 
-def _or_default(trigger: dict | None) -> dict:
-    return trigger or {"availableNow": True}
+def _newest_batch(table: DataFrame) -> int | None:
+    return table.agg(F.max("batch_id")).first()[0]
 
 
 # --- alerts ------------------------------------------------------------------
 
 
 def start_alerts(
-    telemetry: DataFrame,
-    folder: str,
-    rules: Sequence[Rule] = DEFAULT_RULES,
-    now: Column | None = None,
-    trigger: dict | None = None,
+    alerts: DataFrame, folder: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Stateless: each reading's primary alert, appended exactly once."""
+    """Appends a stream of alerts (``alerts_primary``) to a table, each exactly once."""
     writer = (
-        alerts_primary(telemetry, rules, now)
-        .writeStream.outputMode("append")
+        alerts.writeStream.outputMode("append")
         .format("parquet")
         .option("path", f"{folder}/table")
     )
-    return _start(writer, folder, _or_default(trigger))
+    return _start(writer, folder, trigger)
 
 
 def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,21 +50,58 @@ def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def start_fleet_state(
-    telemetry: DataFrame,
+    latest: DataFrame,
     folder: str,
-    rules: Sequence[Rule] = DEFAULT_RULES,
-    now: Column | None = None,
     trigger: dict | None = None,
+    snapshot_every: int = SNAPSHOT_EVERY,
 ) -> StreamingQuery:
-    """Keyed state, one row per truck, never evicted; a batch writes changed trucks only."""
-    latest = latest_from_readings(telemetry, rules, now)
-    writer = latest.writeStream.outputMode("update").foreachBatch(_write_batches(folder))
-    return _start(writer, folder, _or_default(trigger))
+    """Keeps a table of ``latest_per_truck`` up to date; trucks are never evicted.
 
+    A micro-batch writes only the trucks that changed. Every so often the whole
+    table is written too, so that a reader needs one snapshot and the few
+    batches after it.
+    """
 
-def read_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The fleet table in the shape of ``latest_per_truck``."""
-    changes = _read_batches(spark, folder)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % snapshot_every == 0:
+            # Before the batch itself: a snapshot a reader may choose, because
+            # its batch is there, is complete.
+            batch = batch.persist()
+            before = _read_changes(batch.sparkSession, folder, below=batch_id)
+            now = before.unionByName(batch.withColumn("batch_id", F.lit(batch_id)))
+            _newest_per_truck(now).write.mode("overwrite").parquet(
+                f"{folder}/snapshot/batch_id={batch_id}"
+            )
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
+        batch.unpersist()
+
+    return _start(latest.writeStream.outputMode("update").foreachBatch(write), folder, trigger)
+
+
+def _read_changes(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame:
+    """The newest snapshot and the batches after it, or all batches if there is none."""
+    changes = spark.read.parquet(f"{folder}/table")
+    if below is not None:
+        changes = changes.where(F.col("batch_id") < below)
+    newest = _newest_batch(changes)
+    snapshots = _snapshots(spark, folder)
+    start = None
+    if snapshots is not None and newest is not None:
+        start = _newest_batch(snapshots.where(F.col("batch_id") <= newest))
+    if start is None:
+        return changes
+    base = snapshots.where(F.col("batch_id") == start)
+    return base.unionByName(changes.where(F.col("batch_id") > start))
+
+
+def _snapshots(spark: SparkSession, folder: str) -> DataFrame | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.parquet(f"{folder}/snapshot")
+
+
+def _newest_per_truck(changes: DataFrame) -> DataFrame:
     fields = [c for c in changes.columns if c not in ("truck_id", "batch_id")]
     return (
         changes.groupBy("truck_id")
@@ -100,6 +110,11 @@ def read_latest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def read_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The fleet table in the shape of ``latest_per_truck``."""
+    return _newest_per_truck(_read_changes(spark, folder))
+
+
 def read_fleet_state(
     spark: SparkSession,
     folder: str,
@@ -114,26 +129,21 @@ def read_fleet_state(
 
 
 def start_metrics(
-    telemetry: DataFrame,
-    folder: str,
-    rules: Sequence[Rule] = DEFAULT_RULES,
-    now: Column | None = None,
-    trigger: dict | None = None,
+    counts: DataFrame, folder: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Counters since the job was first started; they survive restarts."""
-    counts = count_messages(feed_from_readings(telemetry, rules, now))
-    writer = counts.writeStream.outputMode("complete").foreachBatch(_write_batches(folder))
-    return _start(writer, folder, _or_default(trigger))
+    """Keeps the counts of ``count_messages`` since the job was first started.
+
+    A micro-batch writes all of them: a few rows, one per kind of message.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
+
+    return _start(counts.writeStream.outputMode("complete").foreachBatch(write), folder, trigger)
 
 
 def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """All series as of the last finished batch."""
-    keys = ["topic", "alert_type", "severity"]
-    values = F.struct("messages", "errors", "usable")
-    counts = (
-        _read_batches(spark, folder)
-        .groupBy(*keys)
-        .agg(F.max_by(values, "batch_id").alias("row"))
-        .select(*keys, "row.*")
-    )
-    return metrics_table(counts)
+    counts = spark.read.parquet(f"{folder}/table")
+    newest = counts.where(F.col("batch_id") == _newest_batch(counts))
+    return metrics_table(newest.drop("batch_id"))

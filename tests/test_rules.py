@@ -1,0 +1,163 @@
+import model
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from coldwatch.operators.alerts import alerts_all, alerts_primary, rule_alerts
+from coldwatch.operators.rules import DEFAULT_RULES, Level, Rule, RuleBook
+
+# field, value at the threshold, value beyond it, type raised, severity
+BOUNDARIES = [
+    ("temperature_c", -5.0, -4.9, "TEMP_BREACH", "CRITICAL"),
+    ("temperature", -5.0, 3.5, "TEMP_BREACH", "CRITICAL"),
+    ("humidity_pct", 90.0, 90.1, "HUMIDITY_BREACH", "HIGH"),
+    ("speed_kmh", 100.0, 100.1, "SPEED_VIOLATION", "MEDIUM"),
+    ("fuel_level_pct", 15.0, 14.9, "LOW_FUEL", "HIGH"),
+    ("fuel_level_pct", 15.0, 5.0, "LOW_FUEL", "HIGH"),
+    ("fuel_level_pct", 15.0, 4.9, "LOW_FUEL", "CRITICAL"),
+    ("battery_voltage", 11.8, 11.79, "BATTERY_LOW", "MEDIUM"),
+    ("tire_pressure_psi", 85.0, 84.9, "TIRE_PRESSURE_LOW", "HIGH"),
+    ("tire_pressure_psi", 85.0, 70.0, "TIRE_PRESSURE_LOW", "HIGH"),
+    ("tire_pressure_psi", 85.0, 69.9, "TIRE_PRESSURE_LOW", "CRITICAL"),
+    ("compressor_status", "ON", "FAULT", "COMPRESSOR_FAULT", "CRITICAL"),
+]
+
+
+@pytest.mark.parametrize("field,at,beyond,kind,severity", BOUNDARIES)
+def test_strict_thresholds(readings, field, at, beyond, kind, severity):
+    found = alerts_primary(readings({field: at}, {field: beyond}, {field: None})).collect()
+    assert [(a.event_id, a.alert_type, a.severity) for a in found] == [(1, kind, severity)]
+    assert found[0].actual_value == str(beyond)
+    assert found[0].total_alerts == 1 and found[0].additional_alerts is None
+
+
+def test_door_needs_movement(readings):
+    df = readings(
+        {"door_status": "OPEN", "speed_kmh": 5.0},
+        {"door_status": "OPEN", "speed_kmh": 5.1},
+        {"door_status": "OPEN"},
+        {"door_status": "CLOSED", "speed_kmh": 60.0},
+    )
+    assert [a.event_id for a in alerts_primary(df).collect()] == [1]
+
+
+def test_alert_record(readings):
+    record = {"truck_id": "T", "fuel_level_pct": 4.5, "latitude": 6.5}
+    alert = alerts_primary(readings(record)).first().asDict()
+    assert alert == {
+        "event_id": 0,
+        "alert_type": "LOW_FUEL",
+        "severity": "CRITICAL",
+        "alert_message": "Low fuel warning: 4.5% remaining",
+        "action_required": "ROUTE_TO_FUEL_STATION",
+        "threshold": "15.0",
+        "actual_value": "4.5",
+        "unit": "%",
+        "sla_impact": "HIGH",
+        "truck_id": "T",
+        "timestamp": None,
+        "latitude": 6.5,
+        "longitude": None,
+        "route_id": "UNKNOWN",
+        "driver_id": "UNKNOWN",
+        "status": "UNKNOWN",
+        "total_alerts": 1,
+        "additional_alerts": None,
+    }
+
+
+def test_missing_time_becomes_now(readings):
+    now = F.lit("2024-05-01 10:00:00").cast("timestamp")
+    alert = alerts_primary(readings({"humidity_pct": 99.0}), now=now).first()
+    assert str(alert.timestamp) == "2024-05-01 10:00:00"
+
+
+def test_nan_fires_nothing(readings):
+    nan = float("nan")
+    names = ["temperature_c", "humidity_pct", "speed_kmh", "fuel_level_pct", "battery_voltage"]
+    assert alerts_all(readings({n: nan for n in names})).count() == 0
+
+
+def test_ties_keep_rule_order(readings):
+    record = {
+        "compressor_status": "FAULT",
+        "tire_pressure_psi": 60.0,
+        "battery_voltage": 11.0,
+        "fuel_level_pct": 10.0,
+        "humidity_pct": 95.0,
+        "speed_kmh": 120.0,
+        "door_status": "OPEN",
+        "temperature_c": 0.0,
+    }
+    alert = alerts_primary(readings(record)).first()
+    assert alert.alert_type == "TEMP_BREACH" and alert.total_alerts == 8
+    assert alert.additional_alerts == [
+        "DOOR_VIOLATION", "TIRE_PRESSURE_LOW", "COMPRESSOR_FAULT",
+        "HUMIDITY_BREACH", "LOW_FUEL", "SPEED_VIOLATION", "BATTERY_LOW",
+    ]
+
+
+def near(*values):
+    return st.none() | st.sampled_from([v + d for v in values for d in (-0.5, -0.1, 0.0, 0.1, 0.5)])
+
+
+records = st.fixed_dictionaries(
+    {
+        "temperature_c": near(-5.0),
+        "temperature": near(-5.0),
+        "humidity_pct": near(90.0),
+        "speed_kmh": near(5.0, 100.0),
+        "fuel_level_pct": near(5.0, 15.0),
+        "battery_voltage": near(11.8),
+        "tire_pressure_psi": near(70.0, 85.0),
+        "door_status": st.sampled_from([None, "OPEN", "CLOSED"]),
+        "compressor_status": st.sampled_from([None, "ON", "FAULT"]),
+    }
+)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(batch=st.lists(records, min_size=150, max_size=300))
+def test_against_model(readings, batch):
+    df = readings(*batch)
+    expected = {i: model.primary(r) for i, r in enumerate(batch) if model.primary(r)}
+    found = {
+        a.event_id: (a.alert_type, a.severity, a.actual_value, a.total_alerts, a.additional_alerts)
+        for a in alerts_primary(df).collect()
+    }
+    assert found == {
+        i: (kind, severity, str(value), total, others)
+        for i, (kind, severity, value, total, others) in expected.items()
+    }
+    every = sorted((a.event_id, a.alert_type, a.severity) for a in alerts_all(df).collect())
+    assert every == sorted(
+        (i, kind, severity) for i, r in enumerate(batch) for kind, severity, _ in model.raised(r)
+    )
+
+
+def test_partitioning_does_not_matter(telemetry):
+    spread = telemetry.repartition(7)
+    assert alerts_primary(spread).exceptAll(alerts_primary(telemetry)).count() == 0
+    assert alerts_primary(telemetry).exceptAll(alerts_primary(spread)).count() == 0
+
+
+def test_own_rules(readings):
+    heavy = Rule(
+        alert_type="OVERLOAD",
+        reading="cargo_weight_kg",
+        fires=lambda r: r["cargo_weight_kg"] > 20_000,
+        levels=(Level("LOW", "LOW"),),
+        message="Driver's load is {v} kg",
+        action="WEIGH",
+        threshold="20000.0",
+        unit="kg",
+    )
+    df = readings({"cargo_weight_kg": 21_000.0}, {"cargo_weight_kg": 20_000.0}, {})
+    found = alerts_primary(df, [*DEFAULT_RULES, heavy]).collect()
+    assert [(a.event_id, a.alert_message) for a in found] == [(0, "Driver's load is 21000.0 kg")]
+    assert rule_alerts(df, "OVERLOAD", [heavy]).count() == 1
+    with pytest.raises(ValueError):
+        rule_alerts(df, "NO_SUCH_RULE")
+    with pytest.raises(ValueError):
+        RuleBook([])
