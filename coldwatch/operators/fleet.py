@@ -146,7 +146,8 @@ def latest_from_readings(
     """
     book = RuleBook(rules)
     context = [c for c in ALERT_CONTEXT_FIELDS if c not in ("truck_id", "timestamp")]
-    used = list(dict.fromkeys(["ts", *context, *book.columns_used()]))
+    used = list(dict.fromkeys([*context, *book.columns_used()]))
+    alert_time = dict(zip(ALERT_CONTEXT_FIELDS, alert_context(now)))["timestamp"]
     alerted = F.col(FIRED) != 0
     messages = with_fired(_known_trucks(telemetry), book).select(
         "truck_id",
@@ -156,11 +157,11 @@ def latest_from_readings(
         _reading_state(overwritten=F.lit(False) if sensors_only else alerted, now=now).alias(
             "state"
         ),
-        F.when(alerted, F.struct(FIRED, *used)).alias("alert"),
+        F.when(alerted, F.struct(FIRED, alert_time.alias("ts"), *used)).alias("alert"),
     )
     last = _latest(messages, alert_time="ts")
     raised = with_primary(last.select("*", "alert.*").drop("alert"), book)
-    fields = primary_alert_columns(book, now)
+    fields = primary_alert_columns(book)
     alert = F.when(F.col("alerts_seen") > 0, F.struct(*fields)).alias("alert")
     return raised.select("truck_id", "state", alert, "alert_ts", "alerts_seen")
 

@@ -16,6 +16,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Methods above HotSpot's limit would run interpreted; split those plans instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Call sites are recorded per column expression, which doubles the time to build a query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Fleet state is one row per truck and never evicted: keep it off the heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
