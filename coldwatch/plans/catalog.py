@@ -37,7 +37,7 @@ from coldwatch.operators.trips import consecutive_fixes, trip_segments, trip_sum
 from coldwatch.schemas import ALERTS_TOPIC, TELEMETRY_FIELDS
 from coldwatch.session import run_folder
 from coldwatch.sources.events import events_path, read_telemetry, read_wire, stream_telemetry
-from coldwatch.sources.wire import decode, decode_errors, telemetry_from_wire
+from coldwatch.sources.wire import decode, decode_errors, telemetry_from_wire, with_wire_problems
 from coldwatch.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,13 @@ def q_decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_wire_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable messages that are no complete reading, with the fields at fault."""
+    checked = with_wire_problems(decode(read_wire(spark, sf_dir)))
+    wrong = checked.where(F.size("problems") > 0)
+    return _flat(wrong.select("event_id", "problems"))
+
+
 def q_telemetry_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = telemetry_from_wire(decode(read_wire(spark, sf_dir)))
     return decoded.select("event_id", *[name for name, _ in TELEMETRY_FIELDS], "temperature")
@@ -289,6 +296,7 @@ def catalog() -> dict[str, Query]:
             "alerts_primary": q_alerts_primary,
             "alerts_wire": q_alerts_wire,
             "decode_errors": q_decode_errors,
+            "wire_problems": q_wire_problems,
             "telemetry_decoded": q_telemetry_decoded,
             "metrics_table": q_metrics_table,
             "fleet_state_wire": q_fleet_state_wire,

@@ -321,6 +321,11 @@ def oracle_sql() -> dict[str, str]:
             select="SELECT topic, event_id, value, decode_status, decode_status <> 'malformed' AS counted"
             " FROM decoded WHERE decode_status <> 'ok'",
         ),
+        "wire_problems": _with(
+            WIRE,
+            _USABLE,
+            select=f"SELECT event_id, {_MISSING} AS problems FROM telemetry WHERE NOT ({_COMPLETE})",
+        ),
         "telemetry_decoded": _with(
             WIRE,
             _USABLE,

@@ -91,8 +91,9 @@ def alerts_from_wire(decoded: DataFrame) -> DataFrame:
 
 
 def with_wire_problems(decoded: DataFrame, value: str = "value") -> DataFrame:
-    """Adds ``problems``: required telemetry fields that are absent or not of
-    their type, in schema order. Text fields must be JSON strings."""
+    """The usable messages with their ``problems``: required telemetry fields that
+    are absent or not of their type, in schema order. Text fields must be JSON
+    strings, which takes a look at the untyped value."""
 
     def bad(name: str, kind: str) -> Column:
         absent = F.col(f"{_DOCUMENT}.{name}").isNull()
@@ -101,12 +102,13 @@ def with_wire_problems(decoded: DataFrame, value: str = "value") -> DataFrame:
         found = F.try_variant_get("_variant", f"$.{name}", "variant")
         return absent | ~F.coalesce(F.schema_of_variant(found) == "STRING", F.lit(False))
 
+    untyped = F.try_parse_json(F.col(value).cast("string"))
+    both = F.array(F.struct(F.col(_DOCUMENT), untyped.alias("_variant")))
+    others = [c for c in decoded.columns if c != _DOCUMENT]
+    # Unfolded like in ``_usable``: a filter on the problems must not parse again.
+    usable = decoded.select(*others, F.inline(F.when(F.col(_DOCUMENT).isNotNull(), both)))
     problems = [F.when(bad(name, kind), F.lit(name)) for name, kind in TELEMETRY_FIELDS]
-    return (
-        decoded.withColumn("_variant", F.try_parse_json(F.col(value).cast("string")))
-        .withColumn("problems", F.array_compact(F.array(*problems)))
-        .drop("_variant")
-    )
+    return usable.withColumn("problems", F.array_compact(F.array(*problems))).drop("_variant")
 
 
 def telemetry_json() -> Column:

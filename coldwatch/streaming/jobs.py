@@ -7,6 +7,8 @@ counts nothing twice: a micro-batch that is retried replaces its own output.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,8 +25,18 @@ def _start(writer, folder: str, trigger: dict | None) -> StreamingQuery:
     return writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(**trigger).start()
 
 
-def _newest_batch(table: DataFrame) -> int | None:
-    return table.agg(F.max("batch_id")).first()[0]
+def _finished_batches(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the batches whose output is complete, ascending."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch_id=*/_SUCCESS")
+    found = marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker)
+    folders = [status.getPath().getParent().getName() for status in found or []]
+    return sorted(int(name.partition("=")[2]) for name in folders)
+
+
+def _read_batches(spark: SparkSession, table: str, batches: list[int]) -> DataFrame:
+    """Only the named batches, so that old ones cost neither listing nor reading."""
+    paths = [f"{table}/batch_id={batch}" for batch in batches]
+    return spark.read.option("basePath", table).parquet(*paths)
 
 
 # --- alerts ------------------------------------------------------------------
@@ -63,58 +75,44 @@ def start_fleet_state(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch_id and batch_id % snapshot_every == 0:
-            # Before the batch itself: a snapshot a reader may choose, because
-            # its batch is there, is complete.
-            batch = batch.persist()
-            before = _read_changes(batch.sparkSession, folder, below=batch_id)
-            now = before.unionByName(batch.withColumn("batch_id", F.lit(batch_id)))
-            _newest_per_truck(now).write.mode("overwrite").parquet(
-                f"{folder}/snapshot/batch_id={batch_id}"
-            )
+        batch = batch.persist()
         batch.write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
+        if batch_id and batch_id % snapshot_every == 0:
+            whole = read_latest(batch.sparkSession, folder, below=batch_id)
+            changed = batch.unionByName(whole.join(batch, "truck_id", "left_anti"))
+            changed.write.mode("overwrite").parquet(f"{folder}/snapshot/batch_id={batch_id}")
         batch.unpersist()
 
     return _start(latest.writeStream.outputMode("update").foreachBatch(write), folder, trigger)
 
 
-def _read_changes(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame:
-    """The newest snapshot and the batches after it, or all batches if there is none."""
-    changes = spark.read.parquet(f"{folder}/table")
-    if below is not None:
-        changes = changes.where(F.col("batch_id") < below)
-    newest = _newest_batch(changes)
-    snapshots = _snapshots(spark, folder)
-    start = None
-    if snapshots is not None and newest is not None:
-        start = _newest_batch(snapshots.where(F.col("batch_id") <= newest))
-    if start is None:
-        return changes
-    base = snapshots.where(F.col("batch_id") == start)
-    return base.unionByName(changes.where(F.col("batch_id") > start))
-
+def read_latest(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame:
+    """The fleet table in the shape of ``latest_per_truck``, as of the last finished
+    micro-batch, or the last one before ``below``.
 
-def _snapshots(spark: SparkSession, folder: str) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.parquet(f"{folder}/snapshot")
-
-
-def _newest_per_truck(changes: DataFrame) -> DataFrame:
-    fields = [c for c in changes.columns if c not in ("truck_id", "batch_id")]
+    Reads the newest snapshot and the batches after it. Older ones are not
+    needed any more.
+    """
+    changes, snapshots = f"{folder}/table", f"{folder}/snapshot"
+
+    def finished(table: str) -> list[int]:
+        return [n for n in _finished_batches(spark, table) if below is None or n < below]
+
+    start = max(finished(snapshots), default=-1)
+    since = [n for n in finished(changes) if n > start]
+    parts = [_read_batches(spark, snapshots, [start])] if start >= 0 else []
+    parts += [_read_batches(spark, changes, since)] if since else []
+    if not parts:
+        raise ValueError(f"no finished batch in {folder}")
+    rows = reduce(DataFrame.unionByName, parts)
+    fields = [c for c in rows.columns if c not in ("truck_id", "batch_id")]
     return (
-        changes.groupBy("truck_id")
+        rows.groupBy("truck_id")
         .agg(F.max_by(F.struct(*fields), "batch_id").alias("row"))
         .select("truck_id", "row.*")
     )
 
 
-def read_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The fleet table in the shape of ``latest_per_truck``."""
-    return _newest_per_truck(_read_changes(spark, folder))
-
-
 def read_fleet_state(
     spark: SparkSession,
     folder: str,
@@ -144,6 +142,8 @@ def start_metrics(
 
 def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """All series as of the last finished batch."""
-    counts = spark.read.parquet(f"{folder}/table")
-    newest = counts.where(F.col("batch_id") == _newest_batch(counts))
-    return metrics_table(newest.drop("batch_id"))
+    finished = _finished_batches(spark, f"{folder}/table")
+    if not finished:
+        raise ValueError(f"no finished batch in {folder}")
+    counts = _read_batches(spark, f"{folder}/table", finished[-1:])
+    return metrics_table(counts.drop("batch_id"))
