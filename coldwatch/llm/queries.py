@@ -7,12 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldwatch.llm import packing, simhash, token_files
-from coldwatch.llm.common import shared_folder, table
+from coldwatch.llm import (
+    decontaminate,
+    language,
+    neighbours,
+    packing,
+    quality,
+    simhash,
+    token_files,
+)
+from coldwatch.llm.common import crc_remainder, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.learnt_from(table(spark, sf_dir, "labels")))
+    scored = quality.score(docs, model, "doc_id")
+    held_out = crc_remainder("doc_id", 5) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path)
@@ -21,6 +47,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(language.learnt_from(docs))
+    found = language.identify(docs, model, "doc_id")
+    held_out = crc_remainder("doc_id", 4) == 2
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     shown = F.lower(F.lpad(F.hex("print"), 16, "0"))
@@ -34,13 +68,37 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP2_SQL = """
+WITH usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e),
+    lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+  FROM usable q JOIN usable c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER)
+    AS rank, vec_id, score
+  FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": op1_decontamination,
+        "op2_nearest": op2_nearest,
+        "op3_quality": op3_quality,
         "op4_token_files": op4_token_files,
+        "op6_language": op6_language,
         "op8_simhash": op8_simhash,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_nearest": OP2_SQL}
