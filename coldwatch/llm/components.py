@@ -34,7 +34,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) for every node with a link; root is the least node of its component."""
+    """(node, root) for every linked node but the roots, the least nodes of their components."""
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     stars = stored(pairs.distinct(), "links")
     before = None

@@ -118,7 +118,7 @@ def _cells(points: DataFrame) -> DataFrame:
 def _near(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, bits: int) -> np.ndarray:
     """Where x and y link: the Manhattan bound first, the exact count for what it leaves."""
     near = np.flatnonzero(np.bitwise_count(cx ^ cy) <= bits)
-    return near[np.bitwise_count(x[near] ^ y[near]) <= bits]
+    return near[np.bitwise_count(x[near] ^ np.broadcast_to(y, x.shape)[near]) <= bits]
 
 
 class _Forest:
