@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -64,6 +65,16 @@ def with_text(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def extended(docs: DataFrame, carried: list[str], added: str) -> StructType:
+    """The fields ``carried`` of ``docs`` and those ``added``."""
+    return StructType([docs.schema[n] for n in carried] + StructType.fromDDL(added).fields)
+
+
+def as_rows(docs: DataFrame) -> DataFrame:
+    """``text`` and the whole row as ``row``, so that no column's name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+
+
 def crc_remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 

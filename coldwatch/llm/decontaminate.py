@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldwatch.llm.common import portions, ready, texts_of, with_text
+from coldwatch.llm.common import as_rows, portions, ready, texts_of, with_text
 
 SIMILARITY = 0.8  # one less edits per word of the item
 LEAST_WORDS = 5  # shorter items are too short to tell from chance
@@ -110,7 +110,8 @@ class Benchmark:
         repetitions: int = REPETITIONS,
     ):
         spelt = [(i, words_of(t)) for i, t in items]
-        spelt = sorted((i, w) for i, w in spelt if len(w) >= LEAST_WORDS)
+        spelt = [(i, w) for i, w in spelt if len(w) >= LEAST_WORDS]
+        spelt.sort(key=lambda s: (s[0] is None, s[0] or 0, s[1]))
         vocabulary = sorted({w for _, ws in spelt for w in ws})
         self.vocabulary = {w: n for n, w in enumerate(vocabulary, 1)}  # 0: any other word
         self.hashes = np.random.default_rng(0).integers(
@@ -238,6 +239,31 @@ def _searched(items: list[tuple[int, str]], similarity: float, repetitions: int)
     return rows
 
 
+def _clean(items: list[tuple[int, str]], similarity: float, repetitions: int):
+    ready_made: list[Benchmark] = []
+
+    def rows(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not ready_made:
+            ready_made.append(Benchmark(items, similarity, repetitions))
+        benchmark = ready_made[0]
+        for batch in portions(source):
+            clean = [not benchmark.find(benchmark.spell(t)) for t in texts_of(batch)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return rows
+
+
+def _item_groups(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in groups of bounded size, by a hash."""
+    items = benchmark.where("text is not null").select(
+        F.col("item_id").cast("long").alias("item_id"), "text"
+    )
+    groups = -(-items.count() // ITEMS_AT_ONCE)
+    for group in range(groups):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group)
+        yield [(r.item_id, r.text) for r in part.collect()]
+
+
 MATCHES = "doc_id long, item_id long, first_word long, n_words long, edits long, similarity double"
 
 
@@ -260,15 +286,23 @@ def contaminated(
     """
     spark = ready(docs.sparkSession)
     texts = with_text(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    items = benchmark.where("text is not null").select(
-        F.col("item_id").cast("long").alias("item_id"), "text"
-    )
-    groups = max(-(-items.count() // ITEMS_AT_ONCE), 1)
     found = spark.createDataFrame([], MATCHES)
-    for group in range(groups):  # each a bounded number of items
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group)
-        chosen = [(r.item_id if r.item_id is not None else None, r.text) for r in part.collect()]
-        chosen.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        search = _searched(chosen, similarity, repetitions)
-        found = found.unionByName(texts.mapInArrow(search, MATCHES))
+    for items in _item_groups(benchmark):
+        found = found.unionByName(
+            texts.mapInArrow(_searched(items, similarity, repetitions), MATCHES)
+        )
     return found
+
+
+def without_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    similarity: float = SIMILARITY,
+    repetitions: int = REPETITIONS,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item, whole, whatever their other columns."""
+    ready(docs.sparkSession)
+    rows = as_rows(docs)
+    for items in _item_groups(benchmark):
+        rows = rows.mapInArrow(_clean(items, similarity, repetitions), rows.schema)
+    return rows.select("row.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldwatch.llm.common import crc_remainder, lists, portions, ready, texts_of, with_text
+from coldwatch.llm.common import crc_remainder, extended, lists, portions, ready, texts_of
 from coldwatch.llm.sampling import bounded_sample
 
 BUCKET_BITS = 14
@@ -204,12 +204,9 @@ def identify(docs: DataFrame, model: LanguageModel, *carried: str) -> DataFrame:
     alike. An empty table gives no rows.
     """
     ready(docs.sparkSession)
-    schema = "".join(f"`{n}` {docs.schema[n].dataType.simpleString()}, " for n in carried)
+    schema = extended(docs, list(carried), "lang_pred string, score double, rejected boolean")
     extra = [] if "text" in carried else [F.col("text")]
-    return docs.select(*carried, *extra).mapInArrow(
-        _predicted(model, "text", list(carried)),
-        f"{schema}lang_pred string, score double, rejected boolean",
-    )
+    return docs.select(*carried, *extra).mapInArrow(_predicted(model, "text", list(carried)), schema)
 
 
 def learnt_from(docs: DataFrame) -> DataFrame:

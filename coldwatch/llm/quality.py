@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldwatch.llm.common import crc_remainder, portions, ready, texts_of
+from coldwatch.llm.common import crc_remainder, extended, portions, ready, texts_of
 from coldwatch.llm.sampling import bounded_sample
 
 PASSAGE_WORDS = 64
@@ -234,11 +234,9 @@ def score(docs: DataFrame, model: QualityModel, *carried: str) -> DataFrame:
     rows are scored alike. An empty table gives no rows.
     """
     ready(docs.sparkSession)
-    schema = "".join(f"`{n}` {docs.schema[n].dataType.simpleString()}, " for n in carried)
+    schema = extended(docs, list(carried), "score double, predicted int")
     extra = [] if "text" in carried else [F.col("text")]
-    return docs.select(*carried, *extra).mapInArrow(
-        _scored(model, list(carried)), f"{schema}score double, predicted int"
-    )
+    return docs.select(*carried, *extra).mapInArrow(_scored(model, list(carried)), schema)
 
 
 def learnt_from(labels: DataFrame) -> DataFrame:

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from coldwatch.llm import (
     decontaminate,
     language,
+    licenses,
     neighbours,
     packing,
+    pages,
     quality,
     simhash,
+    sql,
     token_files,
+    tools,
 )
 from coldwatch.llm.common import crc_remainder, shared_folder, table
 
@@ -47,6 +51,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(language.learnt_from(docs))
@@ -55,12 +63,24 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tools.calls_of(table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(
+        tools.SCHEMAS, "name string, argument string, type string, required boolean"
+    )
+    return tools.link(calls, results, schemas)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     shown = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_files.with_digest(packing.pack(table(spark, sf_dir, "documents")), "ids")
     return rows.select(
@@ -68,37 +88,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP2_SQL = """
-WITH usable AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e),
-    lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
-  FROM usable q JOIN usable c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id
-  WHERE q.vec_id % 100 = 0
-), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER)
-    AS rank, vec_id, score
-  FROM pairs
-)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
-"""
-
-
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_nearest": op2_nearest,
         "op3_quality": op3_quality,
         "op4_token_files": op4_token_files,
+        "op5_licenses": op5_licenses,
         "op6_language": op6_language,
+        "op7_tool_calls": op7_tool_calls,
         "op8_simhash": op8_simhash,
+        "op9_pages": op9_pages,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nearest": OP2_SQL}
+    return {
+        "op2_nearest": sql.NEAREST,
+        "op5_licenses": sql.licenses(),
+        "op7_tool_calls": sql.TOOL_CALLS,
+    }

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coldwatch.llm.common import lists, portions, ready, texts_of, with_text
+from coldwatch.llm.common import extended, lists, portions, ready, texts_of, with_text
 from coldwatch.llm.wordpieces import default_path, documents_ids
 
 FILE_SCHEMA = "part int, doc_id long, start long, n_tokens long, tokens array<int>"
@@ -132,13 +132,11 @@ def ids_digest(column: pa.ListArray) -> pa.Array:
 def with_digest(rows: DataFrame, ids: str) -> DataFrame:
     """Replaces the list column ``ids`` by ``ids_crc32``."""
     ready(rows.sparkSession)
-    kept = [f for f in rows.schema.fields if f.name != ids]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    names = [f.name for f in kept]
+    names = [n for n in rows.columns if n != ids]
 
     def digest(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             columns = [batch.column(n) for n in names] + [ids_digest(batch.column(ids))]
             yield pa.record_batch(columns, names=[*names, "ids_crc32"])
 
-    return rows.select(*names, ids).mapInArrow(digest, f"{schema}, ids_crc32 long")
+    return rows.select(*names, ids).mapInArrow(digest, extended(rows, names, "ids_crc32 long"))
