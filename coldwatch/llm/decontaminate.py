@@ -8,7 +8,8 @@ candidates. ``REPETITIONS`` of them reach the target recall. The best placed
 candidates are then verified by their exact edit distance.
 
 Windows that cannot hold an item are left out before the walk, without loss: an item of
-L words with k edits keeps at least L - 1 - 2k of its word pairs in the window.
+L words with k edits keeps at least L - q + 1 - qk of its runs of q words in the window. The
+runs are of three words, or of two where an item is too short for that.
 
 The operator is a pass over the documents without a shuffle. Items go to the tasks in
 bounded groups, a pass for each group.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,9 @@ SAMPLED = 2
 REPETITIONS = 16
 ITEMS_AT_ONCE = 4096
 WINDOWS_AT_ONCE = 1 << 12
-PAIR_BITS = 20
+RUN_BITS = 20
+LEAST_RUNS = 3  # that a window must keep for runs of three words to be used
+STEPS = 1.6  # of a walk, times the words of the window; on average it goes on every second step
 WORD = re.compile(r"\w+")
 
 
@@ -74,7 +78,7 @@ class _Walks:
 
     def __init__(self, length: int, repetitions: int):
         rng = np.random.default_rng(length)
-        self.length, self.steps = length, 2 * length
+        self.length, self.steps = length, int(STEPS * length)
         self.factor = rng.integers(0, 1 << 63, (self.steps, repetitions, 1), dtype=np.uint64)
         self.factor |= np.uint64(1)
         self.sampled = np.stack(
@@ -120,7 +124,8 @@ class Benchmark:
         self.item_ids = [i for i, _ in spelt]
         self.items = [np.array([self.vocabulary[w] for w in ws]) for _, ws in spelt]
         self.similarity = similarity
-        self.pairs = np.zeros(1 << PAIR_BITS, dtype=np.uint64)  # which lengths have the pair
+        # For runs of two and of three words: the item lengths that have the run.
+        self.runs = {q: np.zeros(1 << RUN_BITS, dtype=np.uint64) for q in (2, 3)}
         self.tables: dict[int, tuple[_Walks, list[dict[int, list[int]]]]] = {}
         for length in sorted({len(w) for w in self.items}):
             walks = _Walks(length, repetitions)
@@ -131,43 +136,55 @@ class Benchmark:
                     codes = walks.samples(padded, self.hashes, np.zeros(1, np.int64))
                     for table, code in zip(tables, codes[:, 0].tolist()):
                         table.setdefault(code, []).append(n)
-                    self.pairs[self._pair(item)] |= self._bit(length)
+                    q = self._run(length)
+                    self.runs[q][self._codes(item, q)] |= self._bit(length)
             self.tables[length] = (walks, tables)
         self.longest = max(self.tables, default=0)
-        # A window that holds an item has so many pairs in some stretch of this size.
-        self.stretch = min((n + self._edits(n) for n in self.tables), default=1)
-        self.fewest = min(
-            (-(-self._needed(n) // -(-(n + self._edits(n)) // self.stretch)) for n in self.tables),
-            default=1,
-        )
+        # A window that holds an item has so many runs in some stretch of this size.
+        self.dense = {}
+        for q in (2, 3):
+            own = [n for n in self.tables if self._run(n) == q]
+            if own:
+                stretch = min(n + self._edits(n) for n in own)
+                parts = {n: -(-(n + self._edits(n)) // stretch) for n in own}
+                self.dense[q] = (min(-(-self._needed(n) // parts[n]) for n in own), stretch, own)
 
     def _edits(self, length: int) -> int:
         return edits_allowed(length, self.similarity)
 
+    def _kept(self, length: int, q: int) -> int:
+        return length - q + 1 - q * self._edits(length)
+
+    def _run(self, length: int) -> int:
+        """Words of the runs that items of this length are looked for by."""
+        return 3 if self._kept(length, 3) >= LEAST_RUNS else 2
+
     def _needed(self, length: int) -> int:
-        """Word pairs of an item of this length that a window with it has at least."""
-        return max(length - 1 - 2 * self._edits(length), 1)
+        """Runs of an item of this length that a window with it has at least."""
+        return max(self._kept(length, self._run(length)), 1)
 
     @staticmethod
     def _bit(length: int) -> np.uint64:
         return np.uint64(1 << (length % 64))
 
     @staticmethod
-    def _pair(words: np.ndarray) -> np.ndarray:
-        mixed = (words[:-1] * 0x9E3779B1 + words[1:]) * 0x85EBCA6B & 0xFFFFFFFF
-        return mixed >> (32 - PAIR_BITS)
+    def _codes(words: np.ndarray, q: int) -> np.ndarray:
+        count = max(len(words) - q + 1, 0)
+        mixed = words[:count]
+        for n in range(1, q):
+            mixed = mixed * 0x9E3779B1 + words[n : n + count]
+        return (mixed * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - RUN_BITS)
 
     def spell(self, text: str) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
+        words = words_of(text)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
     def _windows(self, at: np.ndarray, length: int, count: int) -> np.ndarray:
-        """Starts of windows with enough of the word pairs that stand at ``at``."""
+        """Starts of windows with enough of the runs that stand at ``at``."""
         edits, needed = self._edits(length), self._needed(length)
         spans = at[needed - 1 :] - at[: len(at) - needed + 1]
-        dense = np.flatnonzero(spans < length + edits)
         starts: set[int] = set()
-        for n in dense.tolist():
+        for n in np.flatnonzero(spans < length + edits).tolist():
             first, last = int(at[n]), int(at[n + needed - 1])
             starts.update(range(max(last - length - edits + 1, 0), first + 1))
         within = np.array(sorted(starts), dtype=np.int64)
@@ -175,27 +192,27 @@ class Benchmark:
 
     def find(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, start, size, edits) of the best place of each item in a document."""
-        if len(words) < 2 or not self.items:
-            return []
-        lengths = self.pairs[self._pair(words)]
-        at = np.flatnonzero((lengths > 0) & (words[:-1] > 0) & (words[1:] > 0))
-        if len(at) < self.fewest:
-            return []
-        if not (at[self.fewest - 1 :] - at[: len(at) - self.fewest + 1] < self.stretch).any():
-            return []
-        lengths = lengths[at]
-        padded = np.concatenate((words, np.zeros(2 * self.longest + 2, words.dtype)))
         best: dict[int, tuple[int, int, int]] = {}
-        for length, (walks, tables) in self.tables.items():
-            own = at[(lengths & self._bit(length)) > 0]
-            if len(own) < self._needed(length):
+        for q, (fewest, stretch, own) in self.dense.items():
+            lengths = self.runs[q][self._codes(words, q)]
+            at = np.flatnonzero(lengths)
+            if len(at) < fewest:
                 continue
-            starts = self._windows(own, length, len(words))
-            for a in range(0, len(starts), WINDOWS_AT_ONCE):
-                self._verify(words, padded, starts[a : a + WINDOWS_AT_ONCE], walks, tables, best)
+            if not (at[fewest - 1 :] - at[: len(at) - fewest + 1] < stretch).any():
+                continue
+            lengths = lengths[at]
+            padded = np.concatenate((words, np.zeros(2 * self.longest + 2, words.dtype)))
+            for length in own:
+                places = at[(lengths & self._bit(length)) > 0]
+                if len(places) < self._needed(length):
+                    continue
+                starts = self._windows(places, length, len(words))
+                for a in range(0, len(starts), WINDOWS_AT_ONCE):
+                    self._verify(words, padded, starts[a : a + WINDOWS_AT_ONCE], length, best)
         return [(n, *place) for n, place in sorted(best.items())]
 
-    def _verify(self, words, padded, starts, walks, tables, best) -> None:
+    def _verify(self, words, padded, starts, length, best) -> None:
+        walks, tables = self.tables[length]
         votes: dict[tuple[int, int], int] = {}
         codes = walks.samples(padded, self.hashes, starts)
         for table, row in zip(tables, codes):
@@ -210,6 +227,9 @@ class Benchmark:
             if at_best and (at_best[2] == 0 and at_best[0] <= start):
                 continue
             item = self.items[n]
+            if np.array_equal(words[start : start + len(item)], item):
+                best[n] = (start, len(item), 0)
+                continue
             most = edits_allowed(len(item), self.similarity)
             found = best_match(item, words[start:], most)
             if found and (at_best is None or (found[0], start) < (at_best[2], at_best[0])):
