@@ -69,7 +69,7 @@ def folded(text: Column) -> Column:
 def _words_in(spaced: Column) -> Column:
     """Number of words of a text as ``folded`` gives it; its words part at single spaces."""
     spaces = F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))
-    return F.greatest(spaces - 1, F.lit(0)).cast("long")
+    return F.when(F.length(spaced) > 2, spaces - 1).otherwise(0).cast("long")
 
 
 def phrase_columns(words: Column, phrases: dict[str, str] = PHRASES) -> dict[str, Column]:

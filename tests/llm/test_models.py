@@ -9,6 +9,7 @@ from coldwatch.llm import language, quality
 from coldwatch.llm.common import as_rows, crc_remainder, table
 
 SF = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"  # quality labels of 0 are few
 SCHEMA = "score string, doc_id long, text string, lang string, predicted int"
 ODD = [None, "", " \n", "1234 !!", "a", "é", "word " * 30_000, "x" * 300_000]
 
@@ -25,7 +26,7 @@ def languages(spark):
 
 @pytest.fixture(scope="module")
 def qualities(spark):
-    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    docs, labels = table(spark, LARGER, "documents"), table(spark, LARGER, "labels")
     return quality.fit(docs, quality.learnt_from(labels))
 
 
@@ -72,13 +73,13 @@ def test_clashing_names_pass_through(spark, languages, qualities):
 
 
 def test_quality_of_held_out_documents(spark, qualities):
-    labels = table(spark, SF, "labels").where(crc_remainder("doc_id", 5) == 0)
-    docs = table(spark, SF, "documents").join(labels, "doc_id")
+    labels = table(spark, LARGER, "labels").where(crc_remainder("doc_id", 5) == 0)
+    docs = table(spark, LARGER, "documents").join(labels, "doc_id")
     rows = quality.score(docs, qualities, "doc_id", "quality").collect()
-    assert len(rows) > 50
+    assert len(rows) > 500
     for label in (0, 1):
         of = [r for r in rows if r.quality == label]
-        assert sum(r.predicted == label for r in of) >= 0.9 * len(of)
+        assert sum(r.predicted == label for r in of) >= 0.97 * len(of)
 
 
 def test_odd_texts_have_defined_quality(spark, qualities):
