@@ -28,8 +28,9 @@ MARKS = ".,!?|%&$#*:;-_/'\"@"  # each a kind of its own
 KINDS = 7 + len(MARKS)
 WORD_FEATURES = 5
 FEATURES = KINDS + KINDS * KINDS + WORD_FEATURES
+KIND_EMPHASIS, WORD_EMPHASIS = 3, 8
 HIDDEN = 16
-SAMPLE = 2000  # documents the model is fitted on, at most
+SAMPLE = 4000  # documents the model is fitted on, at most
 EPOCHS = 40
 BATCH = 64
 RATE = 0.01
@@ -152,8 +153,12 @@ def train(bags: list[np.ndarray], labels: list[int], seed: int = 3) -> QualityMo
     total = sum(len(b) for b in bags)
     mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / total
     spread = np.sqrt(sum(((b - mean) ** 2).sum(axis=0) for b in bags) / total)
-    # Rare kinds are not blown up: a share of one percent counts as one spread at least.
-    model = QualityModel(mean, np.maximum(spread, 0.01), weights)
+    # Rare kinds are not blown up: a share of one percent counts as one spread at least. The
+    # few features of words and single kinds are not outvoted by the many successions.
+    spread = np.maximum(spread, 0.01)
+    spread[:KINDS] /= KIND_EMPHASIS
+    spread[-WORD_FEATURES:] /= WORD_EMPHASIS
+    model = QualityModel(mean, spread, weights)
     y = np.array(labels, dtype=np.float64)
     first = {k: np.zeros_like(v) for k, v in weights.items()}
     second = {k: np.zeros_like(v) for k, v in weights.items()}
