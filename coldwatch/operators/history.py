@@ -11,8 +11,11 @@ DEFAULT_RECENT = 50
 RECENT_PER_TRUCK = 10
 
 
-def _newest_first() -> list[Column]:
-    return [F.col("timestamp").desc(), F.col("event_id").desc()]
+def _newest_first(alerts: DataFrame) -> list[Column]:
+    """A total order. A sequence number may repeat where it is an offset: in another
+    partition, which the truck decides, or for alerts without a truck, the partition."""
+    ties = ["event_id", "truck_id", "partition", "alert_type"]
+    return [F.col(c).desc() for c in ("timestamp", *ties) if c in alerts.columns]
 
 
 def alert_history(alerts: DataFrame, size: int = HISTORY_SIZE) -> DataFrame:
@@ -20,7 +23,7 @@ def alert_history(alerts: DataFrame, size: int = HISTORY_SIZE) -> DataFrame:
 
     A top-k: each task keeps ``size`` rows, nothing is sorted globally.
     """
-    return alerts.orderBy(*_newest_first()).limit(size)
+    return alerts.orderBy(*_newest_first(alerts)).limit(size)
 
 
 def alerts_recent(
@@ -38,7 +41,7 @@ def alerts_recent(
         found = found.where(F.col("severity") == F.upper(F.lit(severity)))
     if alert_type:
         found = found.where(F.col("alert_type") == F.upper(F.lit(alert_type)))
-    return found.orderBy(*_newest_first()).limit(limit)
+    return found.orderBy(*_newest_first(found)).limit(limit)
 
 
 def truck_recent_alerts(
@@ -51,7 +54,7 @@ def truck_recent_alerts(
     found = history.where(F.col("truck_id").isNotNull())
     if truck_id is not None:
         found = found.where(F.col("truck_id") == truck_id)
-    by_truck = Window.partitionBy("truck_id").orderBy(*_newest_first())
+    by_truck = Window.partitionBy("truck_id").orderBy(*_newest_first(found))
     return found.withColumn("recency", F.row_number().over(by_truck)).where(
         F.col("recency") <= size
     )

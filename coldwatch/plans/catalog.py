@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coldwatch.functions.time import utc_clock, utc_instant
 from coldwatch.operators.alerts import alerts_all, alerts_primary, alerts_wire, rule_alerts
 from coldwatch.operators.feed import feed_from_readings
 from coldwatch.operators.fleet import (
@@ -129,9 +130,9 @@ def q_fleet_state_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     raised = alerts_wire(alerts_primary(telemetry_from_wire(decode(readings))))
     alerts = raised.select(F.lit(ALERTS_TOPIC).alias("topic"), "event_id", "value")
     latest = latest_per_truck(wire_messages(decode(readings.unionByName(alerts))))
-    as_of = _as_of(read_telemetry(spark, sf_dir)).cast("timestamp")
+    as_of = utc_instant(_as_of(read_telemetry(spark, sf_dir)))
     state = fleet_state(latest, as_of, MAX_AGE_SECONDS)
-    return state.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+    return state.withColumn("last_seen", utc_clock(F.col("last_seen")))
 
 
 # --- feed and counters -----------------------------------------------------------

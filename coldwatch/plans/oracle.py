@@ -43,6 +43,10 @@ wire AS (
          WHEN event_id % 139 = 0 THEN props || ' x'
          WHEN event_id % 131 = 0 THEN '[' || regexp_extract(props, '([0-9]+)', 1) || ']'
          WHEN event_id % 137 = 0 THEN regexp_extract(props, '([0-9]+)', 1)
+         WHEN event_id % 149 = 0 THEN props || '}'
+         WHEN event_id % 151 = 0 THEN props || ',"x":{}'
+         WHEN event_id % 157 = 0 THEN replace(props, '"', '''')
+         WHEN event_id % 163 = 0 THEN regexp_extract(props, '([0-9]+)', 1) || ',"m":{"truck_id":"EVIL"}'
          ELSE '{}' END AS value
   FROM events
 ),

@@ -81,12 +81,20 @@ def wire_from_events(events: DataFrame) -> DataFrame:
     telemetry = telemetry_from_events(events, keep=("props",))
     number = F.regexp_extract("props", "([0-9]+)", 1)
     every = F.col("event_id")
+    reading = F.substring(telemetry_json(), 2, 1 << 20)
     value = (
         F.when(every % 127 == 0, F.lit(None).cast("string"))
         .when(every % 113 == 0, F.substring("props", F.lit(1), F.length("props") - 1))
         .when(every % 139 == 0, F.concat("props", F.lit(" x")))
         .when(every % 131 == 0, F.concat(F.lit("["), number, F.lit("]")))
         .when(every % 137 == 0, number)
+        .when(every % 149 == 0, F.concat("props", F.lit("}")))
+        .when(every % 151 == 0, F.concat("props", F.lit(',"x":{}')))
+        .when(every % 157 == 0, F.translate("props", '"', "'"))
+        .when(every % 163 == 0, F.concat(number, F.lit(',"m":{"truck_id":"EVIL"}')))
+        # Complete readings with a repeated key, and with NaN in an unknown field.
+        .when(every % 167 == 0, F.concat(F.lit('{"x":1,"x":2,'), reading))
+        .when(every % 173 == 0, F.concat(F.lit('{"x":NaN,'), reading))
         .otherwise(telemetry_json())
     )
     return telemetry.select(

@@ -1,9 +1,8 @@
 """JSON messages: decoding with error routing, and what a reading looks like on the wire.
 
-A message is parsed once, into typed fields. The text is wrapped in an object
-before parsing so that text after the JSON value is an error and not ignored.
-Only messages that yield no object are parsed again, to tell text that is not
-JSON from JSON that is not an object.
+A message is parsed into typed fields inside an object that ends in a mark, and once
+more inside an array that must have one element. Text that goes on after its JSON
+value, or that closes or extends a wrapper, cannot suit both.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ MALFORMED = "malformed"
 NOT_OBJECT = "not_object"
 
 _DOCUMENT = "document"
+_STRICT = {"allowSingleQuotes": "false"}
 
 
 def decode(messages: DataFrame, value: str = "value") -> DataFrame:
@@ -33,19 +33,22 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
     A field of the wrong type reads as NULL, like one that is absent.
     """
     text = F.col(value).cast("string")
-    wrapped = F.concat(F.lit('{"m":'), text, F.lit("}"))
     fields = ", ".join(f"{name}: {kind}" for name, kind in MESSAGE_FIELDS.items())
-    document = F.from_json(wrapped, f"m struct<{fields}>")["m"]
-    status = (
-        F.when(F.col(_DOCUMENT).isNotNull(), OK)
-        .when(F.try_parse_json(wrapped).isNull(), MALFORMED)
-        .otherwise(NOT_OBJECT)
+    marked = F.from_json(
+        F.concat(F.lit('{"m":'), text, F.lit(',"e":1}')), f"m struct<{fields}>, e int", _STRICT
     )
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
+    # Kept apart from what is made of it, so that each is parsed once.
+    parsed = messages.withColumn("_marked", marked).withColumn("_one", F.size(listed) == 1)
+    is_json = F.coalesce((F.col("_marked.e") == 1) & F.col("_one"), F.lit(False))
+    document = F.when(is_json, F.col("_marked.m"))
+    status = F.when(~is_json, MALFORMED).when(document.isNull(), NOT_OBJECT).otherwise(OK)
     return (
-        messages.withColumn(_DOCUMENT, document)
+        parsed.withColumn(_DOCUMENT, document)
         .withColumn("decode_status", status)
-        .withColumn("counted", F.col("decode_status") != MALFORMED)
+        .withColumn("counted", is_json)
         .withColumn("failed", F.col(_DOCUMENT).isNull())
+        .drop("_marked", "_one")
     )
 
 
@@ -99,16 +102,18 @@ def with_wire_problems(decoded: DataFrame, value: str = "value") -> DataFrame:
         absent = F.col(f"{_DOCUMENT}.{name}").isNull()
         if kind != "string":
             return absent
-        found = F.try_variant_get("_variant", f"$.{name}", "variant")
-        return absent | ~F.coalesce(F.schema_of_variant(found) == "STRING", F.lit(False))
+        found = F.schema_of_variant(F.col(f"_untyped.{name}"))
+        return absent | ~F.coalesce(found == "STRING", F.lit(False))
 
-    untyped = F.try_parse_json(F.col(value).cast("string"))
-    both = F.array(F.struct(F.col(_DOCUMENT), untyped.alias("_variant")))
+    # Untyped are only the text fields: repeated keys and NaN elsewhere do not matter.
+    texts = ", ".join(f"{name} variant" for name, kind in TELEMETRY_FIELDS if kind == "string")
+    untyped = F.from_json(F.col(value).cast("string"), texts, _STRICT)
+    both = F.array(F.struct(F.col(_DOCUMENT), untyped.alias("_untyped")))
     others = [c for c in decoded.columns if c != _DOCUMENT]
     # Unfolded like in ``_usable``: a filter on the problems must not parse again.
     usable = decoded.select(*others, F.inline(F.when(F.col(_DOCUMENT).isNotNull(), both)))
     problems = [F.when(bad(name, kind), F.lit(name)) for name, kind in TELEMETRY_FIELDS]
-    return usable.withColumn("problems", F.array_compact(F.array(*problems))).drop("_variant")
+    return usable.withColumn("problems", F.array_compact(F.array(*problems))).drop("_untyped")
 
 
 def telemetry_json() -> Column:

@@ -2,7 +2,9 @@ import json
 
 import pytest
 
+from conftest import SF
 from coldwatch.operators.alerts import alerts_primary, alerts_wire
+from coldwatch.plans.catalog import catalog
 from coldwatch.schemas import TELEMETRY_FIELDS
 from coldwatch.sources.kafka import as_messages
 from coldwatch.sources.wire import (
@@ -35,6 +37,19 @@ LINES = [
     ('{"truck_id": "T"', "malformed", False),
     ('{"truck_id": "T"} x', "malformed", False),
     ('{"a":1}{"b":2}', "malformed", False),
+    ('{"truck_id":"T"}}', "malformed", False),
+    ('{"truck_id":"T"}} junk', "malformed", False),
+    ('{"truck_id":"A"},"x":{}', "malformed", False),
+    ('1,"m":{"truck_id":"EVIL"}', "malformed", False),
+    ('{"truck_id":"A"},"m":{"truck_id":"B"}', "malformed", False),
+    ("{'truck_id':'T'}", "malformed", False),
+    ('{"a":1}],"z":[1', "malformed", False),
+    ('{"a":1},"e":2}', "malformed", False),
+    ('{"a":1},"e":1}', "malformed", False),
+    ("1] x", "malformed", False),
+    ("1,2", "malformed", False),
+    ('{"a":{"b":1,"b":2},"a":[NaN]}', "ok", True),
+    ('[{"a":1,"a":NaN}]', "not_object", True),
     ("[1]", "not_object", True),
     ("3", "not_object", True),
     ('"text"', "not_object", True),
@@ -99,6 +114,42 @@ def test_wire_problems(lines):
     assert [r.problems for r in rows] == [[], ["truck_id", "speed_kmh"], ["door_status"]]
 
 
+def test_wire_problems_of_odd_but_complete_readings(lines):
+    text = json.dumps(FULL)
+    repeated, nan = '{"speed_kmh": 1, ' + text[1:], '{"x": NaN, "y": {"z": 1, "z": 2}, ' + text[1:]
+    listed = text.replace('"truck_id": "x"', '"truck_id": ["x"]')
+    decoded = decode(lines(text, repeated, nan, listed, text.replace('"x"', "NaN")))
+    rows = with_wire_problems(decoded).orderBy("event_id").collect()
+    texts = [name for name, kind in TELEMETRY_FIELDS if kind == "string" and name != "timestamp"]
+    assert [r.problems for r in rows] == [[], [], [], ["truck_id"], texts]
+
+
+@pytest.fixture
+def new_york(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    yield
+    spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_times_do_not_depend_on_the_session_zone(lines, new_york):
+    hot = {"truck_id": "T", "temperature_c": 3.5}
+    times = ["2024-11-03T05:30:00Z", "2024-11-03T06:30:00Z", "2024-03-10T07:30:00.25Z"]
+    readings = telemetry_from_wire(decode(lines(*[json.dumps({**hot, "timestamp": t}) for t in times])))
+    found = alerts_wire(alerts_primary(readings)).orderBy("event_id").collect()
+    assert [json.loads(r.value)["timestamp"] for r in found] == [
+        "2024-11-03T05:30:00.000000Z", "2024-11-03T06:30:00.000000Z", "2024-03-10T07:30:00.250000Z"
+    ]
+
+
+def test_fleet_of_the_wire_in_another_zone(spark, request):
+    query = catalog()["fleet_state_wire"]
+    names = [c for c in query(spark, SF).columns]
+    want = sorted(map(str, query(spark, SF).select(names).collect()))
+    request.getfixturevalue("new_york")
+    assert sorted(map(str, query(spark, SF).select(names).collect())) == want
+
+
 def test_telemetry_round_trip(telemetry):
     back = telemetry_from_wire(decode(telemetry_to_wire(telemetry)))
     names = [c for c in telemetry.columns if c != "ts"]
