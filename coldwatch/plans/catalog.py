@@ -124,17 +124,27 @@ def q_metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics_table(count_messages(feed))
 
 
-def q_fleet_state_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fleet state from the JSON of both topics, as a consumer of them sees it."""
+def _both_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of both topics: the readings, and the alerts raised from those readable."""
     readings = read_wire(spark, sf_dir).select("topic", "event_id", "value")
     raised = alerts_wire(alerts_primary(telemetry_from_wire(decode(readings))))
     alerts = raised.select(F.lit(ALERTS_TOPIC).alias("topic"), "event_id", "value")
-    latest = latest_per_truck(wire_messages(decode(readings.unionByName(alerts))))
+    return readings.unionByName(alerts)
+
+
+def _shown(spark: SparkSession, sf_dir: str, latest: DataFrame) -> DataFrame:
+    """Fleet state of messages with instants, its times as clocks in UTC show them."""
     as_of = utc_instant(_as_of(read_telemetry(spark, sf_dir)))
     state = fleet_state(latest, as_of, MAX_AGE_SECONDS)
     return state.withColumn("last_seen", utc_clock(F.col("last_seen")))
 
 
+def q_fleet_state_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fleet state from the JSON of both topics, as a consumer of them sees it."""
+    latest = latest_per_truck(wire_messages(decode(_both_topics(spark, sf_dir))))
+    return _shown(spark, sf_dir, latest)
+
+
 # --- feed and counters -----------------------------------------------------------
 
 
@@ -282,6 +292,27 @@ def q_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.read_metrics(spark, folder)
 
 
+def _both_topics_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The messages of both topics as they would come in: a stream of files."""
+    messages = _both_topics(spark, sf_dir)
+    messages.write.parquet(f"{folder}/messages")
+    return spark.readStream.schema(messages.schema).parquet(f"{folder}/messages")
+
+
+def q_stream_fleet_state_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_folder(spark, "stream_fleet_state_wire")
+    messages = _both_topics_stream(spark, sf_dir, folder)
+    jobs.start_fleet_state_from_wire(messages, folder).awaitTermination()
+    return _shown(spark, sf_dir, jobs.read_latest(spark, folder))
+
+
+def q_stream_metrics_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_folder(spark, "stream_metrics_wire")
+    messages = _both_topics_stream(spark, sf_dir, folder)
+    jobs.start_metrics_from_wire(messages, folder).awaitTermination()
+    return jobs.read_metrics(spark, folder)
+
+
 def catalog() -> dict[str, Query]:
     """All named queries."""
     named: dict[str, Query] = {
@@ -322,6 +353,8 @@ def catalog() -> dict[str, Query]:
             "stream_alerts": q_stream_alerts,
             "stream_fleet_state": q_stream_fleet_state,
             "stream_metrics": q_stream_metrics,
+            "stream_fleet_state_wire": q_stream_fleet_state_wire,
+            "stream_metrics_wire": q_stream_metrics_wire,
         }
     )
     return named

@@ -431,5 +431,7 @@ FROM (SELECT truck_id, count(*) AS readings,
         )
     sql["stream_alerts"] = sql["alerts_primary"]
     sql["stream_fleet_state"] = sql["fleet_state"]
+    sql["stream_fleet_state_wire"] = sql["fleet_state_wire"]
+    sql["stream_metrics_wire"] = sql["metrics_table"]
     sql["stream_metrics"] = _with(*_TO_PRIMARY, _ALL_OK, select=_metrics("every_message"))
     return sql

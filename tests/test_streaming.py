@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,7 @@ from coldwatch.operators.alerts import alerts_primary
 from coldwatch.operators.feed import feed_from_readings
 from coldwatch.operators.fleet import fleet_state, latest_from_readings
 from coldwatch.operators.metrics import count_messages, messages_by_topic, metrics_table
+from coldwatch.plans.catalog import _both_topics, _shown, catalog
 from coldwatch.session import run_folder
 from coldwatch.sources.events import events_path, stream_telemetry
 from coldwatch.sources.wire import decode, telemetry_from_wire
@@ -57,12 +60,60 @@ def test_fleet_stream_equals_batch(spark, telemetry, files, snapshot_every):
     )
     as_of = telemetry.agg(F.max("ts")).scalar()
     expected = latest_from_readings(telemetry)
-    assert same(jobs.read_latest(spark, folder), expected)
+    assert same(jobs.read_latest(spark, folder, snapshot_every), expected)
     assert same(
-        jobs.read_fleet_state(spark, folder, as_of, 86_400), fleet_state(expected, as_of, 86_400)
+        jobs.read_fleet_state(spark, folder, as_of, 86_400, snapshot_every),
+        fleet_state(expected, as_of, 86_400),
     )
 
 
+def folders(path: str) -> int:
+    return sum(len(names) for _, names, _ in os.walk(path))
+
+
+def test_many_batches_need_no_more_folders(spark, tmp_path):
+    """Writes what 205 micro-batches would, one truck each, and reads in between."""
+    schema = "truck_id string, ts bigint"
+    changes, snapshots = jobs._fleet_rings(str(tmp_path), 10)
+    want, most = {}, 0
+    for n in range(205):
+        want[f"T{n % 7}"] = n
+        row = spark.createDataFrame([(f"T{n % 7}", n)], schema).coalesce(1)
+        if n and n % 10 == 0:
+            whole = jobs.read_latest(spark, str(tmp_path), 10)
+            whole = row.unionByName(whole.join(row, "truck_id", "left_anti")).coalesce(1)
+            snapshots.write(whole, n // 10)
+        changes.write(row, n)
+        if n % 60 == 59:  # a batch that has not finished yet is not seen
+            seen = {r.truck_id: r.ts for r in jobs.read_latest(spark, str(tmp_path), 10).collect()}
+            assert n not in seen.values()
+        changes.finish(spark, n, n // 10 * 10)
+        if n % 60 in (0, 6, 59):
+            rows = jobs.read_latest(spark, str(tmp_path), 10).collect()
+            assert {r.truck_id: r.ts for r in rows} == want
+        most = max(most, folders(str(tmp_path)))
+    assert most <= 2 + 2 * 10 + 2 + 3
+
+
+def test_both_topics_stream_equals_batch(spark, tmp_path):
+    query = catalog()
+    messages = _both_topics(spark, SF)
+    for n in range(4):
+        part = messages.where(F.pmod(F.xxhash64("topic", "event_id"), F.lit(4)) == n)
+        part.coalesce(1).write.parquet(str(tmp_path / f"part={n}"))
+
+    def start(job):
+        folder = run_folder(spark, "test")
+        reader = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1)
+        job(reader.parquet(f"{tmp_path}/part=*"), folder).awaitTermination()
+        return folder
+
+    state = jobs.read_latest(spark, start(jobs.start_fleet_state_from_wire))
+    assert same(_shown(spark, SF, state), query["fleet_state_wire"](spark, SF))
+    counts = jobs.read_metrics(spark, start(jobs.start_metrics_from_wire))
+    assert same(counts, query["metrics_table"](spark, SF))
+
+
 def test_counters_equal_batch_and_count_once(spark, telemetry, files):
     folder = run_twice(
         spark,
