@@ -2,7 +2,7 @@
 
 Only DataFrame functions are used. Calls and results are joined by identifier; repeats of
 an identifier are first reduced to one, so no key multiplies. The order is
-topological: a call comes after those whose results it uses, level by level, and calls in a
+topological: a call comes after those whose results it uses, by its level, and calls in a
 cycle or behind one get no level. Arguments are taken apart as variants and each is held
 against the schema of its tool. The JSON of a call has sorted keys and no white space.
 """
@@ -34,31 +34,85 @@ def _one_per_call(rows: DataFrame) -> DataFrame:
     return least.select("call_id", "least.*", "copies")
 
 
+def _chains(nodes: DataFrame) -> DataFrame:
+    """(call_id, uses, top, steps, ended): follows calls that use one other up to one that
+    uses none or several, in rounds that double the steps. A chain into a cycle does not end.
+
+    ``nodes`` has call_id, uses (their number) and used (the one, if it is one).
+    """
+    single = F.col("uses") == 1
+    chains = stored(
+        nodes.select(
+            "call_id", "uses",
+            F.when(single, F.col("used")).otherwise(F.col("call_id")).alias("top"),
+            single.cast("int").alias("steps"), (~single).alias("ended"),
+        ),
+        "call-chains",
+    )
+    left = chains.where("not ended").count()
+    while left:
+        above = chains.select(
+            F.col("call_id").alias("top"), F.col("top").alias("next"),
+            F.col("steps").alias("more"), F.col("ended").alias("ends"),
+        )
+        chains = stored(
+            chains.join(above, "top").select(
+                "call_id", "uses", F.col("next").alias("top"),
+                (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("ended"),
+            ),
+            "call-chains",
+        )
+        before, left = left, chains.where("not ended").count()
+        if left == before:  # what is left runs in circles
+            break
+    return chains.where("ended")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level): 0 for calls that use no other, else one more than the last they use.
 
-    ``calls`` has call_id and ``uses``, an array of identifiers; those of no call do not count. A
-    round settles a level, so there are as many rounds as levels.
+    ``calls`` has call_id and ``uses``, an array of identifiers; those of no call do not count.
+    Calls in a cycle or behind one are left out. Chains are followed in as many rounds as their
+    length has binary digits; then a round settles the calls that use several settled ones.
     """
     edges = calls.select("call_id", F.explode("uses").alias("used"))
     known = calls.select(F.col("call_id").alias("used"))
     edges = stored(edges.join(known, "used", "left_semi").distinct(), "call-uses")
-    free = calls.select("call_id").join(edges, "call_id", "left_anti")
-    settled = stored(free.withColumn("level", F.lit(0)), "call-levels")
-    done, level = settled, 0
-    waiting = edges
-    while True:
-        # An edge is open until the call it uses is settled; a call follows its last one.
-        last = done.where(F.col("level") == level).select(F.col("call_id").alias("used"))
-        remaining = stored(waiting.join(last, "used", "left_anti"), "call-uses")
-        ready = waiting.select("call_id").distinct().join(
-            remaining.select("call_id").distinct(), "call_id", "left_anti"
+    counted = edges.groupBy("call_id").agg(F.count("*").alias("uses"), F.min("used").alias("used"))
+    nodes = calls.select("call_id").join(counted, "call_id", "left").fillna(0, ["uses"])
+    chains = _chains(nodes)
+    settled = chains.where("uses = 0").select("call_id", F.lit(0).alias("level"))
+    # Calls that use several: what they wait for, as the top of its chain and the steps to it.
+    several = chains.where("uses > 1").select("call_id")
+    tops = chains.select(F.col("call_id").alias("used"), "top", "steps")
+    waiting = stored(
+        edges.join(several, "call_id", "left_semi").join(tops, "used", "left").select(
+            "call_id", "top", "steps", F.lit(None).cast("int").alias("level")
+        ),
+        "call-waits",
+    )
+    done, newly = settled, settled
+    while not waiting.isEmpty():
+        found = newly.select(F.col("call_id").alias("top"), F.col("level").alias("found"))
+        waiting = stored(
+            waiting.join(found, "top", "left").select(
+                "call_id", "top", "steps", F.coalesce("level", "found").alias("level")
+            ),
+            "call-waits",
         )
-        level += 1
-        newly = stored(ready.withColumn("level", F.lit(level)), "call-levels")
+        ready = waiting.groupBy("call_id").agg(
+            F.bool_and(F.col("level").isNotNull()).alias("all"),
+            F.max(F.col("level") + F.col("steps") + 1).alias("level"),
+        )
+        newly = stored(ready.where("all").select("call_id", "level"), "call-levels")
         if newly.isEmpty():
-            return done
-        done, waiting = done.unionByName(newly), remaining
+            break
+        done = done.unionByName(newly)
+        waiting = stored(waiting.join(newly, "call_id", "left_anti"), "call-waits")
+    tops = done.select(F.col("call_id").alias("top"), F.col("level").alias("start"))
+    return chains.join(tops, "top").select(
+        "call_id", (F.col("start") + F.col("steps")).alias("level")
+    )
 
 
 def _kind_matches(kind: Column, wanted: Column) -> Column:

@@ -137,6 +137,32 @@ def test_order_cycles_and_orphans(spark):
     assert not got["z"].valid and json.loads(got["z"].json)["result"] is None
 
 
+def test_levels_of_chains_and_joins(spark):
+    """Against plain recursion: chains of up to 70 calls, and calls that use several."""
+    rng = random.Random(12)
+    uses: dict = {}
+    for i in range(400):
+        several = rng.random() < 0.1
+        near = range(max(0, i - 3), i)
+        uses[i] = sorted(rng.sample(range(i), min(i, 3))) if several else [rng.choice(near)] if i % 70 else []
+    for i in range(400, 420):
+        uses[i] = [i + 1 if i < 405 else 400 if i == 405 else i - 1]
+    uses[420], uses[421] = [3, 402], [419, 5]
+
+    def level(i: int) -> int | None:
+        below = [depth[u] for u in uses[i]]
+        return None if None in below else 1 + max(below) if below else 0
+
+    depth: dict = {i: None for i in uses}
+    for i in range(400):
+        depth[i] = level(i)
+    calls = spark.createDataFrame(
+        [(str(i), [str(u) for u in used] + ["none"]) for i, used in uses.items()], "call_id string, uses array<string>"
+    )
+    found = {int(r.call_id): r.level for r in tools.levels(calls).collect()}
+    assert found == {i: d for i, d in depth.items() if d is not None}
+
+
 def test_arguments_and_canonical_json(spark):
     arguments = {
         "ok": '{"s": "x\\n\\"é", "n": 1.5, "i": 3, "b": true, "a": [1, 2], "o": {"z": 1, "y": null}}',
