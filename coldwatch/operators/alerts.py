@@ -32,7 +32,7 @@ FIRED, VARIANT = "_fired", "_variant"
 
 
 def with_fired(telemetry: DataFrame, book: RuleBook) -> DataFrame:
-    """Adds what each reading raises, as bits."""
+    """Adds what each reading raises; see ``RuleBook.fired``."""
     return telemetry.withColumn(FIRED, book.fired())
 
 
@@ -71,7 +71,7 @@ def alerts_primary(
     # Exploding none or one element, since a filter would be pushed below the
     # projection and evaluate every condition a second time.
     raised = with_fired(telemetry, book).withColumn(
-        FIRED, F.explode(F.array_remove(F.array(FIRED), F.lit(0).cast("bigint")))
+        FIRED, F.explode(F.when(book.raised(F.col(FIRED)), F.array(FIRED)))
     )
     return with_primary(raised, book).select("event_id", *primary_alert_columns(book, now))
 

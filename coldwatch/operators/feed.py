@@ -49,7 +49,7 @@ def feed_from_readings(
     book = RuleBook(rules)
     one, both = F.array(F.lit(TELEMETRY_TOPIC)), F.array(F.lit(TELEMETRY_TOPIC), F.lit(ALERTS_TOPIC))
     tagged = with_fired(telemetry, book).withColumn(
-        "topic", F.explode(F.when(F.col(FIRED) == 0, one).otherwise(both))
+        "topic", F.explode(F.when(book.raised(F.col(FIRED)), both).otherwise(one))
     )
     is_alert = F.col("topic") == ALERTS_TOPIC
     # On the reading's own row nothing counts as fired, so the alert fields are NULL.

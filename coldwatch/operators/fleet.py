@@ -148,7 +148,7 @@ def latest_from_readings(
     context = [c for c in ALERT_CONTEXT_FIELDS if c not in ("truck_id", "timestamp")]
     used = list(dict.fromkeys([*context, *book.columns_used()]))
     alert_time = dict(zip(ALERT_CONTEXT_FIELDS, alert_context(now)))["timestamp"]
-    alerted = F.col(FIRED) != 0
+    alerted = book.raised(F.col(FIRED))
     messages = with_fired(_known_trucks(telemetry), book).select(
         "truck_id",
         F.col("ts"),

@@ -39,8 +39,8 @@ HEALTHY_READINGS = {
 SEVERITY_RANK = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 UNKNOWN_RANK = 99
 
-# One bit per (rule, level) in a non-negative bigint.
-_MAX_VARIANTS = 63
+# One bit per (rule, level) in a non-negative bigint; more levels go into an array of numbers.
+_BITS = 63
 
 # Columns between ``look_up`` and ``describe``.
 FACT, VALUE = "_fact", "_value"
@@ -182,8 +182,9 @@ class RuleBook:
     def __init__(self, rules: Sequence[Rule] = DEFAULT_RULES):
         self.rules = tuple(rules)
         levels = [(rule, level) for rule in self.rules for level in rule.levels]
-        if not 0 < len(levels) <= _MAX_VARIANTS:
-            raise ValueError(f"1 to {_MAX_VARIANTS} rule levels expected")
+        if not levels:
+            raise ValueError("a rule with a level is expected")
+        self._as_bits = len(levels) <= _BITS
         # A stable sort: equal severities stay in rule order.
         self._variants = sorted(
             levels, key=lambda v: SEVERITY_RANK.get(v[1].severity, UNKNOWN_RANK)
@@ -213,7 +214,9 @@ class RuleBook:
     # --- per reading -----------------------------------------------------
 
     def fired(self) -> Column:
-        """The variants a reading raises, as bits; 0 if it raises none."""
+        """The variants a reading raises, as bits or sorted numbers; see ``raised``."""
+        if not self._as_bits:
+            return F.array_sort(self.each_variant())
         bits = [
             # A condition on a missing value is NULL, which is "does not fire".
             F.when(rule.fires(self._readings), self._choose_level(rule, lambda i: 1 << i))
@@ -232,17 +235,27 @@ class RuleBook:
         ]
         return F.array_remove(F.array(*numbers), none)
 
-    # --- from the fired bits ---------------------------------------------
+    # --- from what fired ---------------------------------------------------
+
+    def raised(self, fired: Column) -> Column:
+        """Whether a reading raises anything."""
+        return fired != 0 if self._as_bits else F.array_size(fired) > 0
 
     def primary_variant(self, fired: Column) -> Column:
-        """The most severe variant: the position of the lowest bit."""
+        """The most severe variant: the position of the lowest bit, or the least number."""
+        if not self._as_bits:
+            return F.get(fired, F.lit(0))
         return F.bit_count(fired.bitwiseAND(-fired) - 1)
 
     def total(self, fired: Column) -> Column:
-        return F.bit_count(fired)
+        return F.bit_count(fired) if self._as_bits else F.array_size(fired)
 
     def others(self, fired: Column) -> Column:
         """Types of the alerts after the primary one, ranked; NULL if there are none."""
+        if not self._as_bits:
+            types = F.array(*[F.lit(rule.alert_type) for rule, _ in self._variants])
+            others = F.transform(F.slice(fired, 2, len(self._variants)), lambda v: F.get(types, v))
+            return F.when(F.array_size(fired) > 1, others)
         rest = fired.bitwiseAND(fired - 1)
         names = [
             F.when(rest.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, rule.alert_type).otherwise("")

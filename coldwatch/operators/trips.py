@@ -12,8 +12,8 @@ from coldwatch.functions.time import elapsed_seconds
 FUEL_LITRES_PER_KM = 0.3
 TANK_LITRES = 400
 
-# Readings of one truck that one task may be asked to sort.
-HOT_TRUCK_READINGS = 4_000_000
+# Readings that one task is to sort; there are as many pieces as that takes.
+PIECE_READINGS = 4_000_000
 
 _FIX = ["truck_id", "ts", "event_id", "latitude", "longitude", "speed_kmh"]
 _TIMELINE = ["ts", "event_id"]
@@ -29,30 +29,25 @@ def _previous(window: Window) -> dict[str, Column]:
     return lagged
 
 
-def _pair_by_truck(fixes: DataFrame) -> DataFrame:
-    """One shuffle: each truck's readings in one task."""
-    return fixes.withColumns(_previous(Window.partitionBy("truck_id").orderBy(*_TIMELINE)))
+def _paired(fixes: DataFrame, pieces: int) -> DataFrame:
+    """Each reading with its truck's previous one.
 
-
-def _pair_by_range(fixes: DataFrame, ranges: int) -> DataFrame:
-    """Pairs for trucks with too many readings for one task.
-
-    Range partitioning on (truck, time, sequence) cuts a truck's timeline into
+    Range partitioning on (truck, time, sequence) cuts the timelines into
     contiguous pieces of similar size, whatever the distribution, even if all
-    readings share one timestamp. Inside a piece ``lag`` finds the previous
-    reading. Only the first reading of a piece lacks one: it is the last of the
-    piece before. So the two ends of every piece, at most two rows per piece
+    readings are of one truck and share one timestamp. Inside a piece ``lag`` finds the
+    previous reading. Only the first reading of a truck in a piece lacks one: it is the last of
+    the piece before. So the two ends of every piece, at most two rows per piece
     and truck, meet in one group in a second window. Interior rows keep their
     piece as the group, so no group outgrows a piece.
 
     The piece number is data from here on, in a single line of operators. It is
     never computed twice, so it cannot disagree with itself after a task is lost.
     """
-    pieces = fixes.repartitionByRange(ranges, "truck_id", *_TIMELINE).withColumn(
+    numbered = fixes.repartitionByRange(pieces, "truck_id", *_TIMELINE).withColumn(
         "piece", F.spark_partition_id()
     )
     inside = Window.partitionBy("truck_id", "piece").orderBy(*_TIMELINE)
-    paired = pieces.withColumns(
+    paired = numbered.withColumns(
         {**_previous(inside), "has_next": F.lead(F.lit(True), 1, False).over(inside)}
     )
     interior = F.col("has_previous") & F.col("has_next")
@@ -65,31 +60,21 @@ def _pair_by_range(fixes: DataFrame, ranges: int) -> DataFrame:
     return grouped.withColumns(stitched).drop("piece", "has_next", "group")
 
 
-def consecutive_fixes(
-    telemetry: DataFrame,
-    hot_readings: int = HOT_TRUCK_READINGS,
-    ranges: int | None = None,
-) -> DataFrame:
+def pieces_for(fixes: DataFrame, piece_readings: int = PIECE_READINGS) -> int:
+    """As many pieces as the number of readings takes, and one per core at least."""
+    needed = -(-fixes.count() // piece_readings)
+    return max(needed, fixes.sparkSession.sparkContext.defaultParallelism)
+
+
+def consecutive_fixes(telemetry: DataFrame, pieces: int | None = None) -> DataFrame:
     """Each reading of a known truck with that truck's previous one, if any.
 
-    Trucks up to ``hot_readings`` are paired with one shuffle; the others take
-    the range path. Both are exact. The list of hot trucks can be broadcast
-    safely: no more than total / ``hot_readings`` trucks can be on it.
+    Counts the readings first, unless the number of ``pieces`` is given.
     """
     fixes = telemetry.where(F.col("truck_id").isNotNull() & (F.col("truck_id") != "")).select(
         *_FIX
     )
-    if ranges is None:
-        ranges = int(telemetry.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(
-        fixes.groupBy("truck_id")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > hot_readings)
-        .select("truck_id")
-    )
-    return _pair_by_truck(fixes.join(hot, "truck_id", "left_anti")).unionByName(
-        _pair_by_range(fixes.join(hot, "truck_id", "left_semi"), ranges)
-    )
+    return _paired(fixes, pieces_for(fixes) if pieces is None else pieces)
 
 
 def trip_segments(fixes: DataFrame) -> DataFrame:

@@ -161,3 +161,25 @@ def test_own_rules(readings):
         rule_alerts(df, "NO_SUCH_RULE")
     with pytest.raises(ValueError):
         RuleBook([])
+
+
+def test_more_levels_than_bits(readings):
+    """Seventy rules of which the first eight are the usual ones; the others rank last."""
+    extra = [
+        Rule(
+            alert_type=f"OVER_{n}", reading="cargo_weight_kg",
+            fires=lambda r, n=n: r["cargo_weight_kg"] > 1000 * n,
+            levels=(Level("LOW", "LOW"),), message="{v} kg", action="WEIGH", threshold=f"{n}.0", unit="kg",
+        )
+        for n in range(1, 71)
+    ]
+    df = readings(
+        {"cargo_weight_kg": 3500.0, "temperature_c": 0.0}, {"cargo_weight_kg": 70_500.0}, {}, {"humidity_pct": 99.0}
+    )
+    found = {a.event_id: a for a in alerts_primary(df, [*DEFAULT_RULES, *extra]).collect()}
+    assert {i: (a.alert_type, a.total_alerts) for i, a in found.items()} == {
+        0: ("TEMP_BREACH", 4), 1: ("OVER_1", 70), 3: ("HUMIDITY_BREACH", 1)
+    }
+    assert found[0].additional_alerts == ["OVER_1", "OVER_2", "OVER_3"]
+    assert len(found[1].additional_alerts) == 69 and found[3].additional_alerts is None
+    assert alerts_all(df, [*DEFAULT_RULES, *extra]).count() == 75

@@ -3,9 +3,10 @@ from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from coldwatch.operators.routes import ROUTES, route_segments, routes, truck_route, truck_segments
-from coldwatch.operators.trips import consecutive_fixes, trip_segments, trip_summary
+from coldwatch.operators.trips import consecutive_fixes, pieces_for, trip_segments, trip_summary
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -43,11 +44,10 @@ def brute_force(records):
     return pairs
 
 
-# Never hot, only the big truck hot, all hot with many small pieces.
-@pytest.mark.parametrize("hot,ranges", [(10**6, 4), (100, 5), (0, 64), (0, 1)])
-def test_segments_against_brute_force(readings, hot, ranges):
+@pytest.mark.parametrize("pieces", [1, 4, 5, 64, None])
+def test_segments_against_brute_force(readings, pieces):
     records = skewed(400)
-    fixes = consecutive_fixes(readings(*records), hot_readings=hot, ranges=ranges)
+    fixes = consecutive_fixes(readings(*records), pieces)
     expected = brute_force(records)
     found = {s.event_id: (s.elapsed_s, s.distance_km) for s in trip_segments(fixes).collect()}
     assert found.keys() == expected.keys()
@@ -56,10 +56,26 @@ def test_segments_against_brute_force(readings, hot, ranges):
         assert found[i][1] == pytest.approx(distance, abs=1e-9)
 
 
-def test_hot_path_gives_the_same_summary(telemetry):
-    plain = trip_summary(consecutive_fixes(telemetry))
-    hot = trip_summary(consecutive_fixes(telemetry, hot_readings=20, ranges=13))
-    assert plain.exceptAll(hot).count() == 0 and hot.exceptAll(plain).count() == 0
+def test_pieces_give_the_same_summary(telemetry):
+    whole = trip_summary(consecutive_fixes(telemetry, 1))
+    cut = trip_summary(consecutive_fixes(telemetry, 13))
+    assert whole.exceptAll(cut).count() == 0 and cut.exceptAll(whole).count() == 0
+
+
+def test_pieces_are_bounded_by_the_data(readings):
+    fixes = readings(*skewed(2000))
+    assert pieces_for(fixes, piece_readings=20) == 100
+    ranged = fixes.repartitionByRange(100, "truck_id", "ts", "event_id")
+    largest = ranged.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest <= 2 * 20
+
+
+def test_plan_reads_once_and_has_no_switch(telemetry):
+    plan = consecutive_fixes(telemetry, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert plan.count("Exchange rangepartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "Join" not in plan
 
 
 def test_summary(readings):
