@@ -99,20 +99,24 @@ def rule_alerts(
     return alerts_all(telemetry, wanted, now)
 
 
-def alerts_wire(alerts: DataFrame) -> DataFrame:
-    """Alerts as keyed JSON messages: numbers as numbers, absent fields left out."""
+def alert_json(fields: Sequence[str] = PRIMARY_ALERT_FIELDS) -> Column:
+    """An alert as JSON text: numbers as numbers, absent fields left out."""
 
     def number_or_text(name: str) -> Column:
         number = F.col(name).try_cast("double").cast("variant")
         return F.coalesce(number, F.col(name).cast("variant")).alias(name)
 
-    present = PRIMARY_ALERT_FIELDS if "total_alerts" in alerts.columns else ALERT_FIELDS
     written = {
         "threshold": number_or_text("threshold"),
         "actual_value": number_or_text("actual_value"),
         "timestamp": iso_utc(F.col("timestamp")).alias("timestamp"),
     }
-    body = F.struct(*[written.get(name, F.col(name)) for name in present])
+    return F.to_json(F.struct(*[written.get(name, F.col(name)) for name in fields]))
+
+
+def alerts_wire(alerts: DataFrame) -> DataFrame:
+    """Alerts as keyed JSON messages."""
+    present = PRIMARY_ALERT_FIELDS if "total_alerts" in alerts.columns else ALERT_FIELDS
     return alerts.select(
-        "event_id", F.col("truck_id").alias("key"), F.to_json(body).alias("value")
+        "event_id", F.col("truck_id").alias("key"), alert_json(present).alias("value")
     )

@@ -12,7 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldwatch.functions.time import utc_clock, utc_instant
-from coldwatch.operators.alerts import alerts_all, alerts_primary, alerts_wire, rule_alerts
+from coldwatch.operators.alerts import (
+    alert_json,
+    alerts_all,
+    alerts_primary,
+    alerts_wire,
+    rule_alerts,
+)
 from coldwatch.operators.feed import feed_from_readings
 from coldwatch.operators.fleet import (
     alerts_active,
@@ -126,10 +132,11 @@ def q_metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _both_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON of both topics: the readings, and the alerts raised from those readable."""
-    readings = read_wire(spark, sf_dir).select("topic", "event_id", "value")
-    raised = alerts_wire(alerts_primary(telemetry_from_wire(decode(readings))))
-    alerts = raised.select(F.lit(ALERTS_TOPIC).alias("topic"), "event_id", "value")
-    return readings.unionByName(alerts)
+    messages = read_wire(spark, sf_dir).select("event_id", "value")
+    readings = telemetry_from_wire(decode(messages), usable_only=False)
+    feed = feed_from_readings(readings, keep=("value",))
+    value = F.when(F.col("topic") == ALERTS_TOPIC, alert_json()).otherwise(F.col("value"))
+    return feed.select("topic", "event_id", value.alias("value"))
 
 
 def _shown(spark: SparkSession, sf_dir: str, latest: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from coldwatch.operators.fleet import fleet_state, latest_from_readings
 from coldwatch.operators.history import alert_history, alerts_recent
 from coldwatch.operators.metrics import alerts_by_type, count_messages
 from coldwatch.operators.trips import consecutive_fixes, trip_segments
-from coldwatch.plans.catalog import catalog
+from coldwatch.plans.catalog import _both_topics, catalog
 
 # HotSpot does not compile methods above this many bytes.
 JIT_LIMIT = 8000
@@ -66,6 +66,13 @@ def test_counters_read_once(table):
     assert plan.count("FileScan") == plan.count("Exchange") == 1 and "partial_count" in plan
 
 
+def test_both_topics_come_from_one_scan(spark):
+    plan = explain(_both_topics(spark, "/root/testdata/sf0.001"))
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    plan = explain(catalog()["fleet_state_wire"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("FileScan") == 2  # the other only for the newest time
+
+
 def test_trips_have_one_path_without_joins(table):
     plan = explain(trip_segments(consecutive_fixes(table)))
     assert "Join" not in plan and "Broadcast" not in plan and "Cartesian" not in plan
