@@ -6,6 +6,7 @@ the newest reading, never the clock, so results are repeatable.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -273,19 +274,27 @@ def q_trip_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming ---------------------------------------------------------------------
 
 
+def _job_folder(spark: SparkSession, job: str) -> str:
+    """The folder of one run; a local session without a shared folder gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] == "local":
+        return tempfile.mkdtemp(prefix=f"coldwatch-{job}-")
+    return run_folder(spark, job)
+
+
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_telemetry(spark, events_path(sf_dir))
 
 
 def q_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = run_folder(spark, "stream_alerts")
+    folder = _job_folder(spark, "stream_alerts")
     alerts = alerts_primary(_events_stream(spark, sf_dir))
     jobs.start_alerts(alerts, folder).awaitTermination()
     return _flat(jobs.read_alerts(spark, folder))
 
 
 def q_stream_fleet_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = run_folder(spark, "stream_fleet_state")
+    folder = _job_folder(spark, "stream_fleet_state")
     latest = latest_from_readings(_events_stream(spark, sf_dir))
     jobs.start_fleet_state(latest, folder).awaitTermination()
     as_of = _as_of(read_telemetry(spark, sf_dir))
@@ -293,7 +302,7 @@ def q_stream_fleet_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = run_folder(spark, "stream_metrics")
+    folder = _job_folder(spark, "stream_metrics")
     counts = count_messages(feed_from_readings(_events_stream(spark, sf_dir)))
     jobs.start_metrics(counts, folder).awaitTermination()
     return jobs.read_metrics(spark, folder)
@@ -307,14 +316,14 @@ def _both_topics_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFr
 
 
 def q_stream_fleet_state_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = run_folder(spark, "stream_fleet_state_wire")
+    folder = _job_folder(spark, "stream_fleet_state_wire")
     messages = _both_topics_stream(spark, sf_dir, folder)
     jobs.start_fleet_state_from_wire(messages, folder).awaitTermination()
     return _shown(spark, sf_dir, jobs.read_latest(spark, folder))
 
 
 def q_stream_metrics_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = run_folder(spark, "stream_metrics_wire")
+    folder = _job_folder(spark, "stream_metrics_wire")
     messages = _both_topics_stream(spark, sf_dir, folder)
     jobs.start_metrics_from_wire(messages, folder).awaitTermination()
     return jobs.read_metrics(spark, folder)

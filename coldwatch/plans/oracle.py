@@ -57,6 +57,7 @@ decoded AS (
   FROM wire
 )"""
 
+# The rules, with their texts and thresholds.
 # rule position, type, severity, message, action, threshold, reading, unit, sla, condition
 _RULES = [
     (0, "TEMP_BREACH", "'CRITICAL'", "'Temperature excursion detected: ' || {v} || '°C exceeds -5°C threshold'",
@@ -178,6 +179,7 @@ pairs AS (
   FROM numbered b LEFT JOIN numbered a ON a.truck_id = b.truck_id AND a.n = b.n - 1
 )"""
 
+# Names.
 _METRIC_NAMES = {
     "total": "logistics_messages_total",
     "topic": "logistics_messages_by_topic",
@@ -292,6 +294,7 @@ _MISSING = "concat_ws(',', {})".format(
 )
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in _REQUIRED)
 
+# Names.
 _ROUTE_NAMES = """
 route_names(route_id, route_name, waypoints) AS (VALUES
   ('RT-LAG-ABJ', 'Lagos to Abuja Express', 9),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -44,12 +43,9 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
 def run_folder(spark: SparkSession, job: str) -> str:
     """A new folder for one run of ``job``, in the storage all executors share.
 
-    The cluster names that storage in ``spark.checkpoint.dir``. Only a local
-    session may go without it; there a temporary folder is as good.
+    The cluster names that storage in ``spark.checkpoint.dir``.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="coldwatch-")
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{shared.rstrip('/')}/coldwatch/{job}-{uuid.uuid4().hex}"

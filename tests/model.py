@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Fixed values, here and in the conditions below: severities in order, thresholds.
 ORDER = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 
 

@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,6 @@ from coldwatch.operators.feed import feed_from_readings
 from coldwatch.operators.fleet import fleet_state, latest_from_readings
 from coldwatch.operators.metrics import count_messages, messages_by_topic, metrics_table
 from coldwatch.plans.catalog import _both_topics, _shown, catalog
-from coldwatch.session import run_folder
 from coldwatch.sources.events import events_path, stream_telemetry
 from coldwatch.sources.wire import decode, telemetry_from_wire
 from coldwatch.streaming import jobs
@@ -36,7 +36,7 @@ def stream(spark, files, which="*"):
 
 def run_twice(spark, files, start):
     """Runs on the early files, then again from the checkpoint on all of them."""
-    folder = run_folder(spark, "test")
+    folder = tempfile.mkdtemp(prefix="coldwatch-test-")
     for which in ("now", "*"):
         start(stream(spark, files, which), folder).awaitTermination()
     return folder
@@ -103,7 +103,7 @@ def test_both_topics_stream_equals_batch(spark, tmp_path):
         part.coalesce(1).write.parquet(str(tmp_path / f"part={n}"))
 
     def start(job):
-        folder = run_folder(spark, "test")
+        folder = tempfile.mkdtemp(prefix="coldwatch-test-")
         reader = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1)
         job(reader.parquet(f"{tmp_path}/part=*"), folder).awaitTermination()
         return folder
