@@ -5,9 +5,11 @@ import pytest
 from conftest import SF, SF_LARGER
 
 import __spark_entry__ as contract
+from coldwatch.plans.catalog import catalog
+from coldwatch.plans.oracle import oracle_sql
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = catalog()
+SQL = oracle_sql()
 
 PER_TYPE = {
     SF: dict(TEMP_BREACH=57, HUMIDITY_BREACH=59, DOOR_VIOLATION=48, SPEED_VIOLATION=47, LOW_FUEL=125,
@@ -24,6 +26,8 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert QUERIES.keys() <= contract.queries().keys()
+    assert SQL.items() <= contract.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
