@@ -1,15 +1,11 @@
 """Benchmark decontamination: passages within an edit distance of benchmark items.
 
-Texts are sequences of words. A window of an item's size is embedded by a CGK random walk:
-step j writes the word the walk stands on and goes on by a bit drawn from (j, word), so
-windows at a small edit distance fall into step and agree in many places. A repetition
-draws one walk and ``SAMPLED`` of its steps; windows and items that agree in them are
-candidates. ``REPETITIONS`` of them reach the target recall. The best placed
-candidates are then verified by their exact edit distance.
-
-Windows that cannot hold an item are left out before the walk, without loss: an item of
-L words with k edits keeps at least L - q + 1 - qk of its runs of q words in the window. The
-runs are of three words, or of two where an item is too short for that.
+Texts are sequences of words. An item of L words with k edits keeps at least L - q + 1 - qk
+of its runs of q words in the window that holds it, at most L + k words wide. Documents are
+looked through for stretches with so many runs of any item, then of one item, and there
+the item is aligned exactly, with all places it could start at. Nothing is sampled: every
+passage within the allowed edits is found, however the edits are mixed, so the recall is one.
+The runs are of three words, or of two or one where an item keeps too few of them.
 
 The operator is a pass over the documents without a shuffle. Items go to the tasks in
 bounded groups, a pass for each group.
@@ -30,13 +26,9 @@ from coldwatch.llm.common import as_rows, portions, ready, texts_of, with_text
 
 SIMILARITY = 0.8  # one less edits per word of the item
 LEAST_WORDS = 5  # shorter items are too short to tell from chance
-SAMPLED = 2
-REPETITIONS = 16
 ITEMS_AT_ONCE = 4096
-WINDOWS_AT_ONCE = 1 << 12
 RUN_BITS = 20
 LEAST_RUNS = 3  # that a window must keep for runs of three words to be used
-STEPS = 1.6  # of a walk, times the words of the window; on average it goes on every second step
 WORD = re.compile(r"\w+")
 
 
@@ -73,81 +65,60 @@ def best_match(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]
     return best, int(ends[np.abs(ends - len(item)).argmin()])
 
 
-class _Walks:
-    """The random walks of windows of one length: symbols at the sampled steps."""
-
-    def __init__(self, length: int, repetitions: int):
-        rng = np.random.default_rng(length)
-        self.length, self.steps = length, int(STEPS * length)
-        self.factor = rng.integers(0, 1 << 63, (self.steps, repetitions, 1), dtype=np.uint64)
-        self.factor |= np.uint64(1)
-        self.sampled = np.stack(
-            [rng.choice(self.steps, SAMPLED, replace=False) for _ in range(repetitions)]
-        )
-
-    def samples(self, words: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(repetitions, windows): a code of the words at the sampled steps.
-
-        ``words`` ends in padding as long as a window; beyond its window a walk reads -1.
-        """
-        shape = (len(self.sampled), len(starts))
-        at = np.broadcast_to(starts, shape).copy()
-        end = starts + self.length
-        codes = np.zeros(shape, dtype=np.int64)
-        for j in range(self.steps):
-            symbol = np.where(at < end, words[at], -1)
-            for repetition in np.flatnonzero((self.sampled == j).any(axis=1)):
-                codes[repetition] = codes[repetition] * 1_000_003 + symbol[repetition] + 2
-            advance = (hashes[symbol] * self.factor[j]) >> np.uint64(63)
-            at += advance.astype(np.int64)
-            np.minimum(at, end, out=at)
-        return codes
+def first_start(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
+    """Least edits that turn ``item`` into any part of ``text``, and where the first such starts.
+
+    None if more than ``most`` are needed.
+    """
+    text = text[::-1]
+    columns = np.arange(len(text) + 1)
+    row = np.zeros_like(columns)
+    for i, word in enumerate(item[::-1].tolist(), 1):
+        step = np.minimum(row[1:] + 1, row[:-1] + (text != word))
+        step = np.concatenate(([i], step))
+        row = np.minimum.accumulate(step - columns) + columns
+        if row.min() > most:
+            return None
+    start = int(row[::-1].argmin())
+    return int(row[len(text) - start]), start
 
 
 class Benchmark:
     """A bounded group of items, ready to be searched for."""
 
-    def __init__(
-        self,
-        items: list[tuple[int, str]],
-        similarity: float = SIMILARITY,
-        repetitions: int = REPETITIONS,
-    ):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
         spelt = [(i, words_of(t)) for i, t in items]
         spelt = [(i, w) for i, w in spelt if len(w) >= LEAST_WORDS]
         spelt.sort(key=lambda s: (s[0] is None, s[0] or 0, s[1]))
         vocabulary = sorted({w for _, ws in spelt for w in ws})
         self.vocabulary = {w: n for n, w in enumerate(vocabulary, 1)}  # 0: any other word
-        self.hashes = np.random.default_rng(0).integers(
-            0, 1 << 63, len(vocabulary) + 2, dtype=np.uint64
-        )
         self.item_ids = [i for i, _ in spelt]
         self.items = [np.array([self.vocabulary[w] for w in ws]) for _, ws in spelt]
         self.similarity = similarity
-        # For runs of two and of three words: the item lengths that have the run.
-        self.runs = {q: np.zeros(1 << RUN_BITS, dtype=np.uint64) for q in (2, 3)}
-        self.tables: dict[int, tuple[_Walks, list[dict[int, list[int]]]]] = {}
-        for length in sorted({len(w) for w in self.items}):
-            walks = _Walks(length, repetitions)
-            tables: list[dict[int, list[int]]] = [{} for _ in range(repetitions)]
-            for n, item in enumerate(self.items):
-                if len(item) == length:
-                    padded = np.concatenate((item, np.zeros(1, item.dtype)))
-                    codes = walks.samples(padded, self.hashes, np.zeros(1, np.int64))
-                    for table, code in zip(tables, codes[:, 0].tolist()):
-                        table.setdefault(code, []).append(n)
-                    q = self._run(length)
-                    self.runs[q][self._codes(item, q)] |= self._bit(length)
-            self.tables[length] = (walks, tables)
-        self.longest = max(self.tables, default=0)
+        self.needed = np.array([self._needed(len(w)) for w in self.items], dtype=np.int64)
+        # By words of a run: folded runs of the items, and all runs with the items that have each.
+        self.folded: dict[int, np.ndarray] = {}
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.own_runs: list[np.ndarray] = [np.zeros(0, np.int64)] * len(self.items)
         # A window that holds an item has so many runs in some stretch of this size.
-        self.dense = {}
-        for q in (2, 3):
-            own = [n for n in self.tables if self._run(n) == q]
-            if own:
-                stretch = min(n + self._edits(n) for n in own)
-                parts = {n: -(-(n + self._edits(n)) // stretch) for n in own}
-                self.dense[q] = (min(-(-self._needed(n) // parts[n]) for n in own), stretch, own)
+        self.dense: dict[int, tuple[int, int]] = {}
+        lengths = [len(w) for w in self.items]
+        for q in sorted({self._run(n) for n in lengths}):
+            own = [n for n, length in enumerate(lengths) if self._run(length) == q]
+            codes = [np.unique(self._codes(self.items[n], q)) for n in own]
+            runs, numbers = np.unique(np.concatenate(codes), return_inverse=True)
+            holders = np.repeat(own, [len(c) for c in codes])
+            for n, part in zip(own, np.split(numbers, np.cumsum([len(c) for c in codes])[:-1])):
+                self.own_runs[n] = part
+            order = np.argsort(numbers, kind="stable")
+            ends = np.cumsum(np.bincount(numbers, minlength=len(runs)))
+            self.runs[q] = runs, np.concatenate(([0], ends)), holders[order]
+            self.folded[q] = np.zeros(1 << RUN_BITS, dtype=bool)
+            self.folded[q][self._fold(runs)] = True
+            widths = {lengths[n] for n in own}
+            stretch = min(n + self._edits(n) for n in widths)
+            parts = {n: -(-(n + self._edits(n)) // stretch) for n in widths}
+            self.dense[q] = min(-(-self._needed(n) // parts[n]) for n in widths), stretch
 
     def _edits(self, length: int) -> int:
         return edits_allowed(length, self.similarity)
@@ -157,91 +128,99 @@ class Benchmark:
 
     def _run(self, length: int) -> int:
         """Words of the runs that items of this length are looked for by."""
-        return 3 if self._kept(length, 3) >= LEAST_RUNS else 2
+        if self._kept(length, 3) >= LEAST_RUNS:
+            return 3
+        return 2 if self._kept(length, 2) >= 1 else 1
 
     def _needed(self, length: int) -> int:
         """Runs of an item of this length that a window with it has at least."""
         return max(self._kept(length, self._run(length)), 1)
 
-    @staticmethod
-    def _bit(length: int) -> np.uint64:
-        return np.uint64(1 << (length % 64))
-
     @staticmethod
     def _codes(words: np.ndarray, q: int) -> np.ndarray:
         count = max(len(words) - q + 1, 0)
         mixed = words[:count]
         for n in range(1, q):
             mixed = mixed * 0x9E3779B1 + words[n : n + count]
-        return (mixed * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - RUN_BITS)
+        return mixed
+
+    @staticmethod
+    def _fold(codes: np.ndarray) -> np.ndarray:
+        return (codes * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - RUN_BITS)
 
     def spell(self, text: str) -> np.ndarray:
         words = words_of(text)
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
-    def _windows(self, at: np.ndarray, length: int, count: int) -> np.ndarray:
-        """Starts of windows with enough of the runs that stand at ``at``."""
-        edits, needed = self._edits(length), self._needed(length)
-        spans = at[needed - 1 :] - at[: len(at) - needed + 1]
-        starts: set[int] = set()
-        for n in np.flatnonzero(spans < length + edits).tolist():
-            first, last = int(at[n]), int(at[n + needed - 1])
-            starts.update(range(max(last - length - edits + 1, 0), first + 1))
-        within = np.array(sorted(starts), dtype=np.int64)
-        return within[within <= count - (length - edits)]
+    def _held(self, found: np.ndarray, q: int) -> np.ndarray:
+        """Items with enough runs in a whole document; ``found`` are the numbers of its runs."""
+        _, ends, holders = self.runs[q]
+        distinct, counts = np.unique(found, return_counts=True)
+        sizes = ends[distinct + 1] - ends[distinct]
+        ahead = np.repeat(ends[distinct] - np.cumsum(sizes) + sizes, sizes)
+        items = holders[ahead + np.arange(len(ahead))]
+        totals = np.bincount(items, np.repeat(counts, sizes), len(self.items))
+        return np.flatnonzero(totals >= self.needed)
+
+    def _starts(self, at: np.ndarray, n: int, q: int) -> list[tuple[int, int]]:
+        """First and last start of windows with enough of the item's runs, which stand at ``at``."""
+        needed, length = int(self.needed[n]), len(self.items[n])
+        width = length + self._edits(length)
+        firsts, lasts = at[: len(at) - needed + 1], at[needed - 1 :]
+        near = lasts - firsts <= width - q
+        highs, lows = firsts[near], np.maximum(lasts[near] + q - width, 0)
+        if not len(lows):
+            return []
+        cuts = np.flatnonzero(lows[1:] > highs[:-1] + 1)
+        first = lows[np.concatenate(([0], cuts + 1))]
+        return list(zip(first.tolist(), highs[np.append(cuts, len(highs) - 1)].tolist()))
 
     def find(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, start, size, edits) of the best place of each item in a document."""
         best: dict[int, tuple[int, int, int]] = {}
-        for q, (fewest, stretch, own) in self.dense.items():
-            lengths = self.runs[q][self._codes(words, q)]
-            at = np.flatnonzero(lengths)
+        for q, (fewest, stretch) in self.dense.items():
+            codes = self._codes(words, q)
+            at = np.flatnonzero(self.folded[q][self._fold(codes)])
             if len(at) < fewest:
                 continue
             if not (at[fewest - 1 :] - at[: len(at) - fewest + 1] < stretch).any():
                 continue
-            lengths = lengths[at]
-            padded = np.concatenate((words, np.zeros(2 * self.longest + 2, words.dtype)))
-            for length in own:
-                places = at[(lengths & self._bit(length)) > 0]
-                if len(places) < self._needed(length):
-                    continue
-                starts = self._windows(places, length, len(words))
-                for a in range(0, len(starts), WINDOWS_AT_ONCE):
-                    self._verify(words, padded, starts[a : a + WINDOWS_AT_ONCE], length, best)
+            runs = self.runs[q][0]
+            numbers = np.minimum(np.searchsorted(runs, codes[at]), len(runs) - 1)
+            same = runs[numbers] == codes[at]
+            at, numbers = at[same], numbers[same]
+            for n in self._held(numbers, q).tolist():
+                places = at[np.isin(numbers, self.own_runs[n])]
+                found = self._best(words, n, self._starts(places, n, q))
+                if found:
+                    best[n] = found
         return [(n, *place) for n, place in sorted(best.items())]
 
-    def _verify(self, words, padded, starts, length, best) -> None:
-        walks, tables = self.tables[length]
-        votes: dict[tuple[int, int], int] = {}
-        codes = walks.samples(padded, self.hashes, starts)
-        for table, row in zip(tables, codes):
-            keys = np.fromiter(table, np.int64, len(table))
-            for at in np.flatnonzero(np.isin(row, keys)).tolist():
-                for n in table[int(row[at])]:
-                    pair = (n, int(starts[at]))
-                    votes[pair] = votes.get(pair, 0) + 1
-        # Most agreeing first: once an item is found unedited, its other places need no look.
-        for n, start in sorted(votes, key=lambda p: (-votes[p], p)):
-            at_best = best.get(n)
-            if at_best and (at_best[2] == 0 and at_best[0] <= start):
-                continue
-            item = self.items[n]
-            if np.array_equal(words[start : start + len(item)], item):
-                best[n] = (start, len(item), 0)
-                continue
-            most = edits_allowed(len(item), self.similarity)
-            found = best_match(item, words[start:], most)
-            if found and (at_best is None or (found[0], start) < (at_best[2], at_best[0])):
-                best[n] = (start, found[1], found[0])
+    def _best(self, words, n: int, starts: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+        """(start, size, edits) with the fewest edits, the first one on ties."""
+        item = self.items[n]
+        length, most = len(item), self._edits(len(item))
+        for low, high in starts:  # an unedited copy needs no alignment
+            for start in (low + np.flatnonzero(words[low : high + 1] == item[0])).tolist():
+                if np.array_equal(words[start : start + length], item):
+                    return start, length, 0
+        best = None
+        for low, high in starts:
+            found = first_start(item, words[low : high + length + most], most)
+            if found and (best is None or found[0] < best[1]):
+                best = low + found[1], found[0]
+        if best is None:
+            return None
+        start, edits = best
+        return start, best_match(item, words[start:], most)[1], edits
 
 
-def _searched(items: list[tuple[int, str]], similarity: float, repetitions: int):
+def _searched(items: list[tuple[int, str]], similarity: float):
     ready_made: list[Benchmark] = []
 
     def rows(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not ready_made:
-            ready_made.append(Benchmark(items, similarity, repetitions))
+            ready_made.append(Benchmark(items, similarity))
         benchmark = ready_made[0]
         for batch in portions(source):
             found: list[tuple] = []
@@ -259,12 +238,12 @@ def _searched(items: list[tuple[int, str]], similarity: float, repetitions: int)
     return rows
 
 
-def _clean(items: list[tuple[int, str]], similarity: float, repetitions: int):
+def _clean(items: list[tuple[int, str]], similarity: float):
     ready_made: list[Benchmark] = []
 
     def rows(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not ready_made:
-            ready_made.append(Benchmark(items, similarity, repetitions))
+            ready_made.append(Benchmark(items, similarity))
         benchmark = ready_made[0]
         for batch in portions(source):
             clean = [not benchmark.find(benchmark.spell(t)) for t in texts_of(batch)]
@@ -291,7 +270,6 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     similarity: float = SIMILARITY,
-    repetitions: int = REPETITIONS,
 ) -> DataFrame:
     """Which documents hold which items: a row per document row and item, with the best place.
 
@@ -299,6 +277,7 @@ def contaminated(
     digits and underscores, in lower case. A passage matches if the word edits between it and
     the item are at most ``1 - similarity`` of the item's words. Reported are the first word
     (from 0), words and edits of the place with the fewest edits, the first one on ties.
+    The search is exact.
 
     Null and empty texts match nothing, items under five words neither. Repeated
     documents and items are each reported; so is a null id. Other columns are ignored. Empty
@@ -308,9 +287,7 @@ def contaminated(
     texts = with_text(docs, F.col("doc_id").cast("long").alias("doc_id"))
     found = spark.createDataFrame([], MATCHES)
     for items in _item_groups(benchmark):
-        found = found.unionByName(
-            texts.mapInArrow(_searched(items, similarity, repetitions), MATCHES)
-        )
+        found = found.unionByName(texts.mapInArrow(_searched(items, similarity), MATCHES))
     return found
 
 
@@ -318,11 +295,10 @@ def without_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     similarity: float = SIMILARITY,
-    repetitions: int = REPETITIONS,
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item, whole, whatever their other columns."""
     ready(docs.sparkSession)
     rows = as_rows(docs)
     for items in _item_groups(benchmark):
-        rows = rows.mapInArrow(_clean(items, similarity, repetitions), rows.schema)
+        rows = rows.mapInArrow(_clean(items, similarity), rows.schema)
     return rows.select("row.*")

@@ -104,6 +104,36 @@ def test_recall_at_the_most_edits():
     assert hits >= 95
 
 
+def test_one_sided_edits_of_long_items():
+    """Pure deletions and pure insertions, as many as are allowed: every one is found."""
+    rng = random.Random(20)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for length in (59, 120, 250):
+        items = [(i, " ".join(rng.choices(vocabulary, k=length))) for i in range(20)]
+        benchmark = decontaminate.Benchmark(items)
+        most = edits_allowed(length)
+        for i, text in items:
+            for inserted in (False, True):
+                body = text.split()
+                for _ in range(most):
+                    if inserted:
+                        body.insert(rng.randrange(1, len(body)), "new")
+                    else:
+                        del body[rng.randrange(1, len(body) - 1)]
+                doc = rng.choices(vocabulary, k=50) + body + rng.choices(vocabulary, k=50)
+                found = {n: edits for n, _, _, edits in benchmark.find(benchmark.spell(" ".join(doc)))}
+                assert found.get(i, most + 1) <= most, (length, inserted)
+
+
+def test_every_passage_of_brute_force_is_found(spark):
+    docs, items = fixture()
+    found = decontaminate.contaminated(
+        spark.createDataFrame([("x", d, t, "y") for d, t in docs[:-1]], DOCS),
+        spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS),
+    ).collect()
+    assert {(r.doc_id, r.item_id): (r.edits, r.first_word) for r in found} == brute(docs[:-1], items)
+
+
 def test_best_match_against_plain_rows():
     import numpy as np
 
