@@ -1,10 +1,12 @@
 """License scans: phrases, and an exact set-similarity join with license templates.
 
-Only DataFrame functions are used. Two things are found in every whole text:
+Only DataFrame functions are used. Three things are found in every whole text:
 
 * base phrases, where their words stand consecutively;
 * text blocks (sentences and lines) whose word set contains at least ``CONTAINMENT`` of a
-  template's word set.
+  template's word set;
+* notices wrapped over lines: stretches of a paragraph's sentence, over its line ends, that hold as
+  many of a template's words in no more words than the template has, divided by ``CONTAINMENT``.
 
 The join orders template words by their frequency over all blocks, rarest first. A block
 that holds ``need`` of a template's words holds one of its ``size - need + 1`` rarest, so
@@ -27,6 +29,9 @@ CONTAINMENT = 0.8
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Ends of blocks: line ends, and sentence ends before white space.
 BLOCK_END = r"[\n\r]+|[.;!?](?=[ \t\n\x0B\f\r])"
+# Ends of sentences over lines: blank lines, and sentence ends before white space.
+LINE_END = r"(?:\r\n|\n|\r(?!\n))"
+PARAGRAPH_END = rf"{LINE_END}[ \t]*{LINE_END}|[.;!?](?=[ \t\n\x0B\f\r])"
 
 # Base phrases and their labels.
 PHRASES = {
@@ -111,6 +116,43 @@ def blocks(docs: DataFrame, vocabulary: list[str], fewest: int) -> DataFrame:
     return held.where(F.size("words") >= fewest)
 
 
+def wrapped_matches(
+    docs: DataFrame, templates: list[tuple[str, str]], containment: float = CONTAINMENT
+) -> DataFrame:
+    """(doc_id, label, score): of sentences that go over a line end and hold a template."""
+    rows = _template_rows(templates)
+    vocabulary = sorted({w for _, _, ws in rows for w in ws})
+    needs = [need_of(len(ws), containment) for _, _, ws in rows]
+    fewest = min(needs)
+    pieces = docs.select("doc_id", F.explode(F.split("text", PARAGRAPH_END)).alias("block"))
+    trimmed = F.trim(F.col("block"), F.lit(" \n\r\t"))
+    lines = pieces.where(
+        (F.length("block") >= 2 * fewest - 1) & (F.contains(trimmed, F.lit("\n")) | F.contains(trimmed, F.lit("\r")))
+    )
+    spelt = lines.select("doc_id", F.split(F.trim(folded(F.col("block"))), " ").alias("words"))
+    held = spelt.where(F.size(F.array_intersect("words", F.lit(vocabulary))) >= fewest)
+    every = F.array(*[
+        F.struct(
+            F.lit(label).alias("label"), F.lit(own).alias("own"), F.lit(need).alias("need"),
+            F.lit(int(len(text.split()) / containment)).alias("width"),
+        )
+        for (_, label, own), need, (_, text) in zip(rows, needs, templates)
+    ])
+    pairs = held.select("doc_id", "words", F.explode(every).alias("t")).select("doc_id", "words", "t.*")
+    likely = pairs.where(F.size(F.array_intersect("words", "own")) >= F.col("need"))
+    starts = F.filter(
+        F.sequence(F.lit(1), F.size("words")),
+        lambda i: F.array_contains(F.col("own"), F.element_at("words", i)),
+    )
+    overlaps = F.transform(
+        starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("width")), F.col("own")))
+    )
+    found = likely.select("doc_id", "label", "own", "need", F.array_max(overlaps).alias("overlap"))
+    return found.where(F.col("overlap") >= F.col("need")).select(
+        "doc_id", "label", (F.col("overlap") / F.size("own")).alias("score")
+    )
+
+
 def template_matches(
     docs: DataFrame,
     templates: list[tuple[str, str]] | None = None,
@@ -118,12 +160,16 @@ def template_matches(
 ) -> DataFrame:
     """(doc_id, label, score): per document and label the highest containment reached."""
     spark = docs.sparkSession
-    rows = _template_rows(TEMPLATES if templates is None else templates)
+    templates = TEMPLATES if templates is None else templates
+    rows = _template_rows(templates)
     vocabulary = sorted({w for _, _, ws in rows for w in ws})
     fewest = min(need_of(len(ws), containment) for _, _, ws in rows)
     held = stored(blocks(docs, vocabulary, fewest), "license-blocks")
     ranks = _frequency_order(spark, held, vocabulary)
-    return _joined(spark, held, rows, ranks, containment)
+    found = _joined(spark, held, rows, ranks, containment).unionByName(
+        wrapped_matches(docs, templates, containment)
+    )
+    return found.groupBy("doc_id", "label").agg(F.max("score").alias("score"))
 
 
 def _frequency_order(spark: SparkSession, held: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -167,10 +213,9 @@ def _joined(
         (F.size("ranks") >= F.col("need")) & (possible >= F.col("need")) & ~earlier
     )
     overlap = F.size(F.array_intersect("ranks", "ordered"))
-    found = open_pairs.where(overlap >= F.col("need")).select(
+    return open_pairs.where(overlap >= F.col("need")).select(
         "doc_id", "label", (overlap / F.size("ordered")).alias("score")
     )
-    return found.groupBy("doc_id", "label").agg(F.max("score").alias("score"))
 
 
 def scan(
@@ -184,7 +229,8 @@ def scan(
     ``first_word`` and ``last_word`` are the smallest and largest start among them (words
     from 0, null if none). ``base_labels`` are the phrases' labels, ``labels`` also those of
     templates, distinct, sorted and comma-joined. ``score`` is 1 if a base phrase is there,
-    else the highest containment of a template in a block that reaches the threshold, else 0.
+    else the highest containment of a template in a block, or in a stretch over line ends, that reaches
+    the threshold, else 0.
 
     Null and empty texts have no words and no labels. Repeated rows are each reported; rows
     that share a ``doc_id`` with different texts share what the templates add. A null

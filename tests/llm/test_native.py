@@ -93,6 +93,35 @@ def test_license_scan_against_brute_force(spark):
         assert got[i] == pytest.approx(brute_scan(t)), t
 
 
+def test_notices_wrapped_over_lines(spark):
+    bsd = (
+        "Copyright (c) someone.\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\n"
+        "modification, are permitted provided that the following conditions are met:"
+    )
+    isc = (
+        "Permission to use, copy, modify, and/or distribute this software for any\n"
+        "purpose with or without fee is hereby granted, provided that the above\ncopyright notice appears."
+    )
+    comment = lambda text, mark: "\n".join(mark + line for line in text.split("\n"))
+    wanted, texts = [], []
+    for text, label in ((bsd, "bsd"), (isc, "isc")):
+        forms = [text, text.replace("\n", "\r\n"), text.replace("\n", "\r"), comment(text, " * "), comment(text, "# ")]
+        forms.append("word " * 5000 + "\n" + text + "\n" + "word " * 5000)
+        texts += forms
+        wanted += [label] * len(forms)
+    for _, template in licenses.TEMPLATES:  # in narrow columns
+        texts.append("\n".join(template.split()))
+        wanted.append(next(label for label, t in licenses.TEMPLATES if t == template))
+    # Over a blank line, or spread over a long text, words are no notice.
+    texts += [bsd.replace("without\n", "without\n \n"), "\n".join(w + " other" * 30 for w in licenses.TEMPLATES[8][1].split())]
+    wanted += ["", ""]
+    rows = [(1, i, t, "x") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, label in enumerate(wanted):
+        assert label in got[i].labels.split(","), (texts[i][:200], got[i])
+        assert (got[i].score >= 0.8) == bool(label)
+
+
 def test_license_scan_edge_cases(spark):
     assert licenses.scan(spark.createDataFrame([], DOCS)).collect() == []
     rows = [(1, 4, "MIT License", "x")] * 3 + [(1, None, "MIT License", "x")]
