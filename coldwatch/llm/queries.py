@@ -11,6 +11,7 @@ from coldwatch.llm import (
     decontaminate,
     language,
     licenses,
+    lshforest,
     neighbours,
     packing,
     pages,
@@ -88,6 +89,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -100,6 +105,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_pages": op9_pages,
         "op10_packing": op10_packing,
+        "op13_minhash": op13_minhash,
     }
 
 
@@ -108,4 +114,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_nearest": sql.NEAREST,
         "op5_licenses": sql.licenses(),
         "op7_tool_calls": sql.TOOL_CALLS,
+        "op13_minhash": sql.MINHASH,
     }

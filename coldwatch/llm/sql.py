@@ -23,6 +23,37 @@ WITH usable AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+MINHASH = r"""
+WITH RECURSIVE said AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+    WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1),
+      lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingle
+  FROM said
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * k >= 85 * (x.n + y.n - k)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM said
+  UNION SELECT reached.doc_id, b FROM reached JOIN links ON a = other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
 TOOL_CALLS = r"""
 WITH RECURSIVE said AS (
   SELECT conv_id, turn, role, text, 'c' || conv_id || '-' || turn AS own_id,
@@ -105,8 +136,10 @@ WITH texts AS (
 ), blocks AS (
   SELECT doc_id, {words.format('block')} AS w FROM (
     SELECT doc_id, unnest(string_split_regex(text, '[
-]+|[.;!?][ 	
-]')) AS block FROM texts)
+
+]+|[.;!?][ 	
+
+]')) AS block FROM texts)
 ), matched AS (
   SELECT b.doc_id, t.label, len(list_intersect(b.w, t.words)) / len(t.words) AS score
   FROM blocks b JOIN templates t ON len(list_intersect(b.w, t.words)) >= t.need
