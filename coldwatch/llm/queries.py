@@ -20,6 +20,7 @@ from coldwatch.llm import (
     sql,
     token_files,
     tools,
+    whitening,
 )
 from coldwatch.llm.common import crc_remainder, shared_folder, table
 
@@ -89,6 +90,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_pages": op9_pages,
         "op10_packing": op10_packing,
+        "op11_whitening": op11_whitening,
         "op13_minhash": op13_minhash,
     }
 
