@@ -12,7 +12,7 @@ KEYS = 10_000  # most keys that can be hot, so that their list is small enough t
 
 
 def skew_join(
-    many: DataFrame, one: DataFrame, key: str, how: str = "inner", share: int = SHARE
+    many: DataFrame, one: DataFrame, key: str | list[str], how: str = "inner", share: int = SHARE
 ) -> DataFrame:
     """``many`` joined with ``one``, which has a row per ``key`` at most; inner or left.
 
@@ -21,22 +21,23 @@ def skew_join(
     their other columns to as many tasks as they fill, and its row of ``one`` goes to each.
     Rows with a null key match nothing. No column may be named ``salts`` or ``salt``.
     """
-    counts = stored(many.groupBy(key).agg(F.count("*").alias("rows")), "key-counts")
+    keys = [key] if isinstance(key, str) else key
+    counts = stored(many.groupBy(keys).agg(F.count("*").alias("rows")), "key-counts")
     total = counts.agg(F.sum("rows")).first()[0] or 0
     limit = max(share, -(-total // KEYS))
-    hot = counts.where((F.col("rows") > limit) & F.col(key).isNotNull()).select(
-        key, F.ceil(F.col("rows") / limit).cast("int").alias("salts")
+    hot = counts.where(F.col("rows") > limit).dropna(subset=keys).select(
+        *keys, F.ceil(F.col("rows") / limit).cast("int").alias("salts")
     )
     if hot.isEmpty():
-        return many.join(one, key, how)
-    others = [f"`{c}`" for c in many.columns if c != key]
+        return many.join(one, keys, how)
+    others = [f"`{c}`" for c in many.columns if c not in keys]
     dealt = F.pmod(F.xxhash64(*others), F.col("salts")) if others else F.lit(0)
     hot = F.broadcast(hot)
-    left = many.join(hot, key, "left").withColumn(
+    left = many.join(hot, keys, "left").withColumn(
         "salt", F.coalesce(dealt.cast("int"), F.lit(0))
     )
-    right = one.join(hot, key, "left").withColumn(
+    right = one.join(hot, keys, "left").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
     )
-    joined = left.drop("salts").join(right.drop("salts"), [key, "salt"], how)
+    joined = left.drop("salts").join(right.drop("salts"), [*keys, "salt"], how)
     return joined.drop("salt")

@@ -20,6 +20,7 @@ from coldwatch.llm import (
     sql,
     token_files,
     tools,
+    trie,
     whitening,
 )
 from coldwatch.llm.common import crc_remainder, shared_folder, table
@@ -94,6 +95,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -111,6 +116,7 @@ def queries() -> dict[str, Query]:
         "op9_pages": op9_pages,
         "op10_packing": op10_packing,
         "op11_whitening": op11_whitening,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_minhash": op13_minhash,
     }
 
@@ -120,5 +126,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_nearest": sql.NEAREST,
         "op5_licenses": sql.licenses(),
         "op7_tool_calls": sql.TOOL_CALLS,
+        "op12_prefix_trie": sql.PREFIX_TRIE,
         "op13_minhash": sql.MINHASH,
     }

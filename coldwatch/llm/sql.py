@@ -23,6 +23,51 @@ WITH usable AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+# CRC-32 by the bits of the text, lowest first; every prefix by a string of its turns' hashes.
+PREFIX_TRIE = r"""
+WITH said AS (
+  SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, hash) AS pos,
+    hash, words
+  FROM (SELECT conv_id, turn,
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS hash,
+      len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))
+        AS words
+    FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv, conv - conv % 20 AS base, (xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv AS VARCHAR), ''),
+      lambda c: list_transform(range(8), lambda b: CAST((ord(c) >> b) & 1 AS BIGINT))))),
+    lambda crc, bit: xor(crc >> 1, CASE WHEN xor(crc & 1, bit) = 1 THEN 3988292384 ELSE 0 END)))) % 4 AS h
+  FROM (SELECT DISTINCT conv FROM said)
+), rebuilt AS (
+  SELECT c.conv, row_number() OVER (PARTITION BY c.conv ORDER BY s.conv = c.base AND s.pos <= h DESC, s.pos)
+    AS depth, hash, words
+  FROM convs c JOIN said s ON (s.conv = c.base AND s.pos <= h) OR (s.conv = c.conv AND s.pos > h)
+), chains AS (
+  SELECT conv, depth, words, sha256(string_agg(hash, '') OVER (PARTITION BY conv ORDER BY depth)) AS node
+  FROM rebuilt UNION ALL SELECT conv, 0, 0, 'root' FROM convs
+), linked AS (
+  SELECT *, lag(node) OVER (PARTITION BY conv ORDER BY depth) AS parent,
+    max(depth) OVER (PARTITION BY conv) AS last FROM chains
+), nodes AS (
+  SELECT node, depth, any_value(parent) AS parent, min(conv) AS conv, count(*) AS n_convs,
+    any_value(words) AS words,
+    sha256(coalesce(string_agg(conv, ',' ORDER BY conv) FILTER (depth = last), '')) AS ends
+  FROM linked GROUP BY node, depth
+), children AS (
+  SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), totals AS (
+  SELECT c.node, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM nodes n LEFT JOIN children k ON k.node = n.node
+  JOIN chains c ON c.conv = n.conv AND c.depth <= n.depth GROUP BY c.node
+)
+SELECT n.conv AS conv_id, n.depth, p.conv AS parent_conv_id, n.n_convs,
+  coalesce(k.n, 0) AS n_children, t.leaves AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens,
+  n.ends AS ends_sha256
+FROM nodes n JOIN totals t ON t.node = n.node LEFT JOIN nodes p ON p.node = n.parent
+LEFT JOIN children k ON k.node = n.node
+"""
+
 MINHASH = r"""
 WITH RECURSIVE said AS (
   SELECT doc_id, list_filter(string_split_regex(
