@@ -25,10 +25,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +45,11 @@ CROWD = 8
 SCREEN = 0.70
 BLOCK = 1024  # nodes of a region on either side of a comparison in one task
 UNIT = 128  # candidates confirmed together
-BYTES_AT_ONCE = 1 << 20
-SHINGLES_AT_ONCE = 2048
-WORDS_KEPT = 400_000
+BYTES_AT_ONCE = 1 << 16
+SHINGLES_AT_ONCE = 256
 
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
-_word_hashes: dict[bytes, int] = {}
+_IS_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def _factors(n: int, seed: int) -> np.ndarray:
@@ -58,25 +57,42 @@ def _factors(n: int, seed: int) -> np.ndarray:
 
 
 _A, _B, _C = _factors(WORDS, 3)
-_TIMES, _PLUS = _factors(TREES * DEPTH, 5), _factors(TREES * DEPTH, 7)
+_TIMES, _PLUS = (
+    (_factors(TREES * DEPTH, seed) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    for seed in (5, 7)
+)
+_BYTES = _factors(256, 11)
+_STEP = int(_factors(1, 13)[0])
+
+
+@lru_cache(maxsize=4)
+def _powers(step: int, n: int) -> np.ndarray:
+    return np.cumprod(np.full(n, step, np.uint64), dtype=np.uint64)
+
+
+def _block_hashes(block: bytes) -> np.ndarray:
+    """Hashes of the words of a block: differences of one running sum over its bytes."""
+    data = np.frombuffer(block, np.uint8)
+    n = BYTES_AT_ONCE if len(data) <= BYTES_AT_ONCE else len(data)
+    powers, inverse = _powers(_STEP, n), _powers(pow(_STEP, -1, 1 << 64), n)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _IS_BLANK[data], [True]))))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[data] * powers[: len(data)])))
+    found = (sums[ends] - sums[starts]) * inverse[starts]
+    return _mixed(found + (ends - starts).astype(np.uint64) * _C)
 
 
 def _hashes_of_words(text: str) -> np.ndarray:
     """64-bit hashes of a text's words, found a block of the text at a time."""
     data = text.encode("utf-8", "replace").lower()
-    known, found, at = _word_hashes, [], 0
+    found, at = [np.empty(0, np.uint64)], 0
     while at < len(data):
-        end = at + BYTES_AT_ONCE
+        end = at + BYTES_AT_ONCE - 1
         cut = _BLANK.search(data, end) if end < len(data) else None
         end = cut.start() if cut else len(data)
-        words = data[at:end].split()
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        for word in set(words) - known.keys():
-            known[word] = xxhash.xxh64_intdigest(word)
-        found.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        found.append(_block_hashes(data[at:end]))
         at = end
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+    return np.concatenate(found)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -92,7 +108,8 @@ def shingle_set(text: str) -> np.ndarray:
     """
     words = _hashes_of_words(text)
     if len(words) >= WORDS:
-        return np.unique(_mixed(words[:-2] * _A + words[1:-1] * _B + words[2:] * _C))
+        found = np.sort(_mixed(words[:-2] * _A + words[1:-1] * _B + words[2:] * _C))
+        return found[np.concatenate(([True], found[1:] != found[:-1]))]
     if not len(words):
         return words
     return _mixed(words[:1] * _A + (words[1:] * _B if len(words) == 2 else _C))
@@ -100,11 +117,13 @@ def shingle_set(text: str) -> np.ndarray:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """16 bits of each of the ``TREES * DEPTH`` min-hashes of a set."""
-    least = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), SHINGLES_AT_ONCE):
-        part = shingles[at : at + SHINGLES_AT_ONCE, None]
-        least = np.minimum(least, (part * _TIMES + _PLUS).min(axis=0))
-    return (_mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
+    least = np.full(TREES * DEPTH, np.iinfo(np.uint32).max, np.uint32)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), SHINGLES_AT_ONCE):
+        hashed = np.multiply.outer(_TIMES, short[at : at + SHINGLES_AT_ONCE])
+        hashed += _PLUS[:, None]
+        np.minimum(least, hashed.min(axis=1), out=least)
+    return (_mixed(least.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def _describe(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
