@@ -10,6 +10,18 @@ from coldwatch.llm.common import stored
 SHARE = 1 << 16  # rows of one key in one task
 KEYS = 10_000  # most keys that can be hot, so that their list is small enough to broadcast
 
+SMALL = 4_000_000  # ids that are broadcast at most, some 100 MB
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is among ``ids`` (key), each of which occurs once.
+
+    Up to ``SMALL`` ids are broadcast, so that wide rows that are not wanted never move; more
+    are joined as the planner likes.
+    """
+    ids = stored(ids, "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= SMALL else ids, key, "left_semi")
+
 
 def skew_join(
     many: DataFrame, one: DataFrame, key: str | list[str], how: str = "inner", share: int = SHARE

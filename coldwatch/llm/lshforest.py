@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from coldwatch.llm.common import portions, ready, stored, texts_of, with_text
 from coldwatch.llm.components import components
-from coldwatch.llm.joins import skew_join
+from coldwatch.llm.joins import only, skew_join
 
 WORDS = 3
 LINKED = 85  # percent of the union that linked sets share at least
@@ -44,7 +44,7 @@ LEAST = 5  # min-hashes that candidates share in a tree
 CROWD = 8
 SCREEN = 0.70
 BLOCK = 1024  # nodes of a region on either side of a comparison in one task
-UNIT = 128  # candidates confirmed together
+UNIT = 4096  # candidates confirmed together
 BYTES_AT_ONCE = 1 << 16
 SHINGLES_AT_ONCE = 256
 
@@ -396,27 +396,33 @@ def _confirm(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs_batch(pairs[:, 0], pairs[:, 1])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, unit: int = UNIT) -> DataFrame:
     """(a, b): links that connect what the links among ``pairs`` connect.
 
-    Pairs are dealt to units of some ``UNIT``, those of one neighbourhood together, so
-    that a text is sent to few units; large neighbourhoods fill several.
+    Pairs are dealt to units of some ``unit``, those of one neighbourhood together. A larger
+    neighbourhood is dealt as a grid by both ends, so that a text is sent to few units
+    even if most of its pairs are candidates. Only texts of candidates are sent at all.
     """
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label"))
     labelled = stored(skew_join(pairs, label, "a"), "labelled")
-    units = labelled.groupBy("label").agg(F.ceil(F.count("*") / UNIT).alias("units"))
-    part = F.pmod(F.xxhash64("a", "b"), F.col("units"))
+    side = F.ceil(F.sqrt(F.count("*") / unit)).alias("side")
+    sides = labelled.groupBy("label").agg(side)
+    row, column = (F.pmod(F.xxhash64(c), F.col("side")) for c in ("a", "b"))
     dealt = stored(
-        skew_join(labelled, units, "label").select(
-            F.xxhash64("label", part).alias("unit"), "a", "b"
+        skew_join(labelled, sides, "label").select(
+            F.xxhash64("label", row, column).alias("unit"), "a", "b"
         ),
         "units",
     )
-    members = dealt.select("unit", F.col("a").alias("row")).unionByName(
-        dealt.select("unit", F.col("b").alias("row"))
+    members = stored(
+        dealt.select("unit", F.col("a").alias("row")).unionByName(
+            dealt.select("unit", F.col("b").alias("row"))
+        ).distinct(),
+        "unit-members",
     )
-    sent = skew_join(members.distinct(), texts.select("row", "text"), "row")
+    named = only(texts.select("row", "text"), members.select("row").distinct(), "row")
+    sent = skew_join(members, named, "row")
     rows = sent.select("unit", F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = rows.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
     return (

@@ -80,6 +80,7 @@ def test_groups_against_brute_force(spark):
 def test_crowded_regions_lose_no_link(spark, monkeypatch):
     """Short texts crowd the regions; with small blocks every way of comparing is used."""
     monkeypatch.setattr(lshforest.apart, "__defaults__", (16,))
+    monkeypatch.setattr(lshforest.confirmed, "__defaults__", (20,))
     texts = varied(4, 150, 60, 0.12) + varied(5, 150, 60, 0.12)
     ids = list(range(len(texts)))
     assert found(spark, list(zip(ids, texts))) == brute(texts, ids)
