@@ -45,6 +45,7 @@ CROWD = 8
 SCREEN = 0.70
 BLOCK = 1024  # nodes of a region on either side of a comparison in one task
 UNIT = 4096  # candidates confirmed together
+PAIRS_AT_ONCE = 1 << 14
 BYTES_AT_ONCE = 1 << 16
 SHINGLES_AT_ONCE = 256
 
@@ -242,74 +243,189 @@ def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_screen, "a long, b long")
 
 
+# --- confirmation --------------------------------------------------------------------
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of shingles share enough of their union."""
+    if 100 * min(len(x), len(y)) < LINKED * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= LINKED * (len(x) + len(y) - both)
+
+
+class _Forest:
+    """Which components the links found so far have joined."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def _root(self, x: int) -> int:
+        above = self.above
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    def apart(self, x: int, y: int) -> bool:
+        return self._root(x) != self._root(y)
+
+    def join(self, x: int, y: int) -> None:
+        self.above[self._root(x)] = self._root(y)
+
+
+def _confirm(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit, its texts before its pairs. Gives links that make a forest."""
+    unit, sets, forest = None, {}, _Forest()
+    for batch in source:
+        found = []
+        units, firsts = batch.column("unit").to_pylist(), batch.column("a").to_pylist()
+        seconds, texts = batch.column("b").to_pylist(), batch.column("text")
+        for at, (key, a, b) in enumerate(zip(units, firsts, seconds)):
+            if key != unit:
+                unit, sets, forest = key, {}, _Forest()
+            if b is None:
+                sets[a] = shingle_set(texts[at].as_py())
+            elif forest.apart(a, b) and linked(sets[a], sets[b]):
+                forest.join(a, b)
+                found.append((a, b))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        yield _pairs_batch(pairs[:, 0], pairs[:, 1])
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, unit: int = UNIT) -> DataFrame:
+    """(a, b): links that connect what the links among ``pairs`` connect.
+
+    Pairs are dealt to units of some ``unit``, those of one neighbourhood together. A larger
+    neighbourhood is dealt as a grid by both ends, so that a text is sent to few units
+    even if most of its pairs are candidates. Only texts of candidates are sent at all.
+    """
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label"))
+    labelled = stored(skew_join(pairs, label, "a"), "labelled")
+    side = F.ceil(F.sqrt(F.count("*") / unit)).alias("side")
+    sides = labelled.groupBy("label").agg(side)
+    row, column = (F.pmod(F.xxhash64(c), F.col("side")) for c in ("a", "b"))
+    dealt = stored(
+        skew_join(labelled, sides, "label").select(
+            F.xxhash64("label", row, column).alias("unit"), "a", "b"
+        ),
+        "units",
+    )
+    members = stored(
+        dealt.select("unit", F.col("a").alias("row")).unionByName(
+            dealt.select("unit", F.col("b").alias("row"))
+        ).distinct(),
+        "unit-members",
+    )
+    named = only(texts.select("row", "text"), members.select("row").distinct(), "row")
+    sent = skew_join(members, named, "row")
+    rows = sent.select("unit", F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = rows.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
+    return (
+        rows.repartition("unit").sortWithinPartitions("unit", F.col("b").asc_nulls_first())
+        .mapInArrow(_confirm, "a long, b long")
+    )
+
+
 # --- what is left apart --------------------------------------------------------------
 
 
-def _apart(x: dict, y: dict) -> Iterator[pa.RecordBatch]:
-    """Alike pairs of different components between two lists of nodes."""
-    for at in range(0, len(x["node"]), 16):
-        part = slice(at, at + 16)
-        other = x["root"][part, None] != y["root"][None, :]
-        # A pair found from either side is given from the smaller node.
-        other &= ~y["outside"][None, :] | (x["node"][part, None] < y["node"][None, :])
-        i, j = np.nonzero(other)
-        if len(i):
-            keep = _alike(x["signature"][part][i], y["signature"][j])
-            if keep.any():
-                yield _pairs_batch(x["node"][part][i[keep]], y["node"][j[keep]])
+class _Region:
+    """Nodes of a region with their components; a text's set is made when first needed."""
+
+    def __init__(self, rows: pa.Table, outside: np.ndarray):
+        self.nodes = rows.column("node").to_numpy()
+        self.roots = rows.column("root").to_numpy()
+        self.trees = rows.column("tree").to_numpy()
+        self.signatures = _signatures(rows.column("signature"))
+        self.texts = rows.column("text")
+        self.outside = outside
+        self.sets: dict[int, np.ndarray] = {}
+
+    def set_of(self, at: int) -> np.ndarray:
+        if at not in self.sets:
+            self.sets[at] = shingle_set(self.texts[at].as_py())
+        return self.sets[at]
+
+    def __len__(self) -> int:
+        return len(self.nodes)
+
+
+def _first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first tree in which pairs of signatures share a region."""
+    same = (x == y).reshape(-1, TREES, DEPTH)[:, :, :LEAST].all(axis=2)
+    return same.argmax(axis=1)
 
 
-def _side(batch: pa.RecordBatch | pa.Table, outside: np.ndarray) -> dict:
-    return {
-        "node": batch.column("node").to_numpy(),
-        "root": batch.column("root").to_numpy(),
-        "signature": _signatures(batch.column("signature")),
-        "outside": outside,
-    }
+def _links_apart(x: _Region, y: _Region) -> pa.RecordBatch:
+    """Links between nodes of ``x`` and ``y`` that join two components.
 
+    A pair is confirmed in the first region that it shares, and only while its
+    components are apart; no list of pairs is made.
+    """
+    forest, found = _Forest(), []
+    for at in range(0, len(x), 16):
+        part = slice(at, at + 16)
+        other = x.roots[part, None] != y.roots[None, :]
+        # A pair that is met from either side is confirmed from the smaller node.
+        other &= ~y.outside[None, :] | (x.nodes[part, None] < y.nodes[None, :])
+        i, j = np.nonzero(other)
+        i += at
+        for k in range(0, len(i), PAIRS_AT_ONCE):
+            left, right = i[k : k + PAIRS_AT_ONCE], j[k : k + PAIRS_AT_ONCE]
+            keep = _alike(x.signatures[left], y.signatures[right])
+            left, right = left[keep], right[keep]
+            first = _first_shared(x.signatures[left], y.signatures[right]) == x.trees[left]
+            for p, q in zip(left[first].tolist(), right[first].tolist()):
+                if forest.apart(x.roots[p], y.roots[q]) and linked(x.set_of(p), y.set_of(q)):
+                    forest.join(x.roots[p], y.roots[q])
+                    found.append((x.nodes[p], y.nodes[q]))
+    return _pairs_batch(*np.array(found, np.int64).reshape(-1, 2).T)
 
-def _some(side: dict, which: np.ndarray | slice) -> dict:
-    return {name: values[which] for name, values in side.items()}
+
+def _regions(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        part = rows.slice(start, end - start)
+        region = _Region(part, np.ones(part.num_rows, bool))
+        yield _links_apart(region, region)
 
 
 def _apart_in_regions(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by region; the last region of a batch waits for the next batch."""
     held = None
     for batch in source:
-        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        if not rows.num_rows:
+        if not batch.num_rows:
             continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
         keys = rows.column("region").to_numpy()
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        yield from _regions(rows, [0, *cuts.tolist()])
-        held = rows.slice(int(cuts[-1]) if len(cuts) else 0).combine_chunks().to_batches()[0]
+        cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+        yield from _regions(rows, [0, *cuts])
+        held = rows.slice(cuts[-1] if cuts else 0)
     if held is not None:
-        yield from _regions(pa.Table.from_batches([held]), [0, held.num_rows])
-
-
-def _regions(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-    if len(cuts) > 1:
-        side = _side(rows, np.ones(rows.num_rows, bool))
-        for start, end in zip(cuts[:-1], cuts[1:]):
-            part = _some(side, slice(start, end))
-            yield from _apart(part, part)
+        yield from _regions(held, [0, held.num_rows])
 
 
 def _apart_in_blocks(group: pa.Table) -> pa.Table:
-    side = _side(group, group.column("outside").to_numpy(zero_copy_only=False))
     left = group.column("left").to_numpy(zero_copy_only=False)
-    found = list(_apart(_some(side, left), _some(side, ~left)))
-    empty = _pairs_batch(np.empty(0, np.int64), np.empty(0, np.int64))
-    return pa.Table.from_batches(found or [empty])
+    sides = []
+    for which in (left, ~left):
+        rows = group.filter(pa.array(which))
+        sides.append(_Region(rows, rows.column("outside").to_numpy(zero_copy_only=False)))
+    return pa.Table.from_batches([_links_apart(*sides)])
 
 
-def apart(nodes: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): alike pairs that share a region and are of different components in ``roots``."""
+def apart(nodes: DataFrame, roots: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that join the components in ``roots`` as far as links of nodes that
+    share a region do."""
     rooted = nodes.join(roots, "node", "left").select(
         "node", "signature", F.coalesce("root", "node").alias("root")
     )
     region = F.xxhash64("tree", F.expr(f"substring(prefix, 1, {2 * LEAST})"))
-    spread = _in_trees(rooted, "node", "root").select(region.alias("region"), "node", "root")
+    spread = _in_trees(rooted, "node", "root").select(
+        region.alias("region"), "tree", "node", "root"
+    )
     spread = stored(spread, "regions")
     mixed = stored(
         spread.groupBy("region")
@@ -318,19 +434,21 @@ def apart(nodes: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
         "mixed-regions",
     )
     held = stored(skew_join(spread, mixed, "region"), "mixed-members")
+    named = texts.select(F.col("row").alias("node"), "text")
+    named = only(named, held.select("node").distinct(), "node")
+    told = stored(named.join(rooted.select("node", "signature"), "node"), "mixed-texts")
     usual = held.where(F.col("size") <= block).drop("size")
     found = (
-        usual.join(rooted.select("node", "signature"), "node")
-        .repartition("region").sortWithinPartitions("region")
+        usual.join(told, "node").repartition("region").sortWithinPartitions("region")
         .mapInArrow(_apart_in_regions, "a long, b long")
     )
     crowds = held.where(F.col("size") > block).drop("size")
     if not crowds.isEmpty():
-        found = found.unionByName(_apart_in_crowds(crowds, rooted, block))
-    return found.distinct()
+        found = found.unionByName(_apart_in_crowds(crowds, told, block))
+    return found
 
 
-def _apart_in_crowds(held: DataFrame, rooted: DataFrame, block: int) -> DataFrame:
+def _apart_in_crowds(held: DataFrame, told: DataFrame, block: int) -> DataFrame:
     """Regions of more than a block: nodes outside the commonest component against all."""
     shares = held.groupBy("region", "root").agg(F.count("*").alias("rows"))
     tiles = stored(
@@ -354,83 +472,11 @@ def _apart_in_crowds(held: DataFrame, rooted: DataFrame, block: int) -> DataFram
         "*", F.pmod(part, F.col("blocks")).cast("int").alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("j"),
     ).withColumn("left", F.lit(True))
-    tiled = across.unionByName(down).select("region", "node", "root", "outside", "i", "j", "left")
-    tiled = skew_join(tiled, rooted.select("node", "signature"), "node")
+    columns = ["region", "tree", "node", "root", "outside", "i", "j", "left"]
+    tiled = skew_join(across.unionByName(down).select(*columns), told, "node")
     return tiled.groupBy("region", "i", "j").applyInArrow(_apart_in_blocks, "a long, b long")
 
 
-# --- confirmation --------------------------------------------------------------------
-
-
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sets of shingles share enough of their union."""
-    if 100 * min(len(x), len(y)) < LINKED * max(len(x), len(y)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= LINKED * (len(x) + len(y) - both)
-
-
-def _confirm(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit, its texts before its pairs. Gives links that make a forest."""
-    unit, sets, above = None, {}, {}
-
-    def root(x: int) -> int:
-        while (up := above.get(x, x)) != x:
-            above[x] = above.get(up, up)
-            x = up
-        return x
-
-    for batch in source:
-        found = []
-        units, firsts = batch.column("unit").to_pylist(), batch.column("a").to_pylist()
-        seconds, texts = batch.column("b").to_pylist(), batch.column("text")
-        for at, (key, a, b) in enumerate(zip(units, firsts, seconds)):
-            if key != unit:
-                unit, sets, above = key, {}, {}
-            if b is None:
-                sets[a] = shingle_set(texts[at].as_py())
-            elif root(a) != root(b) and linked(sets[a], sets[b]):
-                above[root(a)] = root(b)
-                found.append((a, b))
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        yield _pairs_batch(pairs[:, 0], pairs[:, 1])
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, unit: int = UNIT) -> DataFrame:
-    """(a, b): links that connect what the links among ``pairs`` connect.
-
-    Pairs are dealt to units of some ``unit``, those of one neighbourhood together. A larger
-    neighbourhood is dealt as a grid by both ends, so that a text is sent to few units
-    even if most of its pairs are candidates. Only texts of candidates are sent at all.
-    """
-    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label"))
-    labelled = stored(skew_join(pairs, label, "a"), "labelled")
-    side = F.ceil(F.sqrt(F.count("*") / unit)).alias("side")
-    sides = labelled.groupBy("label").agg(side)
-    row, column = (F.pmod(F.xxhash64(c), F.col("side")) for c in ("a", "b"))
-    dealt = stored(
-        skew_join(labelled, sides, "label").select(
-            F.xxhash64("label", row, column).alias("unit"), "a", "b"
-        ),
-        "units",
-    )
-    members = stored(
-        dealt.select("unit", F.col("a").alias("row")).unionByName(
-            dealt.select("unit", F.col("b").alias("row"))
-        ).distinct(),
-        "unit-members",
-    )
-    named = only(texts.select("row", "text"), members.select("row").distinct(), "row")
-    sent = skew_join(members, named, "row")
-    rows = sent.select("unit", F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    rows = rows.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
-    return (
-        rows.repartition("unit").sortWithinPartitions("unit", F.col("b").asc_nulls_first())
-        .mapInArrow(_confirm, "a long, b long")
-    )
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -450,8 +496,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = stored(screened(neighbours(nodes), nodes), "neighbours")
     links = stored(confirmed(near, rows), "links")
     roots = components(links, "a", "b")
-    rest = apart(nodes, roots).join(near, ["a", "b"], "left_anti")
-    more = stored(confirmed(stored(rest, "apart"), rows), "more-links")
+    more = stored(apart(nodes, roots, rows), "more-links")
     roots = components(links.unionByName(more), "a", "b")
     rooted = stored(
         nodes.join(roots, "node", "left").select(
