@@ -61,13 +61,19 @@ class WordEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
+    @staticmethod
+    def _shaped(word: str) -> str:
+        """``word`` as the tokenizer's normaliser leaves it."""
+        return word.lower() if word.isascii() else "".join(
+            map(str.lower, unicodedata.normalize("NFC", word))
+        )
+
     def _word(self, word: str) -> bytes:
         """A run of letters is one word of the model; anything else goes the whole way."""
         if not word.isalpha():
             return self.whole(word)
-        shaped = word
-        if not word.isascii():
-            shaped = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+        shaped = self._shaped(word)
+        if not shaped.isascii():
             if not shaped.isalpha():
                 return self.whole(word)
             shaped = shaped.encode().decode("latin-1").translate(self.letters)
@@ -87,7 +93,8 @@ class WordEncoder:
         if chunk.isascii():
             chunk = chunk.lower()
         word = chunk.rstrip(PUNCTUATION)
-        if len(word) < len(chunk) and word.isalpha():
+        # Normalising can end a word in a mark, which the tokenizer joins to punctuation.
+        if len(word) < len(chunk) and word.isalpha() and self._shaped(word).isalpha():
             return self._kept_word(word) + self._kept_word(chunk[len(word) :])
         return self._kept_word(chunk)
 

@@ -173,3 +173,19 @@ def test_best_fit_against_a_list_of_bins():
             del bins[gone.pop()]
             closed += 1
     assert closed
+
+
+def test_ids_equal_the_tokenizer_for_every_character():
+    """Marks that normalising leaves at a word's end are joined to punctuation."""
+    words = encoder(default_path())
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}. {chr(c)}b, {chr(c)}!" for c in points]
+    texts += ["BİLGİ. TÜRKÇESİ, क़. ড়. ਸ਼.", "İ", "İ.", "x̸. a≮ b"]
+    rng = random.Random(5)
+    pool = [*range(1, 0x3000), *range(0x300, 0x370)] + [0x41, 0x61, 0x2E, 0x2C, 0x20, 0x20, 0x27] * 300
+    texts += ["".join(map(chr, rng.choices(pool, k=rng.randint(1, 40)))) for _ in range(20_000)]
+    for at in range(0, len(texts), 8192):
+        part = texts[at : at + 8192]
+        whole = words.tokenizer.encode_batch(part, add_special_tokens=False)
+        got = [np.frombuffer(b, np.uint32).tolist() for b in words.encode(part)]
+        assert got == [w.ids for w in whole]
