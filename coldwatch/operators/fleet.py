@@ -182,6 +182,36 @@ def latest_per_truck(messages: DataFrame) -> DataFrame:
     return _latest(messages, alert_time="timestamp")
 
 
+def partial_latest(messages: DataFrame) -> DataFrame:
+    """What some messages tell of each truck, with the order that decides between parts."""
+    order = F.struct(*_ORDER)
+    carries = F.col("alert").isNotNull()
+    ordered = messages.select(
+        "truck_id", order.alias("order"), "state",
+        F.when(carries, order).alias("alert_order"), "alert",
+        F.col("alert.timestamp").alias("alert_ts"),
+        F.when(carries, 1).otherwise(0).cast("bigint").alias("alerts_seen"),
+    )
+    return merge_latest(ordered)
+
+
+def merge_latest(parts: DataFrame) -> DataFrame:
+    """Parts of ``partial_latest`` put together; merging in any order gives the same."""
+    return parts.groupBy("truck_id").agg(
+        F.max("order").alias("order"),
+        F.max_by("state", "order").alias("state"),
+        F.max("alert_order").alias("alert_order"),
+        F.max_by("alert", "alert_order").alias("alert"),
+        F.max("alert_ts").alias("alert_ts"),
+        F.sum("alerts_seen").alias("alerts_seen"),
+    )
+
+
+def latest_of_parts(merged: DataFrame) -> DataFrame:
+    """``latest_per_truck`` of all messages whose parts were merged."""
+    return merged.drop("order", "alert_order")
+
+
 def _alert_is_active(as_of: Column, max_age_seconds: float) -> Column:
     return (F.col("alerts_seen") > 0) & not_older_than(F.col("alert_ts"), as_of, max_age_seconds)
 

@@ -64,6 +64,13 @@ def count_messages(feed: DataFrame) -> DataFrame:
     )
 
 
+def merge_counts(parts: DataFrame) -> DataFrame:
+    """Counts of ``count_messages`` added up."""
+    return parts.groupBy("topic", "alert_type", "severity").agg(
+        *[F.sum(name).alias(name) for name in ("messages", "errors", "usable")]
+    )
+
+
 def metrics_table(counts: DataFrame) -> DataFrame:
     """All series as rows ``(metric, label, label_value, value)``.
 

@@ -46,7 +46,7 @@ from coldwatch.schemas import ALERTS_TOPIC, TELEMETRY_FIELDS
 from coldwatch.session import run_folder
 from coldwatch.sources.events import events_path, read_telemetry, read_wire, stream_telemetry
 from coldwatch.sources.wire import decode, decode_errors, telemetry_from_wire, with_wire_problems
-from coldwatch.streaming import jobs
+from coldwatch.streaming import consumer, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 MAX_AGE_SECONDS = 86_400
 DIGITS = 6
 
+# The consumer's messages come as so many files, in two micro-batches.
+CONSUMER_FILES = 8
+
 
 def _as_of(telemetry: DataFrame) -> Column:
     return telemetry.agg(F.max("ts")).scalar()
@@ -329,6 +332,43 @@ def q_stream_metrics_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.read_metrics(spark, folder)
 
 
+def _consumed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a consumer that has read both topics, in several micro-batches."""
+    folder = _job_folder(spark, "stream_consumer")
+    messages = _both_topics(spark, sf_dir)
+    messages.repartition(CONSUMER_FILES).write.parquet(f"{folder}/messages")
+    reader = spark.readStream.schema(messages.schema).option(
+        "maxFilesPerTrigger", CONSUMER_FILES // 2
+    )
+    consumer.start_consumer(reader.parquet(f"{folder}/messages"), folder).awaitTermination()
+    return folder
+
+
+def q_stream_consumer_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fleet state as the consumer of both topics keeps it."""
+    return _shown(spark, sf_dir, consumer.read_latest(spark, _consumed(spark, sf_dir)))
+
+
+def q_stream_consumer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consumer.read_metrics(spark, _consumed(spark, sf_dir))
+
+
+def q_stream_alert_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running history of the alert topic, its times as clocks in UTC show them."""
+    history = consumer.read_history(spark, _consumed(spark, sf_dir))
+    return _flat(history.withColumn("timestamp", utc_clock(F.col("timestamp"))))
+
+
+def q_stream_consumer_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = consumer.read_feed(spark, _consumed(spark, sf_dir))
+    return _flat(feed.withColumn("timestamp", utc_clock(F.col("timestamp"))))
+
+
+def q_stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = consumer.read_dead_letters(spark, _consumed(spark, sf_dir))
+    return letters.select("topic", "event_id", "value", "decode_status", "counted")
+
+
 def catalog() -> dict[str, Query]:
     """All named queries."""
     named: dict[str, Query] = {
@@ -371,6 +411,11 @@ def catalog() -> dict[str, Query]:
             "stream_metrics": q_stream_metrics,
             "stream_fleet_state_wire": q_stream_fleet_state_wire,
             "stream_metrics_wire": q_stream_metrics_wire,
+            "stream_consumer_wire": q_stream_consumer_wire,
+            "stream_consumer_metrics": q_stream_consumer_metrics,
+            "stream_alert_history": q_stream_alert_history,
+            "stream_consumer_feed": q_stream_consumer_feed,
+            "stream_dead_letters": q_stream_dead_letters,
         }
     )
     return named

@@ -436,5 +436,11 @@ FROM (SELECT truck_id, count(*) AS readings,
     sql["stream_fleet_state"] = sql["fleet_state"]
     sql["stream_fleet_state_wire"] = sql["fleet_state_wire"]
     sql["stream_metrics_wire"] = sql["metrics_table"]
+    sql["stream_consumer_wire"] = sql["fleet_state_wire"]
+    sql["stream_consumer_metrics"] = sql["metrics_table"]
+    sql["stream_dead_letters"] = sql["decode_errors"]
+    from_wire = (WIRE, _USABLE, ALERTS, PRIMARY)
+    sql["stream_alert_history"] = _with(*from_wire, HISTORY, select="SELECT * FROM history")
+    sql["stream_consumer_feed"] = _with(*from_wire, FEED, select="SELECT * FROM feed")
     sql["stream_metrics"] = _with(*_TO_PRIMARY, _ALL_OK, select=_metrics("every_message"))
     return sql

@@ -7,7 +7,6 @@ counts nothing twice: a micro-batch that is retried replaces its own output.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,9 +19,7 @@ from coldwatch.operators.fleet import (
 )
 from coldwatch.operators.metrics import count_messages, metrics_table
 from coldwatch.sources.wire import decode
-
-# Micro-batches of changed trucks between two full snapshots of the fleet table.
-SNAPSHOT_EVERY = 100
+from coldwatch.streaming.versions import SNAPSHOT_EVERY, VersionedTables, newest_by
 
 
 def _start(writer, folder: str, trigger: dict | None) -> StreamingQuery:
@@ -30,51 +27,6 @@ def _start(writer, folder: str, trigger: dict | None) -> StreamingQuery:
     return writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(**trigger).start()
 
 
-def _try_read(spark: SparkSession, path: str) -> DataFrame | None:
-    """A small table, or None where it is not there or is just being replaced."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-class _Ring:
-    """Output of the last micro-batches, in a fixed number of folders used in turn.
-
-    A batch replaces the folder of the batch ``slots`` before it, and its own if it is retried.
-    When it is complete, one of two small files in turn says so, so that one of them is
-    always whole. Nothing is listed or deleted, and nothing grows with time.
-    """
-
-    def __init__(self, folder: str, slots: int):
-        self.folder, self.slots = folder, slots
-
-    def path(self, number: int) -> str:
-        return f"{self.folder}/slot={number % self.slots}"
-
-    def write(self, rows: DataFrame, number: int) -> None:
-        numbered = rows.withColumn("batch_id", F.lit(number).cast("bigint"))
-        numbered.write.mode("overwrite").parquet(self.path(number))
-
-    def finish(self, spark: SparkSession, number: int, base: int = -1) -> None:
-        """``base``: the batch from which on a reader needs the output."""
-        mark = spark.range(1, numPartitions=1).select(
-            F.lit(number).cast("bigint").alias("last"), F.lit(base).cast("bigint").alias("base")
-        )
-        mark.write.mode("overwrite").parquet(f"{self.folder}/finished={number % 2}")
-
-    def finished(self, spark: SparkSession) -> tuple[int, int] | None:
-        """The last complete batch and its base."""
-        marks = [_try_read(spark, f"{self.folder}/finished={n}") for n in range(2)]
-        found = [row for mark in marks if mark is not None for row in mark.take(1)]
-        return max(((r["last"], r["base"]) for r in found), default=None)
-
-    def read(self, spark: SparkSession, numbers: range) -> DataFrame:
-        paths = sorted({self.path(n) for n in numbers})
-        within = F.col("batch_id").between(numbers.start, numbers.stop - 1)
-        return spark.read.parquet(*paths).where(within)
-
-
 # --- alerts ------------------------------------------------------------------
 
 
@@ -107,55 +59,23 @@ def start_fleet_state(
 
     A micro-batch writes only the trucks that changed. Every so often the whole
     table is written too, so that a reader needs one snapshot and the few
-    batches after it. Older output is replaced in turn; what a reader has begun to read
-    stays for another ``snapshot_every`` batches.
+    batches after it.
     """
-    changes, snapshots = _fleet_rings(folder, snapshot_every)
+    tables = _fleet_tables(folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, base = batch.sparkSession, batch_id // snapshot_every * snapshot_every
-        if base and base == batch_id:
-            batch = batch.persist()
-            whole = read_latest(spark, folder, snapshot_every)
-            snapshots.write(
-                batch.unionByName(whole.join(batch, "truck_id", "left_anti")),
-                batch_id // snapshot_every,
-            )
-        changes.write(batch, batch_id)
-        changes.finish(spark, batch_id, base)
-        batch.unpersist()
+        tables.commit(batch_id, {"fleet": batch}, snapshot_every)
 
     return _start(latest.writeStream.outputMode("update").foreachBatch(write), folder, trigger)
 
 
-def _fleet_rings(folder: str, snapshot_every: int) -> tuple[_Ring, _Ring]:
-    return _Ring(f"{folder}/table", 2 * snapshot_every), _Ring(f"{folder}/snapshot", 3)
+def _fleet_tables(folder: str) -> VersionedTables:
+    return VersionedTables(folder, {"fleet": newest_by("truck_id")})
 
 
-def read_latest(
-    spark: SparkSession, folder: str, snapshot_every: int = SNAPSHOT_EVERY
-) -> DataFrame:
-    """The fleet table in the shape of ``latest_per_truck``, as of the last finished
-    micro-batch: the newest snapshot and the batches after it. ``snapshot_every`` is the job's.
-    """
-    changes, snapshots = _fleet_rings(folder, snapshot_every)
-    finished = changes.finished(spark)
-    if finished is None:
-        raise ValueError(f"no finished batch in {folder}")
-    last, base = finished
-    rows = changes.read(spark, range(base, last + 1))
-    if base:
-        at = base // snapshot_every
-        whole = snapshots.read(spark, range(at, at + 1)).withColumn(
-            "batch_id", F.lit(base).cast("bigint")
-        )
-        rows = rows.unionByName(whole)
-    fields = [c for c in rows.columns if c not in ("truck_id", "batch_id")]
-    return (
-        rows.groupBy("truck_id")
-        .agg(F.max_by(F.struct(*fields), "batch_id").alias("row"))
-        .select("truck_id", "row.*")
-    )
+def read_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The fleet table in the shape of ``latest_per_truck``, as of the last finished batch."""
+    return _fleet_tables(folder).read(spark, "fleet")
 
 
 def read_fleet_state(
@@ -163,10 +83,9 @@ def read_fleet_state(
     folder: str,
     as_of: Column | None = None,
     max_age_seconds: float = DEFAULT_MAX_AGE_SECONDS,
-    snapshot_every: int = SNAPSHOT_EVERY,
 ) -> DataFrame:
     """Expiry is judged when the table is read, against ``as_of``."""
-    return fleet_state(read_latest(spark, folder, snapshot_every), as_of, max_age_seconds)
+    return fleet_state(read_latest(spark, folder), as_of, max_age_seconds)
 
 
 # --- counters ----------------------------------------------------------------
@@ -179,23 +98,21 @@ def start_metrics(
 
     A micro-batch writes all of them: a few rows, one per kind of message, in one file.
     """
-    ring = _Ring(f"{folder}/table", 3)
+    tables = _counter_tables(folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ring.write(batch.repartition(1), batch_id)
-        ring.finish(batch.sparkSession, batch_id)
+        tables.commit(batch_id, {"counts": batch.repartition(1)})
 
     return _start(counts.writeStream.outputMode("complete").foreachBatch(write), folder, trigger)
 
 
+def _counter_tables(folder: str) -> VersionedTables:
+    return VersionedTables(folder, {"counts": None})
+
+
 def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """All series as of the last finished batch."""
-    ring = _Ring(f"{folder}/table", 3)
-    finished = ring.finished(spark)
-    if finished is None:
-        raise ValueError(f"no finished batch in {folder}")
-    counts = ring.read(spark, range(finished[0], finished[0] + 1))
-    return metrics_table(counts.drop("batch_id"))
+    return metrics_table(_counter_tables(folder).read(spark, "counts"))
 
 
 # --- both topics as JSON ---------------------------------------------------------

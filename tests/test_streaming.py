@@ -13,6 +13,7 @@ from coldwatch.plans.catalog import _both_topics, _shown, catalog
 from coldwatch.sources.events import events_path, stream_telemetry
 from coldwatch.sources.wire import decode, telemetry_from_wire
 from coldwatch.streaming import jobs
+from coldwatch.streaming.versions import VersionedTables, newest_by
 
 
 def same(a, b):
@@ -60,9 +61,9 @@ def test_fleet_stream_equals_batch(spark, telemetry, files, snapshot_every):
     )
     as_of = telemetry.agg(F.max("ts")).scalar()
     expected = latest_from_readings(telemetry)
-    assert same(jobs.read_latest(spark, folder, snapshot_every), expected)
+    assert same(jobs.read_latest(spark, folder), expected)
     assert same(
-        jobs.read_fleet_state(spark, folder, as_of, 86_400, snapshot_every),
+        jobs.read_fleet_state(spark, folder, as_of, 86_400),
         fleet_state(expected, as_of, 86_400),
     )
 
@@ -72,27 +73,24 @@ def folders(path: str) -> int:
 
 
 def test_many_batches_need_no_more_folders(spark, tmp_path):
-    """Writes what 205 micro-batches would, one truck each, and reads in between."""
+    """Writes what 45 micro-batches would, one truck each, and reads in between."""
     schema = "truck_id string, ts bigint"
-    changes, snapshots = jobs._fleet_rings(str(tmp_path), 10)
+    tables = VersionedTables(str(tmp_path), {"fleet": newest_by("truck_id")})
     want, most = {}, 0
-    for n in range(205):
+    for n in range(45):
         want[f"T{n % 7}"] = n
         row = spark.createDataFrame([(f"T{n % 7}", n)], schema).coalesce(1)
-        if n and n % 10 == 0:
-            whole = jobs.read_latest(spark, str(tmp_path), 10)
-            whole = row.unionByName(whole.join(row, "truck_id", "left_anti")).coalesce(1)
-            snapshots.write(whole, n // 10)
-        changes.write(row, n)
-        if n % 60 == 59:  # a batch that has not finished yet is not seen
-            seen = {r.truck_id: r.ts for r in jobs.read_latest(spark, str(tmp_path), 10).collect()}
-            assert n not in seen.values()
-        changes.finish(spark, n, n // 10 * 10)
-        if n % 60 in (0, 6, 59):
-            rows = jobs.read_latest(spark, str(tmp_path), 10).collect()
+        if n % 20 == 3:  # a writer that was begun anew, and sets something else
+            tables = VersionedTables(str(tmp_path), {"fleet": newest_by("truck_id")})
+        tables.commit(n, {"fleet": row}, 10 if n < 3 else 7)
+        if n % 30 == 20:  # a batch that is retried
+            tables.commit(n, {"fleet": row}, 10)
+        if n % 30 in (0, 6, 20, 29):
+            rows = tables.read(spark, "fleet").collect()
             assert {r.truck_id: r.ts for r in rows} == want
+            assert tables.version(spark).every == 10
         most = max(most, folders(str(tmp_path)))
-    assert most <= 2 + 2 * 10 + 2 + 3
+    assert most <= 1 + 2 * 10 + 3 + 4
 
 
 def test_both_topics_stream_equals_batch(spark, tmp_path):
