@@ -31,6 +31,7 @@ from coldwatch.operators.fleet import (
     wire_messages,
 )
 from coldwatch.operators.history import alert_history, alerts_recent, truck_recent_alerts
+from coldwatch.operators.intervals import alert_intervals
 from coldwatch.operators.metrics import (
     alerts_by_severity,
     alerts_by_type,
@@ -296,6 +297,21 @@ def q_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(jobs.read_alerts(spark, folder))
 
 
+def q_alert_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alert_intervals(_primary(spark, sf_dir), MAX_AGE_SECONDS)
+
+
+def q_stream_alert_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intervals that are over when the stream has been read."""
+    folder = _job_folder(spark, "stream_alert_intervals")
+    alerts = alerts_primary(_events_stream(spark, sf_dir))
+    alerts = alerts.withColumn("timestamp", utc_instant(F.col("timestamp")))
+    jobs.start_alert_intervals(alerts, folder, None, MAX_AGE_SECONDS).awaitTermination()
+    times = ("active_from", "last_alert", "active_until")
+    found = jobs.read_alert_intervals(spark, folder)
+    return found.withColumns({name: utc_clock(F.col(name)) for name in times})
+
+
 def q_stream_fleet_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _job_folder(spark, "stream_fleet_state")
     latest = latest_from_readings(_events_stream(spark, sf_dir))
@@ -406,7 +422,9 @@ def catalog() -> dict[str, Query]:
             "route_segments": q_route_segments,
             "trip_segments": q_trip_segments,
             "trip_summary": q_trip_summary,
+            "alert_intervals": q_alert_intervals,
             "stream_alerts": q_stream_alerts,
+            "stream_alert_intervals": q_stream_alert_intervals,
             "stream_fleet_state": q_stream_fleet_state,
             "stream_metrics": q_stream_metrics,
             "stream_fleet_state_wire": q_stream_fleet_state_wire,

@@ -157,6 +157,18 @@ sensor_state AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY truck_id ORDER BY last_seen DESC, event_id DESC) AS n
         FROM messages WHERE topic_rank = 0 AND truck_id IS NOT NULL AND truck_id <> '') WHERE n = 1
 )"""
+INTERVALS = """
+begun AS (
+  SELECT truck_id, timestamp, event_id, coalesce(timestamp - lag(timestamp) OVER own > INTERVAL 86400 SECOND, true) AS anew
+  FROM alerts_primary WHERE truck_id IS NOT NULL AND truck_id <> ''
+  WINDOW own AS (PARTITION BY truck_id ORDER BY timestamp, event_id)
+),
+intervals AS (
+  SELECT truck_id, min(timestamp) AS active_from, max(timestamp) AS last_alert,
+    max(timestamp) + INTERVAL 86400 SECOND AS active_until, count(*) AS alerts
+  FROM (SELECT *, sum(anew::INT) OVER (PARTITION BY truck_id ORDER BY timestamp, event_id) AS n FROM begun)
+  GROUP BY truck_id, n
+)"""
 FEED = """
 feed AS (
   SELECT 'telemetry' AS topic, event_id, truck_id, ts AS timestamp, route_id, latitude, longitude, speed_kmh,
@@ -436,6 +448,12 @@ FROM (SELECT truck_id, count(*) AS readings,
     sql["stream_fleet_state"] = sql["fleet_state"]
     sql["stream_fleet_state_wire"] = sql["fleet_state_wire"]
     sql["stream_metrics_wire"] = sql["metrics_table"]
+    intervals = _with(*_TO_PRIMARY, INTERVALS, select="SELECT * FROM intervals")
+    sql["alert_intervals"] = intervals
+    # Over is what ended before the newest alert of a known truck.
+    sql["stream_alert_intervals"] = (
+        f"{intervals} WHERE active_until < (SELECT max(last_alert) FROM intervals)"
+    )
     sql["stream_consumer_wire"] = sql["fleet_state_wire"]
     sql["stream_consumer_metrics"] = sql["metrics_table"]
     sql["stream_dead_letters"] = sql["decode_errors"]

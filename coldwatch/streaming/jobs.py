@@ -17,6 +17,7 @@ from coldwatch.operators.fleet import (
     latest_per_truck,
     wire_messages,
 )
+from coldwatch.operators.intervals import alert_intervals
 from coldwatch.operators.metrics import count_messages, metrics_table
 from coldwatch.sources.wire import decode
 from coldwatch.streaming.versions import SNAPSHOT_EVERY, VersionedTables, newest_by
@@ -88,6 +89,29 @@ def read_fleet_state(
     return fleet_state(read_latest(spark, folder), as_of, max_age_seconds)
 
 
+# --- expiry ------------------------------------------------------------------
+
+
+def start_alert_intervals(
+    alerts: DataFrame,
+    folder: str,
+    trigger: dict | None = None,
+    max_age_seconds: int = DEFAULT_MAX_AGE_SECONDS,
+    late: str = "0 seconds",
+) -> StreamingQuery:
+    """Appends the active interval of a truck to a table when it is over (``alert_intervals``).
+
+    The state is one session per truck that has an active alert; it is dropped at its end.
+    """
+    over = alert_intervals(alerts, max_age_seconds, late)
+    writer = over.writeStream.outputMode("append").format("parquet")
+    return _start(writer.option("path", f"{folder}/table"), folder, trigger)
+
+
+def read_alert_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/table")
+
+
 # --- counters ----------------------------------------------------------------
 
 
