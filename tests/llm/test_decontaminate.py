@@ -172,3 +172,56 @@ def test_groups_of_items_and_empty_tables(spark, monkeypatch):
     assert decontaminate.contaminated(frame, nothing).collect() == []
     assert decontaminate.without_contaminated(frame, nothing).count() == 40
     assert decontaminate.contaminated(frame.limit(0), benchmark).collect() == []
+
+
+def test_recall_of_mixed_and_one_sided_edits():
+    """At the most edits allowed, for items of 15 to 250 words: 0.99 of the exact search at least."""
+    rng = random.Random(30)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for length in (15, 60, 120, 250):
+        items = [(i, " ".join(rng.choices(vocabulary, k=length))) for i in range(60)]
+        benchmark = decontaminate.Benchmark(items)
+        most = edits_allowed(length)
+        for kind in ("mixed", "deleted", "inserted"):
+            hits = 0
+            for i, text in items:
+                body = text.split()
+                if kind == "mixed":
+                    body = edited(rng, body, most, vocabulary)
+                for _ in range(0 if kind == "mixed" else most):
+                    if kind == "inserted":
+                        body.insert(rng.randrange(1, len(body)), rng.choice(vocabulary))
+                    else:
+                        del body[rng.randrange(1, len(body) - 1)]
+                doc = rng.choices(vocabulary, k=50) + body + rng.choices(vocabulary, k=50)
+                hits += any(n == i for n, *_ in benchmark.find(benchmark.spell(" ".join(doc))))
+            assert hits >= 0.99 * len(items) - 0.6, (length, kind, hits)
+
+
+def test_repetitions_follow_from_the_recall():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for length in (5, 8, 12):
+        times = decontaminate.repetitions(length, 1)
+        missed = 0
+        for trial in range(1500):
+            walks = decontaminate.Walks(length, times, seed=100 + trial)
+            part = rng.permutation(500)[:length]
+            other = np.append(np.delete(part, rng.integers(length)), rng.integers(500, 900, length))
+            start = np.zeros(1, np.int64)
+            missed += not (walks.codes(part, start) == walks.codes(other, start)).any()
+        assert missed <= 6, (length, times)
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "four words stand here"), (2, "\u5929\u5730\u7384\u9ec4\u5b87\u5b99\u6d2a\u8352\u65e5\u6708"), (3, "one"), (4, "one")]
+    docs = [
+        (1, "So four WORDS stand, here."), (2, "four words or more stand here"),
+        (3, "\u300c\u5929\u5730\u7384\u9ec4\uff0c\u5b87\u5b99\u6d2a\u8352\u65e5\u6708\u300d"), (4, "\u5929\u5730\u5b87\u5b99"), (5, "Only ONE"),
+    ]
+    found = decontaminate.contaminated(
+        spark.createDataFrame([("x", d, t, "y") for d, t in docs], DOCS),
+        spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS),
+    ).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (3, 2), (5, 3), (5, 4)}
