@@ -134,8 +134,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Lang
             embed -= rate * 20 * to_embed  # each bucket gets a small part of an average
         rng.shuffle(fitted)
     votes = embed @ layer
-    if len(held) < 20:
-        return LanguageModel(languages, votes, 0.0)
+    if not len(held):
+        return LanguageModel(languages, votes, 0.0)  # nothing to calibrate on: rejects no letters
     logits = np.concatenate(
         [_averages([features[i] for i in held[a : a + 256]]) @ votes
          for a in range(0, len(held), 256)]
@@ -145,7 +145,10 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Lang
         key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(held)), target[held]] + 1e-12).mean(),
     )
     best = _softmax(logits / temperature).max(axis=1)
-    threshold = min(HIGHEST_THRESHOLD, float(np.quantile(best, REJECTED_SHARE)))
+    # Conformal: a text like those held back scores below the k-th lowest of n with a chance of
+    # k / (n + 1) at most, whatever n is.
+    place = max(1, int(REJECTED_SHARE * (len(best) + 1)))
+    threshold = min(HIGHEST_THRESHOLD, float(np.sort(best)[place - 1]))
     return LanguageModel(languages, (votes / temperature).astype(np.float32), threshold)
 
 

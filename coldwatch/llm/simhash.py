@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from coldwatch.llm.common import portions, ready, stored, texts_of, with_text
 from coldwatch.llm.components import components
+from coldwatch.llm.joins import skew_join
 
 WORDS = 4
 SEED = 42
@@ -68,15 +69,17 @@ def _fingerprints(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in portions(source):
         found = np.array([fingerprint(t) for t in texts_of(batch)], dtype=np.uint64)
         yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "print"]
+            [batch.column("doc_id"), pa.array(found.view(np.int64)), batch.column("text_hash")],
+            names=["doc_id", "print", "text_hash"],
         )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, print) with the fingerprint as a signed long, its 64 bits unchanged."""
+    """(doc_id, print, text_hash): the fingerprint is a signed long, its 64 bits unchanged."""
     ready(docs.sparkSession)
     texts = with_text(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    return texts.mapInArrow(_fingerprints, "doc_id long, print long")
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    return texts.mapInArrow(_fingerprints, "doc_id long, print long, text_hash long")
 
 
 def segment_code(prints: np.ndarray) -> np.ndarray:
@@ -271,12 +274,25 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     fingerprint; a null ``doc_id`` keeps its row and names no component. Other columns
     are ignored. An empty table gives no rows.
     """
+    return components_of(docs, bits).select("doc_id", "print", "component_id")
+
+
+def components_of(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """``near_duplicates`` with the text's hash and ``root``, which names the component.
+
+    ``component_id`` alone does not, where one ``doc_id`` has texts of several components.
+    """
     prints = stored(fingerprints(docs), "fingerprints")
     points = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "points")
     roots = components(links(points.select("print"), bits), "a", "b")
-    rooted = points.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
-        "print", "least", F.coalesce("root", "print").alias("root")
+    rooted = stored(
+        points.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
+            "print", "least", F.coalesce("root", "print").alias("root")
+        ),
+        "rooted",
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(rooted.join(named, "root").select("print", "component_id"), "classes")
-    return prints.join(classes, "print").select("doc_id", "print", "component_id")
+    classes = stored(
+        skew_join(rooted, named, "root").select("print", "root", "component_id"), "classes"
+    )
+    return skew_join(prints, classes, "print")

@@ -107,3 +107,14 @@ def test_empty_documents(spark):
     for name in ("documents", "labels", "benchmark"):
         table(spark, SF, name).limit(0).write.parquet(f"{folder}/{name}.parquet")
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_one_of_each_group_where_ids_repeat(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "x"), (5, b, "y"), (None, a, "z"), (8, None, "x"), (9, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, print string")
+    kept = stages.keep_one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (8, None), (None, a)], key=str)
+    assert stages.keep_one_of_each_group(spark, docs.limit(0), "").count() == 0
