@@ -10,7 +10,7 @@ from __future__ import annotations
 import string
 import unicodedata
 from array import array
-from itertools import chain
+from collections.abc import Callable
 
 import numpy as np
 
@@ -45,6 +45,20 @@ def _byte_letters() -> str:
     return "".join(letters)
 
 
+class _Kept(dict):
+    """What ``make`` gives for each text, made once and kept unless the text is long."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        made = self.make(text)
+        if len(text) <= LONG:
+            self[text] = made
+        return made
+
+
 class WordEncoder:
     """Encodes with a word-level BPE file of the tokenizers library."""
 
@@ -54,49 +68,49 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(_byte_letters()))
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks = _Kept(self._chunk)
+        self.words = _Kept(self._word)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
+    def _letters(self, shaped: str) -> bytes:
+        """Ids of normalised letters, which are one word of the model."""
+        if not shaped.isascii():
+            shaped = shaped.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shaped)]).tobytes()
+
     @staticmethod
     def _shaped(word: str) -> str:
         """``word`` as the tokenizer's normaliser leaves it."""
-        return word.lower() if word.isascii() else "".join(
-            map(str.lower, unicodedata.normalize("NFC", word))
-        )
+        return "".join(map(str.lower, unicodedata.normalize("NFC", word)))
 
     def _word(self, word: str) -> bytes:
         """A run of letters is one word of the model; anything else goes the whole way."""
-        if not word.isalpha():
-            return self.whole(word)
-        shaped = self._shaped(word)
-        if not shaped.isascii():
-            if not shaped.isalpha():
-                return self.whole(word)
-            shaped = shaped.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(shaped)]).tobytes()
-
-    def _kept_word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = self._word(word)
-        return ids
+        if word.isalpha():
+            shaped = word if word.isascii() else self._shaped(word)
+            if shaped.isalpha():
+                return self._letters(shaped)
+        return self.whole(word)
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if SPECIAL in chunk or len(chunk) > LONG:
+        if len(chunk) > LONG or SPECIAL in chunk:
             return self.whole(chunk)
-        if chunk.isascii():
+        ascii_only = chunk.isascii()
+        if ascii_only:
             chunk = chunk.lower()
+            if chunk.isalpha():
+                return self._letters(chunk)
         word = chunk.rstrip(PUNCTUATION)
         # Normalising can end a word in a mark, which the tokenizer joins to punctuation.
-        if len(word) < len(chunk) and word.isalpha() and self._shaped(word).isalpha():
-            return self._kept_word(word) + self._kept_word(chunk[len(word) :])
-        return self._kept_word(chunk)
+        if len(word) < len(chunk) and word.isalpha() and (
+            ascii_only or self._shaped(word).isalpha()
+        ):
+            return self.words[word] + self.words[chunk[len(word) :]]
+        return self._word(chunk)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as native unsigned 32-bit integers."""
@@ -104,17 +118,8 @@ class WordEncoder:
             self.chunks.clear()
         if len(self.words) > CHUNKS_KEPT:
             self.words.clear()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        long = []
-        for chunk in set(chain.from_iterable(parts)) - self.chunks.keys():
-            self.chunks[chunk] = self._chunk(chunk)
-            if len(chunk) > LONG:
-                long.append(chunk)
         get = self.chunks.__getitem__
-        ids = [b"".join(map(get, p)) for p in parts]
-        for chunk in long:
-            del self.chunks[chunk]
-        return ids
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def documents_ids(path: str, texts: list[str], end_id: int) -> list[np.ndarray]:
