@@ -103,13 +103,14 @@ class WordEncoder:
         if ascii_only:
             chunk = chunk.lower()
             if chunk.isalpha():
-                return self._letters(chunk)
+                return self.words.get(chunk) or self._letters(chunk)
         word = chunk.rstrip(PUNCTUATION)
         # Normalising can end a word in a mark, which the tokenizer joins to punctuation.
         if len(word) < len(chunk) and word.isalpha() and (
             ascii_only or self._shaped(word).isalpha()
         ):
-            return self.words[word] + self.words[chunk[len(word) :]]
+            # A word in lower case may have stood alone before.
+            return (self.chunks.get(word) or self.words[word]) + self.words[chunk[len(word) :]]
         return self._word(chunk)
 
     def encode(self, texts: list[str]) -> list[bytes]:
