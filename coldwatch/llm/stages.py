@@ -45,7 +45,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     row_id, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit(""))
     same = (row_id == kept["kept_id"]) & (F.xxhash64(text) == kept["kept_text"])
     named = docs.join(kept, same, "left_semi")
-    own = Window.partitionBy("doc_id", F.coalesce("text", F.lit(""))).orderBy(
+    own = Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(
         F.xxhash64(*[f"`{c}`" for c in docs.columns])
     )
     # The row travels as one column, so that no name of its columns can clash.

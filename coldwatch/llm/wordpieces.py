@@ -14,7 +14,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-CHUNKS_KEPT = 400_000  # of chunks and of words; beyond it they are encoded anew
+CHUNKS_KEPT = 400_000  # beyond it they are encoded anew
+WORDS_KEPT = 100_000  # words before punctuation, likewise
 LONG = 200  # characters; longer chunks are not kept
 PUNCTUATION = string.punctuation
 SPECIAL = "<|"  # begins the names of special tokens, which are found before lower-casing
@@ -117,7 +118,7 @@ class WordEncoder:
         """For each text its ids as native unsigned 32-bit integers."""
         if len(self.chunks) > CHUNKS_KEPT:
             self.chunks.clear()
-        if len(self.words) > CHUNKS_KEPT:
+        if len(self.words) > WORDS_KEPT:
             self.words.clear()
         get = self.chunks.__getitem__
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
