@@ -83,20 +83,20 @@ def _alert_state() -> Column:
     )
 
 
-def _known_trucks(df: DataFrame) -> DataFrame:
+def known_trucks(df: DataFrame) -> DataFrame:
     return df.where(F.col("truck_id").isNotNull() & (F.col("truck_id") != ""))
 
 
 def topic_messages(telemetry: DataFrame, alerts: DataFrame) -> DataFrame:
     """Messages of the two topics, when both exist as tables or streams."""
-    readings = _known_trucks(telemetry).select(
+    readings = known_trucks(telemetry).select(
         "truck_id",
         "ts",
         F.lit(TOPICS.index(TELEMETRY_TOPIC)).alias("topic_rank"),
         "event_id",
         _reading_state(overwritten=F.lit(False)).alias("state"),
     )
-    raised = _known_trucks(alerts).select(
+    raised = known_trucks(alerts).select(
         "truck_id",
         F.col("timestamp").alias("ts"),
         F.lit(TOPICS.index(ALERTS_TOPIC)).alias("topic_rank"),
@@ -114,7 +114,7 @@ def wire_messages(decoded: DataFrame) -> DataFrame:
     ).withColumn("timestamp", parse_utc(F.col("timestamp")))
     is_alert = F.col("topic") == ALERTS_TOPIC
     # The reading's state is built from ``ts``; an alert repeats its reading's time.
-    known = _known_trucks(both.withColumn("ts", F.col("timestamp")))
+    known = known_trucks(both.withColumn("ts", F.col("timestamp")))
     return known.select(
         "truck_id",
         "ts",
@@ -134,6 +134,7 @@ def latest_from_readings(
     rules: Sequence[Rule] = DEFAULT_RULES,
     now: Column | None = None,
     sensors_only: bool = False,
+    with_newest: bool = False,
 ) -> DataFrame:
     """``latest_per_truck`` straight from telemetry, deriving the alerts in the same scan.
 
@@ -143,13 +144,19 @@ def latest_from_readings(
 
     What travels through the aggregation is the reading. Alert texts are made
     afterwards, for the one reading per truck that is left.
+
+    ``with_newest`` adds ``newest``, the time of a truck's last reading, and a row without
+    ``truck_id`` for the readings that name none, so that ``newest_time`` knows the time of
+    the last of all readings without another scan. Drop that row with ``known_trucks``.
     """
     book = RuleBook(rules)
     context = [c for c in ALERT_CONTEXT_FIELDS if c not in ("truck_id", "timestamp")]
     used = list(dict.fromkeys([*context, *book.columns_used()]))
     alert_time = dict(zip(ALERT_CONTEXT_FIELDS, alert_context(now)))["timestamp"]
     alerted = book.raised(F.col(FIRED))
-    messages = with_fired(_known_trucks(telemetry), book).select(
+    named = F.when(F.col("truck_id") != "", F.col("truck_id"))
+    told = telemetry.withColumn("truck_id", named) if with_newest else known_trucks(telemetry)
+    messages = with_fired(told, book).select(
         "truck_id",
         F.col("ts"),
         (F.lit(0) if sensors_only else F.when(alerted, 1).otherwise(0)).alias("topic_rank"),
@@ -159,14 +166,24 @@ def latest_from_readings(
         ),
         F.when(alerted, F.struct(FIRED, alert_time.alias("ts"), *used)).alias("alert"),
     )
-    last = _latest(messages, alert_time="ts")
+    newest = [F.max("ts").alias("newest")] if with_newest else []
+    last = _latest(messages, "ts", *newest)
     raised = with_primary(last.select("*", "alert.*").drop("alert"), book)
     fields = primary_alert_columns(book)
     alert = F.when(F.col("alerts_seen") > 0, F.struct(*fields)).alias("alert")
-    return raised.select("truck_id", "state", alert, "alert_ts", "alerts_seen")
+    added = ["newest"] if with_newest else []
+    return raised.select("truck_id", "state", alert, "alert_ts", "alerts_seen", *added)
+
+
+def newest_time(latest: DataFrame) -> Column:
+    """The time of the last reading of all, from ``latest_from_readings(with_newest=True)``.
+
+    Pass a written table: of a plan, this would be computed a second time.
+    """
+    return latest.agg(F.max("newest")).scalar()
 
 
-def _latest(messages: DataFrame, alert_time: str) -> DataFrame:
+def _latest(messages: DataFrame, alert_time: str, *more: Column) -> DataFrame:
     order = F.struct(*_ORDER)
     carries = F.col("alert").isNotNull()
     return messages.groupBy("truck_id").agg(
@@ -174,6 +191,7 @@ def _latest(messages: DataFrame, alert_time: str) -> DataFrame:
         F.max_by("alert", F.when(carries, order)).alias("alert"),
         F.max(F.when(carries, F.col(f"alert.{alert_time}"))).alias("alert_ts"),
         F.count(F.when(carries, 1)).alias("alerts_seen"),
+        *more,
     )
 
 

@@ -106,24 +106,25 @@ def route_segments(route_table: DataFrame) -> DataFrame:
 
 
 def truck_route(trucks: DataFrame, route_table: DataFrame) -> DataFrame:
-    """The route each truck is on; an unknown route id means the first route.
+    """The route each truck is on; an unknown route id means the first route of the table.
 
     ``trucks`` has ``truck_id`` and ``route_id``. The dimension is the handful
-    of rows of ``routes``, so it is broadcast.
+    of rows of ``routes``, so it is broadcast. Without any route, there is none to fall back to.
     """
     dimension = route_table.select(
         F.col("route_id").alias("known_id"), "route_name", F.size("waypoints").alias("waypoints")
     )
-    first_id, first_name, first_points = ROUTES[0][0], ROUTES[0][1], len(ROUTES[0][2])
+    own = F.struct("route_id", "route_name", F.size("waypoints").alias("waypoints"))
+    first = route_table.agg(F.min_by(own, "route_pos")).scalar()
     joined = trucks.join(
         F.broadcast(dimension), F.col("route_id") == F.col("known_id"), "left"
     )
     return joined.select(
         "truck_id",
         F.col("route_id").alias("reported_route_id"),
-        F.coalesce("known_id", F.lit(first_id)).alias("route_id"),
-        F.coalesce("route_name", F.lit(first_name)).alias("route_name"),
-        F.coalesce("waypoints", F.lit(first_points)).alias("waypoints"),
+        F.coalesce("known_id", first["route_id"]).alias("route_id"),
+        F.coalesce("route_name", first["route_name"]).alias("route_name"),
+        F.coalesce("waypoints", first["waypoints"]).alias("waypoints"),
     )
 
 

@@ -25,8 +25,10 @@ from coldwatch.operators.fleet import (
     alerts_active,
     fleet_state,
     fleet_summary,
+    known_trucks,
     latest_from_readings,
     latest_per_truck,
+    newest_time,
     truck_detail,
     wire_messages,
 )
@@ -211,9 +213,17 @@ def q_truck_recent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _latest(spark: SparkSession, sf_dir: str, sensors_only: bool = False) -> tuple:
-    telemetry = read_telemetry(spark, sf_dir)
-    latest = latest_from_readings(telemetry, sensors_only=sensors_only)
-    return latest, _as_of(telemetry)
+    """The fleet, and the time of the last reading: one scan of the readings gives both.
+
+    The fleet is written first, a row per truck; its newest time is read from there.
+    """
+    found = latest_from_readings(
+        read_telemetry(spark, sf_dir), sensors_only=sensors_only, with_newest=True
+    )
+    path = f"{_job_folder(spark, 'latest')}/table"
+    found.write.parquet(path)
+    table = spark.read.schema(found.schema).parquet(path)
+    return known_trucks(table), newest_time(table)
 
 
 def q_fleet_state(spark: SparkSession, sf_dir: str) -> DataFrame:

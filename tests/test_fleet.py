@@ -9,8 +9,10 @@ from coldwatch.operators.fleet import (
     alerts_active,
     fleet_state,
     fleet_summary,
+    known_trucks,
     latest_from_readings,
     latest_per_truck,
+    newest_time,
     topic_messages,
     truck_detail,
     wire_messages,
@@ -164,3 +166,12 @@ def test_validation_splits(telemetry):
     assert invalid.where("size(missing_fields) = 0").count() == 0
     first = invalid.where("event_id = 0").first()
     assert first.missing_fields == ["truck_id", "speed_kmh", "temperature_c", "door_status", "driver_id"]
+
+
+def test_newest_time_counts_readings_without_a_truck(readings):
+    df = readings({"truck_id": "A", "ts": at(1)}, {"truck_id": "", "ts": at(5)}, {"ts": at(4)}, {"truck_id": "B"})
+    found = latest_from_readings(df, with_newest=True)
+    assert found.select(newest_time(found).alias("t")).first().t == at(5).replace(tzinfo=None)
+    assert same(known_trucks(found).drop("newest"), latest_from_readings(df))
+    none = latest_from_readings(df.limit(0), with_newest=True)
+    assert none.count() == 0

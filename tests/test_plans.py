@@ -73,6 +73,13 @@ def test_both_topics_come_from_one_scan(spark):
     assert plan.count("FileScan") == 2  # the other only for the newest time
 
 
+@pytest.mark.parametrize("name", ["fleet_state", "alerts_active", "fleet_summary"])
+def test_the_newest_time_takes_no_second_scan(spark, table, name):
+    assert explain(latest_from_readings(table, with_newest=True)).count("FileScan") == 1
+    plan = explain(catalog()[name](spark, "/root/testdata/sf0.001"), "formatted")
+    assert "sf0.001" not in plan and "events" not in plan
+
+
 def test_trips_have_one_path_without_joins(table):
     plan = explain(trip_segments(consecutive_fixes(table)))
     assert "Join" not in plan and "Broadcast" not in plan and "Cartesian" not in plan

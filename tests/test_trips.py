@@ -123,3 +123,13 @@ def test_unknown_route_falls_back_to_the_first(spark):
     found = {r.truck_id: (r.route_id, r.waypoints) for r in assigned.collect()}
     assert found == {"A": ("RT-BEN-ABJ", 7), "B": ("RT-LAG-ABJ", 9), "C": ("RT-LAG-ABJ", 9)}
     assert truck_segments(assigned, route_segments(routes(spark))).count() == 25
+
+
+def test_the_fallback_is_the_first_route_of_the_table(spark):
+    others = routes(spark).where("route_pos > 0")
+    trucks = spark.createDataFrame([("A", None), ("B", ROUTES[2][0]), ("C", ROUTES[0][0])], "truck_id string, route_id string")
+    found = {r.truck_id: r for r in truck_route(trucks, others).collect()}
+    assert [found[t].route_id for t in "ABC"] == [ROUTES[1][0], ROUTES[2][0], ROUTES[1][0]]
+    assert found["A"].route_name == ROUTES[1][1] and found["A"].waypoints == len(ROUTES[1][2])
+    empty = truck_route(trucks, others.limit(0)).where("truck_id = 'A'").first()
+    assert empty.route_id is None and empty.waypoints is None
