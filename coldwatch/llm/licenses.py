@@ -1,18 +1,20 @@
 """License scans: phrases, and an exact set-similarity join with license templates.
 
-Only DataFrame functions are used. Three things are found in every whole text:
+Only DataFrame functions are used. Two things are found in every whole text:
 
 * base phrases, where their words stand consecutively;
-* text blocks (sentences and lines) whose word set contains at least ``CONTAINMENT`` of a
-  template's word set;
-* notices wrapped over lines: stretches of a paragraph's sentence, over its line ends, that hold as
-  many of a template's words in no more words than the template has, divided by ``CONTAINMENT``.
+* text blocks that hold at least ``CONTAINMENT`` of a template's pairs of neighbouring words.
 
-The join orders template words by their frequency over all blocks, rarest first. A block
-that holds ``need`` of a template's words holds one of its ``size - need + 1`` rarest, so
+A block is a sentence of a paragraph. It goes over line ends, so notices may be wrapped and
+stand in comments. Pairs, not words, are what is compared: the words of a template scattered over
+a sentence make no notice, and neither does the name of another license in its place.
+
+The join orders template pairs by their frequency over all blocks, rarest first. A block
+that holds ``need`` of a template's pairs holds one of its ``size - need + 1`` rarest, so
 blocks and templates meet on those prefixes only. Length and position then bound the overlap
-that is still possible, and the pairs that are left are counted exactly. Words outside all
-templates cannot add to an overlap, so blocks are kept as their template words, numbered in that order.
+that is still possible, and what is left is counted exactly. Pairs outside all
+templates cannot add to an overlap, so blocks are kept as their template pairs, numbered in that order.
+Of templates that share pairs of a block the most contained wins, at a tie the longer.
 """
 
 from __future__ import annotations
@@ -27,11 +29,9 @@ from coldwatch.llm.common import stored, with_text
 CONTAINMENT = 0.8
 # Everything that is no word: ASCII but digits and letters (upper case is folded).
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-# Ends of blocks: line ends, and sentence ends before white space.
-BLOCK_END = r"[\n\r]+|[.;!?](?=[ \t\n\x0B\f\r])"
-# Ends of sentences over lines: blank lines, and sentence ends before white space.
+# Ends of blocks: blank lines, and sentence ends before white space.
 LINE_END = r"(?:\r\n|\n|\r(?!\n))"
-PARAGRAPH_END = rf"{LINE_END}[ \t]*{LINE_END}|[.;!?](?=[ \t\n\x0B\f\r])"
+BLOCK_END = rf"{LINE_END}[ \t]*{LINE_END}|[.!?](?=[ \t\n\x0B\f\r])"
 
 # Base phrases and their labels.
 PHRASES = {
@@ -53,7 +53,15 @@ TEMPLATES = [
     ("agpl", "under the terms of the gnu affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("mpl", "the contents of this file are subject to the mozilla public license version 1 1 the license"
+            " you may not use this file except in compliance with the license"),
+    *[
+        (f"cc-by{short}", f"this work is licensed under a creative commons attribution{long} 4 0 international license")
+        for short, long in (
+            ("", ""), ("-sa", " sharealike"), ("-nd", " noderivatives"), ("-nc", " noncommercial"),
+            ("-nc-sa", " noncommercial sharealike"), ("-nc-nd", " noncommercial noderivatives"),
+        )
+    ],
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or"
             " without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
@@ -101,56 +109,47 @@ def phrase_columns(words: Column, phrases: dict[str, str] = PHRASES) -> dict[str
     }
 
 
+def pairs_of(text: str) -> list[str]:
+    """The distinct pairs of neighbouring words, sorted."""
+    words = text.split()
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+
+
 def _template_rows(templates: list[tuple[str, str]]) -> list[tuple[int, str, list[str]]]:
-    return [(n, label, sorted(set(text.split()))) for n, (label, text) in enumerate(templates)]
+    rows = [(n, label, pairs_of(text)) for n, (label, text) in enumerate(templates)]
+    if not all(pairs for _, _, pairs in rows):
+        raise ValueError("a template has two words at least")
+    return rows
 
 
-def blocks(docs: DataFrame, vocabulary: list[str], fewest: int) -> DataFrame:
-    """(doc_id, words): of each block with ``fewest`` template words at least, just these.
+def _fewest_words(templates: list[tuple[str, str]], containment: float) -> int:
+    """Distinct template words of any block that holds a template; a missing pair costs one at most."""
+    return max(1, min(
+        len(set(text.split())) - len(pairs_of(text)) + need_of(len(pairs_of(text)), containment)
+        for _, text in templates
+    ))
 
-    Texts are cut into blocks first, so a block is a row and a long text many rows.
-    """
-    pieces = docs.select("doc_id", F.explode(F.split("text", BLOCK_END)).alias("block"))
-    words = F.array_intersect(F.split(folded(F.col("block")), " "), F.lit(vocabulary))
-    held = pieces.where(F.length("block") >= 2 * fewest - 1).select("doc_id", words.alias("words"))
-    return held.where(F.size("words") >= fewest)
 
+def blocks(docs: DataFrame, templates: list[tuple[str, str]], containment: float) -> DataFrame:
+    """(doc_id, pairs): of each block that may hold a template, the template pairs in it.
 
-def wrapped_matches(
-    docs: DataFrame, templates: list[tuple[str, str]], containment: float = CONTAINMENT
-) -> DataFrame:
-    """(doc_id, label, score): of sentences that go over a line end and hold a template."""
+    Texts are cut into blocks first, so a block is a row and a long text many rows.
+    """
     rows = _template_rows(templates)
-    vocabulary = sorted({w for _, _, ws in rows for w in ws})
-    needs = [need_of(len(ws), containment) for _, _, ws in rows]
-    fewest = min(needs)
-    pieces = docs.select("doc_id", F.explode(F.split("text", PARAGRAPH_END)).alias("block"))
-    trimmed = F.trim(F.col("block"), F.lit(" \n\r\t"))
-    lines = pieces.where(
-        (F.length("block") >= 2 * fewest - 1) & (F.contains(trimmed, F.lit("\n")) | F.contains(trimmed, F.lit("\r")))
-    )
-    spelt = lines.select("doc_id", F.split(F.trim(folded(F.col("block"))), " ").alias("words"))
-    held = spelt.where(F.size(F.array_intersect("words", F.lit(vocabulary))) >= fewest)
-    every = F.array(*[
-        F.struct(
-            F.lit(label).alias("label"), F.lit(own).alias("own"), F.lit(need).alias("need"),
-            F.lit(int(len(text.split()) / containment)).alias("width"),
-        )
-        for (_, label, own), need, (_, text) in zip(rows, needs, templates)
-    ])
-    pairs = held.select("doc_id", "words", F.explode(every).alias("t")).select("doc_id", "words", "t.*")
-    likely = pairs.where(F.size(F.array_intersect("words", "own")) >= F.col("need"))
-    starts = F.filter(
-        F.sequence(F.lit(1), F.size("words")),
-        lambda i: F.array_contains(F.col("own"), F.element_at("words", i)),
-    )
-    overlaps = F.transform(
-        starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("width")), F.col("own")))
-    )
-    found = likely.select("doc_id", "label", "own", "need", F.array_max(overlaps).alias("overlap"))
-    return found.where(F.col("overlap") >= F.col("need")).select(
-        "doc_id", "label", (F.col("overlap") / F.size("own")).alias("score")
+    words_known = sorted({w for _, text in templates for w in text.split()})
+    pairs_known = sorted({p for _, _, ps in rows for p in ps})
+    fewest_words = _fewest_words(templates, containment)
+    fewest = min(need_of(len(ps), containment) for _, _, ps in rows)
+    pieces = docs.select("doc_id", F.explode(F.split("text", BLOCK_END)).alias("block"))
+    spelt = pieces.where(F.length("block") >= 2 * fewest_words - 1).select(
+        "doc_id", F.split(F.trim(folded(F.col("block"))), " ").alias("words")
     )
+    likely = spelt.where(F.size(F.array_intersect("words", F.lit(words_known))) >= fewest_words)
+    behind = F.slice("words", F.lit(2), F.size("words"))
+    # The last word has none behind it; its pair is null, and known to no template.
+    pairs = F.zip_with("words", behind, lambda a, b: F.concat(a, F.lit(" "), b))
+    held = likely.select("doc_id", F.array_intersect(pairs, F.lit(pairs_known)).alias("pairs"))
+    return held.where(F.size("pairs") >= fewest)
 
 
 def template_matches(
@@ -162,35 +161,33 @@ def template_matches(
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
     rows = _template_rows(templates)
-    vocabulary = sorted({w for _, _, ws in rows for w in ws})
-    fewest = min(need_of(len(ws), containment) for _, _, ws in rows)
-    held = stored(blocks(docs, vocabulary, fewest), "license-blocks")
+    vocabulary = sorted({p for _, _, ps in rows for p in ps})
+    held = stored(blocks(docs, templates, containment), "license-blocks")
     ranks = _frequency_order(spark, held, vocabulary)
-    found = _joined(spark, held, rows, ranks, containment).unionByName(
-        wrapped_matches(docs, templates, containment)
-    )
+    found = _winners(_joined(spark, held, rows, ranks, containment))
     return found.groupBy("doc_id", "label").agg(F.max("score").alias("score"))
 
 
 def _frequency_order(spark: SparkSession, held: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Rank of every template word by the blocks it is in; the templates bound their number."""
-    counted = held.select(F.explode("words").alias("word")).groupBy("word").count()
-    found = {r["word"]: r["count"] for r in counted.collect()}
-    ordered = sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
-    return {w: n for n, w in enumerate(ordered)}
+    """Rank of every template pair by the blocks it is in; the templates bound their number."""
+    counted = held.select(F.explode("pairs").alias("pair")).groupBy("pair").count()
+    found = {r["pair"]: r["count"] for r in counted.collect()}
+    ordered = sorted(vocabulary, key=lambda p: (found.get(p, 0), p))
+    return {p: n for n, p in enumerate(ordered)}
 
 
 def _joined(
     spark: SparkSession, held: DataFrame, rows: list, ranks: dict[str, int], containment: float
 ) -> DataFrame:
+    """(doc_id, ranks, label, size, shared, score): blocks, by what they hold, with their templates."""
     prefixes = []
-    for n, label, words in rows:
-        order = sorted(ranks[w] for w in words)
+    for n, label, pairs in rows:
+        order = sorted(ranks[p] for p in pairs)
         need = need_of(len(order), containment)
         prefixes += [
             (order[at], at, n, label, order, need) for at in range(len(order) - need + 1)
         ]
-    # One row per prefix word of a template: as bounded as the templates are.
+    # One row per prefix pair of a template: as bounded as the templates are.
     keys = F.broadcast(
         spark.createDataFrame(
             prefixes, "rank int, at int, template int, label string, ordered array<int>, need int"
@@ -199,25 +196,49 @@ def _joined(
     number = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
     numbered = held.select(
         "doc_id",
-        F.array_sort(F.transform("words", lambda w: F.element_at(number, w))).alias("ranks"),
+        F.array_sort(F.transform("pairs", lambda p: F.element_at(number, p))).alias("ranks"),
     )
-    pairs = numbered.select("doc_id", "ranks", F.posexplode("ranks").alias("pos", "rank")).join(
+    met = numbered.select("doc_id", "ranks", F.posexplode("ranks").alias("pos", "rank")).join(
         keys, "rank"
     )
-    # Length filter, then position: what both sides still have behind this word. A pair that
-    # meets on several prefix words is counted at the first.
-    possible = 1 + F.least(F.size("ordered") - F.col("at"), F.size("ranks") - F.col("pos")) - 1
+    # Length filter, then position: what both sides still have behind this pair. A block and a
+    # template that meet on several prefix pairs are counted at the first.
+    possible = F.least(F.size("ordered") - F.col("at"), F.size("ranks") - F.col("pos"))
     earlier = F.arrays_overlap(F.slice("ranks", F.lit(1), F.col("pos")),
                                F.slice("ordered", F.lit(1), F.col("at")))
-    open_pairs = pairs.where(
+    open_pairs = met.where(
         (F.size("ranks") >= F.col("need")) & (possible >= F.col("need")) & ~earlier
     )
-    overlap = F.size(F.array_intersect("ranks", "ordered"))
-    return open_pairs.where(overlap >= F.col("need")).select(
-        "doc_id", "label", (overlap / F.size("ordered")).alias("score")
+    shared = F.array_intersect("ranks", "ordered")
+    size = F.size("ordered")
+    return open_pairs.where(F.size(shared) >= F.col("need")).select(
+        "doc_id", "ranks", "label", size.alias("size"), shared.alias("shared"),
+        (F.size(shared) / size).alias("score"),
     )
 
 
+def _winners(matches: DataFrame) -> DataFrame:
+    """(doc_id, label, score) of matches no other one in the block beats on shared pairs.
+
+    Blocks of a document that hold the same pairs have the same matches, so they are one group;
+    a group has a match per template at most, copies aside, which the set removes.
+    """
+    match = F.struct("score", "size", "label", "shared")
+    per_block = matches.groupBy("doc_id", "ranks").agg(F.collect_set(match).alias("all"))
+
+    def beaten(m: Column) -> Column:
+        return F.exists(
+            "all",
+            lambda o: (
+                ((o["score"] > m["score"]) | ((o["score"] == m["score"]) & (o["size"] > m["size"])))
+                & F.arrays_overlap(o["shared"], m["shared"])
+            ),
+        )
+
+    kept = per_block.select("doc_id", F.explode(F.filter("all", lambda m: ~beaten(m))).alias("m"))
+    return kept.select("doc_id", "m.label", "m.score")
+
+
 def scan(
     docs: DataFrame,
     templates: list[tuple[str, str]] | None = None,
@@ -229,8 +250,7 @@ def scan(
     ``first_word`` and ``last_word`` are the smallest and largest start among them (words
     from 0, null if none). ``base_labels`` are the phrases' labels, ``labels`` also those of
     templates, distinct, sorted and comma-joined. ``score`` is 1 if a base phrase is there,
-    else the highest containment of a template in a block, or in a stretch over line ends, that reaches
-    the threshold, else 0.
+    else the highest containment of a template in a block that reaches the threshold, else 0.
 
     Null and empty texts have no words and no labels. Repeated rows are each reported; rows
     that share a ``doc_id`` with different texts share what the templates add. A null

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coldwatch.llm.licenses import PHRASES, TEMPLATES, need_of
+from coldwatch.llm.licenses import PHRASES, TEMPLATES, need_of, pairs_of
 
 NEAREST = """
 WITH usable AS (
@@ -162,7 +162,7 @@ def _places(words: str) -> str:
 
 def licenses() -> str:
     templates = ", ".join(
-        f"('{label}', {sorted(set(text.split()))}, {need_of(len(set(text.split())))})"
+        f"('{label}', {pairs_of(text)}, {need_of(len(pairs_of(text)))})"
         for label, text in TEMPLATES
     )
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -174,20 +174,26 @@ def licenses() -> str:
     return rf"""
 WITH texts AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
-), templates(label, words, need) AS (VALUES {templates}), spelt AS (
+), templates(label, pairs, need) AS (VALUES {templates}), spelt AS (
   SELECT doc_id, {words.format('text')} AS w FROM texts
 ), placed AS (
   SELECT doc_id, len(w) AS n_words, {_places('w')} AS places FROM spelt
 ), blocks AS (
-  SELECT doc_id, {words.format('block')} AS w FROM (
-    SELECT doc_id, unnest(string_split_regex(text, '[
-
-]+|[.;!?][ 	
-
-]')) AS block FROM texts)
+  SELECT doc_id, row_number() OVER () AS block, {words.format('block')} AS w FROM (
+    SELECT doc_id, unnest(string_split_regex(
+      replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)),
+      '\n[ \t]*\n|[.!?][ \t\n\x0B\f]')) AS block FROM texts)
+), paired AS (
+  SELECT doc_id, block, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs
+  FROM blocks
+), held AS (
+  SELECT b.doc_id, b.block, t.label, len(t.pairs) AS size, list_intersect(b.pairs, t.pairs) AS shared,
+    len(list_intersect(b.pairs, t.pairs)) / len(t.pairs) AS score
+  FROM paired b JOIN templates t ON len(list_intersect(b.pairs, t.pairs)) >= t.need
 ), matched AS (
-  SELECT b.doc_id, t.label, len(list_intersect(b.w, t.words)) / len(t.words) AS score
-  FROM blocks b JOIN templates t ON len(list_intersect(b.w, t.words)) >= t.need
+  SELECT doc_id, label, score FROM held m WHERE NOT EXISTS (
+    SELECT 1 FROM held o WHERE o.block = m.block AND len(list_intersect(o.shared, m.shared)) > 0
+      AND (o.score > m.score OR (o.score = m.score AND o.size > m.size)))
 ), added AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS reached FROM matched GROUP BY doc_id
 ), base AS (

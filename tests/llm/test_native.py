@@ -8,6 +8,7 @@ import random
 import re
 import sys
 
+import duckdb
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -48,13 +49,19 @@ def brute_scan(text: str | None) -> tuple:
         if words[i : i + len(phrase.split())] == phrase.split()
     ]
     best: dict = {}
-    for block in re.split(r"[\n\r]+|[.;!?](?=[ \t\n\x0B\f\r])", text or ""):
-        held = {w for w in GAP.split(lower(block)) if w}
+    end = r"(?:\r\n|\n|\r(?!\n))"
+    for block in re.split(rf"{end}[ \t]*{end}|[.!?](?=[ \t\n\x0B\f\r])", text or ""):
+        spelt = [w for w in GAP.split(lower(block)) if w]
+        pairs = set(zip(spelt, spelt[1:]))
+        found = []
         for label, template in licenses.TEMPLATES:
-            own = set(template.split())
-            share = len(held & own) / len(own)
+            own = set(zip(template.split(), template.split()[1:]))
+            share = len(pairs & own) / len(own)
             if share >= 0.8 - 1e-12:
-                best[label] = max(best.get(label, 0), share)
+                found.append(((share, len(own)), label, pairs & own))
+        for rank, label, shared in found:
+            if not any(more > rank and shared & theirs for more, _, theirs in found):
+                best[label] = max(best.get(label, 0), rank[0])
     base = {label for _, label in places}
     starts = [i for i, _ in places]
     return (
@@ -76,8 +83,11 @@ def license_texts() -> list:
     for _, template in licenses.TEMPLATES:
         words = template.split()
         for drop in (0, 1, 2, 3):
-            some = [w for w in words if w not in rng.sample(words, min(drop, len(words)))]
-            rng.shuffle(some)
+            out = rng.sample(range(len(words)), min(drop, len(words)))
+            some = [w for i, w in enumerate(words) if i not in out]
+            texts.append(f"{' '.join(some)}\n{' '.join(reversed(some))}")
+            if drop == 3:
+                rng.shuffle(some)
             texts.append(f"Before. {' '.join(some).title()} {rng.choice(pool)}. After")
     texts += [" ".join(rng.choices(pool + [".", "\n", ";"], k=120)) for _ in range(40)]
     return texts
@@ -122,6 +132,52 @@ def test_notices_wrapped_over_lines(spark):
         assert (got[i].score >= 0.8) == bool(label)
 
 
+def test_other_licenses_are_not_named(spark):
+    gnu = "under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    cases = [
+        ("This program is free software; you can redistribute it and/or modify it " + gnu.format(""), "gpl"),
+        ("You may copy it " + gnu.format("Lesser "), "gpl,lgpl"),  # holds the base phrase too
+        ("You may copy it " + gnu.format("Affero "), "agpl,gpl"),
+        ("Released under the terms of the GNU General Public License", "gpl"),
+        ("Released under the BSD license.", ""),
+        ("Released under the Apache License", "apache"),
+        ("Licensed under the Mozilla Public License, version 2.0", ""),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+         "cc-by-nc-sa"),
+        ("The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may"
+         " not use this file except in compliance with the License", "mpl"),
+        ("The public works department said the terms of use under general rules and the gnu herd of the lesser bridge"
+         " are no license of the city", ""),
+    ]
+    texts = [form(text) for text, _ in cases for form in (str, lambda t: " * " + t.replace(" ", "\n * "), lambda t: f"Yes. {t}")]
+    found = licenses.scan(spark.createDataFrame([(1, i, t, "x") for i, t in enumerate(texts)], DOCS)).collect()
+    got = {r.doc_id: r for r in found}
+    for i, text in enumerate(texts):
+        assert got[i].labels == cases[i // 3][1], text
+        assert tuple(got[i])[1:] == pytest.approx(brute_scan(text)), text
+    with pytest.raises(ValueError, match="two words"):
+        licenses.template_matches(spark.createDataFrame([], DOCS), [("x", "word")])
+
+
+def test_license_sql_on_every_template(spark, tmp_path):
+    """The given tables hold few notices, so the SQL is held against hand-made ones here."""
+    texts = license_texts()
+    texts += ["\n".join(t.split()) for _, t in licenses.TEMPLATES] + [t.replace(" ", "\r\n") for _, t in licenses.TEMPLATES]
+    texts += [t.replace(" ", "\n\n", 3) for _, t in licenses.TEMPLATES]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = db.execute(queries.oracle_sql()["op5_licenses"]).fetchall()
+    found = queries.queries()["op5_licenses"](spark, str(tmp_path)).collect()
+    assert len(found) == len(want) == len(texts)
+    by_id = {r[0]: r[1:] for r in want}
+    for row in found:
+        assert tuple(row)[1:] == pytest.approx(by_id[row.doc_id]), texts[row.doc_id]
+
+
 def test_license_scan_edge_cases(spark):
     assert licenses.scan(spark.createDataFrame([], DOCS)).collect() == []
     rows = [(1, 4, "MIT License", "x")] * 3 + [(1, None, "MIT License", "x")]
