@@ -4,7 +4,8 @@ Each task packs the documents of its input partition as they arrive. It keeps a
 number of open sequences. Which free spaces they have stands in a bitset, so the
 tightest space that holds a piece is the lowest set bit from the piece's length up. If
 none holds it and the number is reached, the fullest open sequence is closed.
-Nothing is shuffled, and no decision waits for the rest of the table.
+Nothing is shuffled. Small input partitions are put together first, by the bytes of all texts, so
+that a task fills many sequences and those left open at its end weigh little.
 
 Pieces of one Arrow batch go longest first, which leaves the short ones to fill gaps.
 """
@@ -25,6 +26,7 @@ from coldwatch.llm.wordpieces import default_path, documents_ids
 CAPACITY = 4096
 OPEN_SEQUENCES = 1024
 DOCUMENTS_AT_ONCE = 1024
+TASK_BYTES = 8 << 20  # of text: some 500 sequences of 4096 tokens a task
 PIECES = (
     "doc_id long, piece int, start long, length long, ids array<int>,"
     " sequence_id long, offset long"
@@ -96,15 +98,24 @@ def _packed(tokenizer: str, end_id: int, capacity: int, open_sequences: int):
     return rows
 
 
+def _few_partitions(texts: DataFrame, task_bytes: int) -> DataFrame:
+    """No more partitions than of ``task_bytes`` of text on average; merged in place, not shuffled."""
+    octets = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return texts.coalesce(max(1, -(-octets // task_bytes)))
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str | None = None,
     end_id: int = 1,
     capacity: int = CAPACITY,
     open_sequences: int = OPEN_SEQUENCES,
+    task_bytes: int = TASK_BYTES,
 ) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with their ids, sequence and place in it.
 
+    The texts are read twice, the first time for their bytes only; so pass a table.
+
     A document is its ids and the end id; only longer ones than ``capacity`` are cut.
     Null texts count as empty: such a document is the end id alone. Repeated rows and
     null ``doc_id`` are packed like any other; other columns are ignored. An empty
@@ -113,4 +124,4 @@ def pack(
     ready(docs.sparkSession)
     texts = with_text(docs, F.col("doc_id").cast("long").alias("doc_id"))
     rows = _packed(tokenizer or default_path(), end_id, capacity, open_sequences)
-    return texts.mapInArrow(rows, PIECES)
+    return _few_partitions(texts, task_bytes).mapInArrow(rows, PIECES)

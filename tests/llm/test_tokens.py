@@ -189,3 +189,11 @@ def test_ids_equal_the_tokenizer_for_every_character():
         whole = words.tokenizer.encode_batch(part, add_special_tokens=False)
         got = [np.frombuffer(b, np.uint32).tolist() for b in words.encode(part)]
         assert got == [w.ids for w in whole]
+
+
+@pytest.mark.parametrize("partitions", [1, 64, 512])
+def test_small_partitions_fill_sequences_too(spark, partitions):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(partitions)
+    packed = packing.pack(docs).select("sequence_id", "length").collect()
+    least = -(-sum(r.length for r in packed) // packing.CAPACITY)
+    assert len({r.sequence_id for r in packed}) <= 1.03 * least
