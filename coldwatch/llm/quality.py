@@ -10,6 +10,7 @@ numpy on a bounded sample.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -24,6 +25,8 @@ from coldwatch.llm.sampling import bounded_sample
 
 PASSAGE_WORDS = 64
 PASSAGES_AT_ONCE = 2048
+CHARACTERS_AT_ONCE = 1 << 20
+SPACE = re.compile(r"\s")
 MARKS = ".,!?|%&$#*:;-_/'\"@"  # each a kind of its own
 KINDS = 7 + len(MARKS)
 WORD_FEATURES = 5
@@ -61,15 +64,27 @@ def _kinds() -> np.ndarray:
     return table
 
 
+def _pair_counts(joined: str, sizes: np.ndarray) -> np.ndarray:
+    """Per passage how often kinds of characters follow each other, some characters at a time."""
+    counts = np.zeros(len(sizes) * KINDS * KINDS, dtype=np.int64)
+    ends = np.cumsum(sizes)
+    for at in range(0, len(joined) - 1, CHARACTERS_AT_ONCE):
+        piece = joined[at : at + CHARACTERS_AT_ONCE + 1]
+        kind = _kinds()[np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)].astype(np.int64)
+        first = int(np.searchsorted(ends, at, side="right"))
+        stop = int(np.searchsorted(ends, at + len(piece) - 2, side="right")) + 1
+        of = np.repeat(np.arange(stop - first), np.diff(np.clip(ends[first:stop], at, at + len(piece) - 1), prepend=at))
+        pair = kind[:-1] * KINDS + kind[1:] + of * (KINDS * KINDS)
+        found = np.bincount(pair, minlength=(stop - first) * KINDS * KINDS)
+        counts[first * KINDS * KINDS : stop * KINDS * KINDS] += found
+    return counts
+
+
 def _block(passages: list[list[str]]) -> np.ndarray:
     """Encodings of some passages."""
     joined = [" ".join(p) for p in passages]
     sizes = np.array([len(j) + 1 for j in joined])
-    codes = np.frombuffer((" ".join(joined) + " ").encode("utf-32-le", "replace"), np.uint32)
-    kind = _kinds()[codes].astype(np.int64)
-    of = np.repeat(np.arange(len(passages)) * (KINDS * KINDS), sizes)
-    pair = kind[:-1] * KINDS + kind[1:] + of[:-1]
-    pairs = np.bincount(pair, minlength=len(passages) * KINDS * KINDS)
+    pairs = _pair_counts(" ".join(joined) + " ", sizes)
     pairs = pairs.reshape(len(passages), KINDS, KINDS) / sizes[:, None, None]
     words = np.empty((len(passages), WORD_FEATURES))
     for i, p in enumerate(passages):
@@ -84,16 +99,33 @@ def _block(passages: list[list[str]]) -> np.ndarray:
     ).astype(np.float32)
 
 
+def _words(text: str) -> Iterator[list[str]]:
+    """The words of a whole text, some at a time."""
+    at = 0
+    while at < len(text):
+        space = SPACE.search(text, at + CHARACTERS_AT_ONCE)
+        end = space.start() if space else len(text)
+        yield text[at:end].split()
+        at = end
+
+
+def encodings(text: str) -> Iterator[np.ndarray]:
+    """A row per passage of a whole text, in blocks; one row of zeros if it has no words."""
+    most, words, any_words = PASSAGE_WORDS * PASSAGES_AT_ONCE, [], False
+    for more in _words(text):
+        words += more
+        while len(words) > most:
+            yield _block([words[a : a + PASSAGE_WORDS] for a in range(0, most, PASSAGE_WORDS)])
+            words, any_words = words[most:], True
+    if words:
+        yield _block([words[a : a + PASSAGE_WORDS] for a in range(0, len(words), PASSAGE_WORDS)])
+    elif not any_words:
+        yield np.zeros((1, FEATURES), dtype=np.float32)
+
+
 def encode(text: str) -> np.ndarray:
-    """A row per passage of a whole text; one row of zeros if it has no words."""
-    words = text.split()
-    if not words:
-        return np.zeros((1, FEATURES), dtype=np.float32)
-    passages = [words[a : a + PASSAGE_WORDS] for a in range(0, len(words), PASSAGE_WORDS)]
-    return np.concatenate(
-        [_block(passages[a : a + PASSAGES_AT_ONCE])
-         for a in range(0, len(passages), PASSAGES_AT_ONCE)]
-    )
+    """All of ``encodings`` at once."""
+    return np.concatenate(list(encodings(text)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -120,9 +152,25 @@ class QualityModel:
         return {"h": h, "t": t, "s": s, "weight": weight, "z": z, "score": score, "sizes": sizes}
 
     def score(self, text: str) -> tuple[float, int]:
-        """Score, and the passage that weighs most."""
-        out = self.forward(encode(text), np.array([0]))
-        return float(out["score"][0]), int(out["weight"].argmax())
+        """Score, and the passage that weighs most.
+
+        The weighted average is kept up to date block by block, relative to the largest weight
+        so far, so memory does not grow with the number of passages.
+        """
+        w = self.weights
+        most, total, sums, best, before = -np.inf, 0.0, np.zeros(FEATURES), 0, 0
+        for block in encodings(text):
+            h = (block - self.mean) / self.spread
+            raw = (np.tanh(h @ w["V"]) * _sigmoid(h @ w["U"])) @ w["a"]
+            at = int(raw.argmax())
+            if raw[at] > most:
+                shrunk = np.exp(most - raw[at])
+                most, best = raw[at], before + at
+                total, sums = total * shrunk, sums * shrunk
+            e = np.exp(raw - most)
+            total, sums = total + e.sum(), sums + e @ h
+            before += len(block)
+        return float(_sigmoid(sums / total @ w["c"] + w["b"])[0]), best
 
 
 def _gradients(model: QualityModel, out: dict, starts: np.ndarray, y: np.ndarray) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -126,3 +128,28 @@ def test_gradients_of_the_attention():
         assert abs((up - down) / 2e-5 - found[name][at]) < 1e-5
     weight = out["weight"]
     assert np.allclose(np.add.reduceat(weight, starts), 1)
+
+
+@pytest.mark.parametrize("text", [
+    " ", "a b", "ab " * 400_000, "x" * 2_500_000, "y" * (1 << 20) + " z", "\u3000".join(["\u5b57"] * 200_000),
+])
+def test_scoring_by_blocks_equals_scoring_at_once(text):
+    rng = np.random.default_rng(5)
+    bags = [quality.encode(" ".join(rng.choice(["ab", "Cd!", "7"], 90))) for _ in range(20)]
+    model = quality.train(bags, [i % 2 for i in range(20)])
+    at_once = model.forward(quality.encode(text), np.array([0]))
+    assert model.score(text)[0] == pytest.approx(float(at_once["score"][0]), abs=1e-12)
+    words = text.split()
+    assert len(quality.encode(text)) == max(1, -(-len(words) // quality.PASSAGE_WORDS))
+
+
+def test_memory_of_a_long_text_is_bounded():
+    model = quality.train([], [])
+    peaks = []
+    for words in (500_000, 2_000_000):
+        text = "some words " * (words // 2)
+        tracemalloc.start()
+        model.score(text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
