@@ -105,20 +105,27 @@ WITH RECURSIVE said AS (
     'c' || conv_id || '-' || (turn - 1) AS asked_id,
     CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS after,
     len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')) AS words
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
-), calls AS (
+  FROM conversations
+), asked AS (
   SELECT own_id AS call_id, conv_id, turn, after,
     CASE WHEN turn = 0 THEN 'ask' ELSE 'follow_up' END AS name,
     '{' || coalesce('"after":' || to_json(after) || ',', '')
       || coalesce('"text":' || to_json(text) || ',', '') || '"words":' || words || '}' AS arguments,
-    text IS NULL AS no_text, count(*) OVER (PARTITION BY own_id) AS copies
-  FROM said WHERE role = 'user'
-  QUALIFY row_number() OVER (PARTITION BY own_id ORDER BY arguments) = 1
+    text IS NULL AS no_text, count(*) AS same
+  FROM said WHERE role = 'user' GROUP BY ALL
+), told AS (
+  SELECT asked_id AS call_id, conv_id, turn, text AS content, count(*) AS same
+  FROM said WHERE role = 'assistant' GROUP BY ALL
+), ranked_calls AS (
+  SELECT *, sum(same) OVER (PARTITION BY call_id) AS copies,
+    row_number() OVER (PARTITION BY call_id ORDER BY arguments) AS nr FROM asked
+), ranked_results AS (
+  SELECT *, sum(same) OVER (PARTITION BY call_id) AS copies,
+    row_number() OVER (PARTITION BY call_id ORDER BY turn, content NULLS FIRST) AS nr FROM told
+), calls AS (
+  SELECT * FROM ranked_calls WHERE call_id IS NOT NULL AND nr = 1
 ), results AS (
-  SELECT asked_id AS call_id, conv_id, turn, text AS content,
-    count(*) OVER (PARTITION BY asked_id) AS copies
-  FROM said WHERE role = 'assistant'
-  QUALIFY row_number() OVER (PARTITION BY asked_id ORDER BY turn, text NULLS FIRST) = 1
+  SELECT * FROM ranked_results WHERE call_id IS NOT NULL AND nr = 1
 ), levels AS (
   SELECT call_id, 0 AS level FROM calls
   WHERE after IS NULL OR after NOT IN (SELECT call_id FROM calls)
@@ -135,10 +142,18 @@ WITH RECURSIVE said AS (
     coalesce(c.copies, 0) + coalesce(r.copies, 0) AS copies
   FROM calls c FULL JOIN results r ON c.call_id = r.call_id
   LEFT JOIN levels l ON l.call_id = c.call_id
+  UNION ALL
+  SELECT call_id, conv_id, turn, name, NULL, arguments, after, NULL, true, false,
+    CASE WHEN call_id IS NULL THEN 'no identifier' ELSE 'repeated identifier' END, same
+  FROM ranked_calls WHERE call_id IS NULL OR nr > 1
+  UNION ALL
+  SELECT call_id, conv_id, turn, NULL, NULL, NULL, NULL, content, false, true,
+    CASE WHEN call_id IS NULL THEN 'no identifier' ELSE 'repeated identifier' END, same
+  FROM ranked_results WHERE call_id IS NULL OR nr > 1
 )
 SELECT call_id, conv_id, turn, name, level, called AND answered AS linked,
-  called AND problems IS NULL AS valid, problems, copies,
-  '{"arguments":' || coalesce(arguments, 'null') || ',"call_id":' || to_json(call_id)
+  called AND problems IS NULL AS valid, problems, CAST(copies AS BIGINT) AS copies,
+  '{"arguments":' || coalesce(arguments, 'null') || ',"call_id":' || coalesce(to_json(call_id), 'null')
     || ',"level":' || coalesce(CAST(level AS VARCHAR), 'null')
     || ',"name":' || coalesce(to_json(name), 'null')
     || ',"result":' || coalesce(to_json(content), 'null')

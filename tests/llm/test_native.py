@@ -200,8 +200,10 @@ def linked(spark, calls: list, results: list) -> dict:
         spark.createDataFrame([("x", *r) for r in results], RESULTS),
         spark.createDataFrame(WANTED, SCHEMA),
     ).collect()
-    assert len({r.call_id for r in rows}) == len(rows)
-    return {r.call_id: r for r in rows}
+    own = [r for r in rows if r.problems not in ("no identifier", "repeated identifier")]
+    assert len({r.call_id for r in own}) == len(own)
+    over = sorted((r for r in rows if r not in own), key=str)
+    return {r.call_id: r for r in own} | ({"over": over} if over else {})
 
 
 def test_order_cycles_and_orphans(spark):
@@ -214,6 +216,11 @@ def test_order_cycles_and_orphans(spark):
     ]
     results = [("a", 1, 9, "one"), ("a", 1, 8, "two"), ("z", 4, 1, None), (None, 1, 1, "lost")]
     got = linked(spark, calls, results)
+    over = got.pop("over")
+    assert sorted((r.call_id or "", r.name or "", r.problems, r.copies, json.loads(r.json)["result"] or "") for r in over) == [
+        ("", "", "no identifier", 1, "lost"), ("", "f", "no identifier", 1, ""), ("a", "", "repeated identifier", 1, "one"),
+    ]
+    assert not any(r.linked or r.valid or r.level is not None for r in over)
     assert {k: r.level for k, r in got.items()} == {
         "a": 0, "b": 1, "c": 2, "d": 3, "p": None, "q": None, "r": None, "self": None, "n": 0, "z": None,
     }
@@ -275,5 +282,73 @@ def test_arguments_and_canonical_json(spark):
         assert value["arguments"] == want
 
 
+def test_identifiers_count_within_their_conversation(spark):
+    sound, other = '{"s":"x"}', '{"s":"y"}'
+    calls = [("c1", conv, 0, "f", sound, []) for conv in (1, 2, 3)] + [("c2", conv, 1, "f", sound, ["c1"]) for conv in (2, 4)]
+    calls += [("c1", 3, 0, "f", other, [])] * 5 + [("c1", 3, 0, "f", sound, [])] + [("c1", None, 0, "f", sound, [])] * 2
+    results = [("c1", 1, 1, "one"), ("c1", 2, 1, "two"), ("c1", 5, 1, "five"), ("c1", 3, 1, None), ("c1", 3, 1, ""), ("c1", 3, 1, "")]
+    rows = tools.link(
+        spark.createDataFrame([(9, *c) for c in calls], CALLS),
+        spark.createDataFrame([("x", *r) for r in results], RESULTS),
+        spark.createDataFrame(WANTED, SCHEMA),
+    ).collect()
+    got = sorted(
+        (r.conv_id or 0, r.call_id, r.name or "", -1 if r.level is None else r.level, r.linked, r.valid, r.problems or "", r.copies,
+         str(json.loads(r.json)["result"])) for r in rows
+    )
+    assert got == sorted([
+        (0, "c1", "f", -1, False, False, "no identifier", 2, "None"),
+        (1, "c1", "f", 0, True, True, "", 2, "one"), (2, "c1", "f", 0, True, True, "", 2, "two"),
+        (2, "c2", "f", 1, False, True, "", 1, "None"), (3, "c1", "f", 0, True, True, "", 10, "None"),
+        (3, "c1", "f", -1, False, False, "repeated identifier", 5, "None"),
+        (3, "c1", "", -1, False, False, "repeated identifier", 2, ""),
+        (4, "c2", "f", 0, False, True, "", 1, "None"), (5, "c1", "", -1, False, False, "", 1, "five"),
+    ])
+
+
+def test_equal_numbers_are_spelt_alike(spark):
+    same = [
+        ["1", "1.0", "1e0", "1E+0", "10e-1", "0.1e1", "1." + "0" * 60], ["100", "1e2", "1E2", "100.00", "0.01e4"],
+        ["0", "-0", "0.0", "-0.0", "0e5", "-0E-7", "0e99999999999"], ["100000000000000000000000", "1e23", "10.0E22"],
+        ["0.0000001", "1e-7", "10e-8"], ["-1.5", "-1.50", "-15e-1"], ["1234567890123456789012345678.5", "12345678901234567890123456785e-1"],
+        ["1e39", "1" + "0" * 39, "10E38"], ["1e-300", "0.1e-299"], ["12345678901234567890", "1234567890123456789e1"],
+    ]
+    calls = [(f"{i}-{j}", 1, 0, "f", f'{{"s":"1.0 1e0 \\"2.50", "n":{t}}}', []) for i, group in enumerate(same) for j, t in enumerate(group)]
+    bad = ["01.0", "1.", ".5", "1e", "--1", "1.0.0", "+1.0", "1.0e1.0", "1.0 2.0", "1e5e5"]
+    calls += [(f"bad-{t}", 1, 0, "f", f'{{"s":"", "n":{t}}}', []) for t in bad]
+    calls += [("long", 1, 0, "f", '{"n":1.0,"s":"' + '1.0\\"' * 300_000 + '"}', [])]
+    calls += [(f"int-{t}", 1, 0, "f", f'{{"s":"","i":{t}}}', []) for t in ("1.0", "2e3", "12345678901234567890", "1.5")]
+    got = linked(spark, calls, [])
+    for i, group in enumerate(same):
+        texts = {got[f"{i}-{j}"].json.split('"call_id"')[0] for j in range(len(group))}
+        assert len(texts) == 1, (group, texts)
+        value = json.loads(got[f"{i}-0"].json)["arguments"]
+        assert value["s"] == '1.0 1e0 "2.50' and value["n"] == pytest.approx(float(group[0]))
+    for t in bad:
+        assert got[f"bad-{t}"].problems == "arguments are no object", t
+        assert json.loads(got[f"bad-{t}"].json)["arguments"] == f'{{"s":"", "n":{t}}}'
+    assert json.loads(got["long"].json)["arguments"] == {"n": 1, "s": '1.0"' * 300_000}
+    assert {k: r.problems for k, r in got.items() if k.startswith("int")} == {
+        "int-1.0": None, "int-2e3": None, "int-12345678901234567890": None, "int-1.5": "wrong type of i",
+    }
+
+
+def test_tool_call_sql_on_repeats_and_nulls(spark, tmp_path):
+    said = [
+        (1, 0, "user", "a"), (1, 0, "user", "b"), (1, 0, "user", "b"), (1, 1, "assistant", "x"), (1, 1, "assistant", None),
+        (1, 1, "assistant", None), (1, 2, "user", "1.0 1e0"), (1, 2, "user", None), (1, 3, "assistant", ""), (None, 0, "user", "n"),
+        (None, 1, "assistant", "n"), (2, None, "user", "n"), (2, None, "user", "n"), (2, None, "assistant", None), (3, 1, "user", "late"),
+        (3, 5, None, "x"), (3, 6, "assistant", "alone"), (4, 0, "system", "s"), (4, 1, "user", ""), (4, 2, "assistant", "y"),
+    ]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(
+        str(tmp_path / "conversations.parquet")
+    )
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        want = db.execute(queries.oracle_sql()["op7_tool_calls"]).fetchall()
+    found = queries.queries()["op7_tool_calls"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+
+
 def test_empty_tables(spark):
     assert linked(spark, [], []) == {}
