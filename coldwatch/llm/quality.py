@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from coldwatch.llm.common import crc_remainder, extended, portions, ready, texts_of
 from coldwatch.llm.sampling import bounded_sample
+from coldwatch.llm.wordpieces import release
 
 PASSAGE_WORDS = 64
 PASSAGES_AT_ONCE = 2048
@@ -231,6 +232,7 @@ def train(bags: list[np.ndarray], labels: list[int], seed: int = 3) -> QualityMo
 
 
 def _encoded(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in portions(source):
         bags = [encode(t).astype(np.float16).tobytes() for t in texts_of(batch)]
         yield pa.record_batch(
@@ -268,6 +270,7 @@ def _kind(labels: DataFrame) -> str:
 
 def _scored(model: QualityModel, names: list[str]):
     def rows(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in portions(source):
             score = [model.score(t)[0] for t in texts_of(batch)]
             predicted = [int(s >= THRESHOLD) for s in score]

@@ -35,6 +35,13 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Drops the ids kept, in a worker that goes on to tasks without tokens."""
+    for known in _encoders.values():
+        known.chunks.clear()
+        known.words.clear()
+
+
 def _byte_letters() -> str:
     """The printable stand-in of every byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
