@@ -9,7 +9,12 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator, Sequence
+from typing import TypeVar
+
+import numpy as np
+
+T = TypeVar("T")
 
 # A tag is matched as a whole if neither < nor > stands in its quotes, as is usual.
 OPENING = re.compile(
@@ -17,7 +22,9 @@ OPENING = re.compile(
 )
 DECLARATION = re.compile("<[!?]")
 ATTRIBUTE = re.compile("[>\"']")
-CELLS = 250_000  # of an alignment of children; longer lists are aligned by position
+CELLS = 1_000_000  # of an alignment of children that are held at once
+GAINS = 2_000_000  # scores of children with columns of an alignment that are kept
+WIDE = 64  # columns of an alignment from which on its rows are arrays
 NAMED = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 DIGITS = re.compile(r"\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -174,19 +181,66 @@ def read(page: str) -> Node:
     return root
 
 
+class Columns:
+    """The children that those of another node are aligned with, and what a match with each gains."""
+
+    def __init__(self, nodes: list[Node]):
+        places: dict[int, int] = {}
+        codes = [places.setdefault(n.shape, len(places)) for n in nodes]
+        first: dict[int, Node] = {}
+        for n in nodes:
+            first.setdefault(n.shape, n)
+        self.distinct = list(first.values())
+        self.wide = len(codes) >= WIDE
+        self.codes = np.array(codes) if self.wide else codes
+        self.top = np.zeros(len(codes) + 1, np.int64) if self.wide else [0] * (len(codes) + 1)
+        self.kept = {}  # gains by the shape of the other node, in the order of ``distinct``
+
+    def below(self, row, gains):
+        """The next row of an alignment: the best matchings with one node more.
+
+        ``row`` may end early; a short one is a list, a long one an array, their numbers the same.
+        """
+        if not self.wide:
+            best, found = 0, [0]
+            for before, above, code in zip(row, row[1:], self.codes):
+                both = before + gains[code]
+                if both > best:
+                    best = both
+                if above > best:
+                    best = above
+                found.append(best)
+            return found
+        found = np.zeros_like(row)
+        both = gains.take(self.codes[: len(row) - 1])
+        both += row[:-1]
+        np.maximum(both, row[1:], out=both)
+        np.maximum.accumulate(both, out=found[1:])
+        return found
+
+
 class Matcher:
-    """Simple tree matching; trees of one shape are numbered alike and matched once."""
+    """Simple tree matching; trees of one shape are numbered alike and matched once.
+
+    Alignments of children are exact at any length. They take time as the product of both lengths
+    (where both lists begin with the same shapes, as the sum), memory as their sum.
+    """
 
     KEPT = 200_000
 
     def __init__(self):
         self.shapes: dict[tuple, int] = {}
-        self.scores: dict[tuple[int, int], int] = {}
+        self.sizes: list[int] = []  # nodes of a tree, by shape
+        self.scores: dict[tuple[int, int], int] = {}  # may be cleared at any time
+
+    def clear(self) -> None:
+        """Forgets all shapes; trees have to be numbered again."""
+        self.shapes.clear()
+        self.sizes.clear()
+        self.scores.clear()
 
     def number(self, root: Node) -> None:
         """Gives every node of a tree the number of its shape, children first."""
-        if len(self.scores) > self.KEPT:
-            self.scores.clear()
         order, rest = [], [root]
         while rest:
             node = rest.pop()
@@ -195,49 +249,104 @@ class Matcher:
         for node in reversed(order):
             key = (node.label, *[n.shape for n in node.nodes])
             node.shape = self.shapes.setdefault(key, len(self.shapes))
+            if node.shape == len(self.sizes):
+                self.sizes.append(1 + sum(self.sizes[n.shape] for n in node.nodes))
 
-    def _table(self, a: Node, b: Node) -> list[list[int]]:
-        """Best matchings of the first children of both, whose scores are known."""
-        table = [[0] * (len(b.nodes) + 1)]
-        for x in a.nodes:
-            above, row = table[-1], [0]
-            for j, y in enumerate(b.nodes):
-                both = above[j] + self.scores[x.shape, y.shape] if x.label == y.label else 0
-                row.append(max(both, above[j + 1], row[j]))
-            table.append(row)
-        return table
-
-    def _needed(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
-        """The children that an alignment of two nodes compares."""
-        if len(a.nodes) * len(b.nodes) > CELLS:
-            return ((x, y) for x, y in zip(a.nodes, b.nodes) if x.label == y.label)
-        return ((x, y) for x in a.nodes for y in b.nodes if x.label == y.label)
+    def _gains(self, x: Node, columns: Columns) -> Generator[tuple[Node, Node], int, Sequence[int]]:
+        """The scores of a node and each distinct column; asks for those it cannot tell."""
+        gains = columns.kept.get(x.shape)
+        if gains is not None:
+            return gains
+        gains = []
+        for y in columns.distinct:
+            if x.label != y.label:
+                gain = 0
+            elif x.shape == y.shape:
+                gain = self.sizes[x.shape]
+            elif not x.nodes or not y.nodes:
+                gain = 1
+            else:
+                gain = self.scores.get((x.shape, y.shape))
+                if gain is None:
+                    gain = yield x, y
+            gains.append(gain)
+        if columns.wide:
+            gains = np.array(gains)
+        if (len(columns.kept) + 1) * len(gains) > GAINS:
+            columns.kept.clear()
+        columns.kept[x.shape] = gains
+        return gains
+
+    def _scoring(self, a: Node, b: Node) -> Generator[tuple[Node, Node], int, int]:
+        """The score of two nodes of one label; asks for scores of their children."""
+        xs, ys = a.nodes, b.nodes
+        begin, end = _alike(xs, ys), 0
+        while end < min(len(xs), len(ys)) - begin and xs[-1 - end].shape == ys[-1 - end].shape:
+            end += 1
+        # Children of one shape at the begin and the end are matched in some largest matching.
+        found = 1 + sum(self.sizes[x.shape] for x in (*xs[:begin], *xs[len(xs) - end :]))
+        xs, ys = xs[begin : len(xs) - end], ys[begin : len(ys) - end]
+        if xs and ys:
+            columns = Columns(ys)
+            row = columns.top
+            for x in xs:
+                row = columns.below(row, (yield from self._gains(x, columns)))
+            found += int(row[-1])
+        if len(self.scores) >= self.KEPT:
+            self.scores.clear()
+        self.scores[a.shape, b.shape] = found
+        return found
+
+    def _done(self, work: Generator[tuple[Node, Node], int, T]) -> T:
+        """The result of ``work``. Trees may be of any depth: what waits for scores stands on a stack."""
+        waiting, score = [work], None
+        while True:
+            try:
+                asked = waiting[-1].send(score)
+            except StopIteration as done:
+                waiting.pop()
+                if not waiting:
+                    return done.value
+                score = done.value
+            else:
+                waiting.append(self._scoring(*asked))
+                score = None
 
     def score(self, a: Node, b: Node) -> int:
-        """Size of the largest matching of two trees that keeps order and parents.
+        """Size of the largest matching of two trees that keeps order and parents."""
+        return self._done(self._gains(a, Columns([b])))[0]
+
+    def _matched(self, xs: list[Node], ys: list[Node]) -> Iterator[tuple[Node, Node]]:
+        """The matched ones of two lists of children, last first.
 
-        Trees may be of any depth: what waits for its children stands on a stack.
+        The table is traced back from its end. It is made in pieces of ``CELLS`` cells, from rows
+        kept half way, half of the rest and so on, so a long one is never held as a whole.
         """
-        if a.label != b.label:
-            return 0
-        waiting = [(a, b, False)]
-        while waiting:
-            x, y, ready = waiting.pop()
-            key = (x.shape, y.shape)
-            if key in self.scores:
+        columns = Columns(ys)
+        kept = [(0, columns.top)]
+        i, j = len(xs), len(ys)
+        while i and j:
+            at, row = kept[-1]
+            if at == i:
+                kept.pop()
                 continue
-            if not ready:
-                waiting.append((x, y, True))
-                new = {}
-                for p, q in self._needed(x, y):
-                    if (p.shape, q.shape) not in self.scores:
-                        new[p.shape, q.shape] = (p, q, False)
-                waiting.extend(new.values())
-            elif len(x.nodes) * len(y.nodes) > CELLS:
-                self.scores[key] = 1 + sum(self.scores[p.shape, q.shape] for p, q in self._needed(x, y))
-            else:
-                self.scores[key] = 1 + self._table(x, y)[-1][-1]
-        return self.scores[a.shape, b.shape]
+            table = [row[: j + 1]]
+            while i - at > 1 and (i - at) * j > CELLS:
+                middle = (at + i) // 2
+                for x in xs[at:middle]:
+                    table = [columns.below(table[0], self._done(self._gains(x, columns)))]
+                at = middle
+                kept.append((at, table[0]))
+            for x in xs[at:i]:
+                table.append(columns.below(table[-1], self._done(self._gains(x, columns))))
+            while i > at and j:
+                if table[i - at][j] == table[i - at - 1][j]:
+                    i -= 1
+                elif table[i - at][j] == table[i - at][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    yield xs[i], ys[j]
 
     def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
         """The matched nodes of two numbered trees."""
@@ -245,20 +354,13 @@ class Matcher:
         while rest:
             x, y = rest.pop()
             matched.append((x, y))
-            if not x.nodes or not y.nodes:
-                continue
-            same = [n.shape for n in x.nodes] == [n.shape for n in y.nodes]
-            if same or len(x.nodes) * len(y.nodes) > CELLS:
-                rest.extend(p for p in zip(x.nodes, y.nodes) if p[0].label == p[1].label)
-                continue
-            self.score(x, y)
-            table, i, j = self._table(x, y), len(x.nodes), len(y.nodes)
-            while i and j:
-                if table[i][j] == table[i - 1][j]:
-                    i -= 1
-                elif table[i][j] == table[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    rest.append((x.nodes[i], y.nodes[j]))
+            begin = _alike(x.nodes, y.nodes)  # the table would match these, too
+            rest.extend(zip(x.nodes[:begin], y.nodes[:begin]))
+            if begin < min(len(x.nodes), len(y.nodes)):
+                rest.extend(self._matched(x.nodes[begin:], y.nodes[begin:]))
         return matched
+
+
+def _alike(xs: list[Node], ys: list[Node]) -> int:
+    """How many nodes two lists begin with that have the same shapes."""
+    return next((i for i, (x, y) in enumerate(zip(xs, ys)) if x.shape != y.shape), min(len(xs), len(ys)))

@@ -233,8 +233,7 @@ def _reference(page: str) -> _Page:
 def observed(page: str, references: list[str]) -> dict[str, tuple[list[int], set[str]]]:
     """Per path of a page: aligned nodes, constant ones, characters, those in links; constant texts."""
     if len(_matcher.shapes) > SHAPES_KEPT:
-        _matcher.shapes.clear()
-        _matcher.scores.clear()
+        _matcher.clear()
         _references.clear()
     mine = _Page(page)
     found: dict[str, tuple[list[int], set[str]]] = {}

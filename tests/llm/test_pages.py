@@ -169,6 +169,39 @@ def test_tree_matching_against_plain_recursion():
         assert len({id(x) for x, _ in pairs}) == len(pairs) == len({id(y) for _, y in pairs})
 
 
+@pytest.mark.parametrize("count", [50, 250, 400, 3000])
+def test_lists_of_any_length_are_aligned(count):
+    rows = [f"<p>a {n}</p><h3>b {n}</h3>" for n in range(count)]
+    matcher = Matcher()
+    a, b = read("<div>" + "".join(rows)), read("<div><ul></ul>" + "".join(rows[:9] + ["<hr>"] + rows[9:]))
+    matcher.number(a), matcher.number(b)
+    pairs = matcher.pairs(a, b)
+    assert matcher.score(a, b) == len(pairs) == 2 + 2 * count
+    children = [(x.children, y.children) for x, y in pairs if x.tag in ("p", "h3")]
+    assert len(children) == 2 * count and all(x == y for x, y in children)
+
+
+@pytest.mark.parametrize("cells, wide", [(1, 64), (20, 1), (300, 4)])
+def test_tables_in_pieces_match_the_same_nodes(monkeypatch, cells, wide):
+    def matched(a: Node, b: Node) -> set:
+        matcher = Matcher()
+        matcher.number(a), matcher.number(b)
+        found = matcher.pairs(a, b)
+        assert len(found) == matcher.score(a, b)
+        return {(id(x), id(y)) for x, y in found}
+
+    rng = random.Random(9)
+    couples = []
+    for _ in range(60):
+        a, b = Node("r"), Node("r")
+        for root in (a, b):
+            root.nodes = [tree(rng, 2) for _ in range(rng.randint(1, 40))]
+        couples.append((a, b, matched(a, b)))
+    monkeypatch.setattr("coldwatch.llm.dom.CELLS", cells)
+    monkeypatch.setattr("coldwatch.llm.dom.WIDE", wide, raising=False)
+    assert all(matched(a, b) == found for a, b, found in couples)
+
+
 def test_reader_closes_what_is_open():
     root = read("<ul><li>a<li>b</ul><p>c<b>d<p>e</div><table><tr><td>f<td>g<tr><td>h</table><br/>i")
     labels = [n.label for n in root.nodes]
