@@ -6,6 +6,7 @@ the newest reading, never the clock, so results are repeatable.
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Callable
 
@@ -57,8 +58,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 MAX_AGE_SECONDS = 86_400
 DIGITS = 6
 
-# The consumer's messages come as so many files, in two micro-batches.
+# The consumer's messages come as so many files at least, in two micro-batches or more. A file and
+# a micro-batch hold no more of a larger table, so its tasks do not grow with it.
 CONSUMER_FILES = 8
+CONSUMER_FILE = 50_000  # messages at most
+CONSUMER_BATCH = 2_000_000  # about so many messages at most
 
 
 def _as_of(telemetry: DataFrame) -> Column:
@@ -362,9 +366,13 @@ def _consumed(spark: SparkSession, sf_dir: str) -> str:
     """The folder of a consumer that has read both topics, in several micro-batches."""
     folder = _job_folder(spark, "stream_consumer")
     messages = _both_topics(spark, sf_dir)
-    messages.repartition(CONSUMER_FILES).write.parquet(f"{folder}/messages")
+    events = spark.read.parquet(events_path(sf_dir)).count()  # of each come two messages at most
+    most = max(1, min(events // CONSUMER_FILES, CONSUMER_FILE))
+    messages.write.option("maxRecordsPerFile", most).parquet(f"{folder}/messages")
+    files = len(spark.read.schema(messages.schema).parquet(f"{folder}/messages").inputFiles())
+    batches = max(2, math.ceil(2 * events / CONSUMER_BATCH))
     reader = spark.readStream.schema(messages.schema).option(
-        "maxFilesPerTrigger", CONSUMER_FILES // 2
+        "maxFilesPerTrigger", max(1, math.ceil(files / batches))
     )
     consumer.start_consumer(reader.parquet(f"{folder}/messages"), folder).awaitTermination()
     return folder

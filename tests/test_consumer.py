@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from coldwatch.operators.fleet import latest_per_truck, wire_messages
 from coldwatch.operators.history import alert_history
+from coldwatch.plans import catalog as catalog_module
 from coldwatch.plans.catalog import _both_topics, _shown, catalog
 from coldwatch.schemas import PRIMARY_ALERT_FIELDS
 from coldwatch.sources.wire import alerts_from_wire, decode, decode_errors
@@ -69,6 +70,20 @@ def test_all_outputs_equal_batch_after_a_restart(spark, files, snapshot_every):
     assert same(flat(feed), flat(consumer._feed(decoded)))
 
 
+def test_files_and_batches_of_the_queries_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(catalog_module, "CONSUMER_FILE", 60, raising=False)
+    monkeypatch.setattr(catalog_module, "CONSUMER_BATCH", 400, raising=False)
+    folder = catalog_module._consumed(spark, SF)
+    messages = spark.read.parquet(f"{folder}/messages")
+    sizes = [r["count"] for r in messages.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 60
+    feed, letters = consumer.read_feed(spark, folder), consumer.read_dead_letters(spark, folder)
+    assert messages.count() == sum(sizes) == feed.count() + letters.count()
+    assert same(messages, _both_topics(spark, SF))
+    logged = spark.read.parquet(f"{folder}/{consumer.FEED}").groupBy("batch_id").count().collect()
+    assert len(logged) == 5 and max(r["count"] for r in logged) <= 400
+
+
 def test_a_retried_batch_counts_once(spark):
     folder = tempfile.mkdtemp(prefix="coldwatch-test-")
     rows = [
