@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldwatch.llm.common import lists, portions, ready, texts_of, with_text
+from coldwatch.llm.common import lists, portions, ready, with_text
 from coldwatch.llm.wordpieces import default_path, documents_ids
 
 CAPACITY = 4096
@@ -77,10 +77,9 @@ def _packed(tokenizer: str, end_id: int, capacity: int, open_sequences: int):
     def rows(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = BestFit(capacity, open_sequences, TaskContext.get().partitionId() << 32)
         for batch in portions(source, DOCUMENTS_AT_ONCE):
-            ids = documents_ids(tokenizer, texts_of(batch), end_id)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, sizes = documents_ids(tokenizer, batch.column("text"), end_id)
             pieces = -(-sizes // capacity)
-            doc = np.repeat(np.arange(len(ids)), pieces)
+            doc = np.repeat(np.arange(len(sizes)), pieces)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start = piece * capacity
             length = np.minimum(sizes[doc] - start, capacity)
@@ -90,7 +89,7 @@ def _packed(tokenizer: str, end_id: int, capacity: int, open_sequences: int):
             yield pa.record_batch(
                 [batch.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)),
                  pa.array(start), pa.array(length),
-                 lists(np.concatenate(ids).view(np.int32), length, pa.int32()),
+                 lists(ids.view(np.int32), length, pa.int32()),
                  pa.array(sequence), pa.array(offset)],
                 schema=schema,
             )

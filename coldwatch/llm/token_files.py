@@ -22,13 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coldwatch.llm.common import extended, lists, portions, ready, texts_of, with_text
+from coldwatch.llm.common import extended, lists, portions, ready, with_text
 from coldwatch.llm.wordpieces import default_path, documents_ids
 
 FILE_SCHEMA = "part int, doc_id long, start long, n_tokens long, tokens array<int>"
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
+DOCUMENTS_AT_ONCE = 1024
 
 WRITER = {
     "compression": "zstd",
@@ -52,15 +53,14 @@ def _token_rows(tokenizer: str, end_id: int):
 
     def rows(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
-        for batch in portions(source):
-            ids = documents_ids(tokenizer, texts_of(batch), end_id)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        for batch in portions(source, DOCUMENTS_AT_ONCE):
+            ids, sizes = documents_ids(tokenizer, batch.column("text"), end_id)
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
             yield pa.record_batch(
-                [pa.array(np.full(len(ids), part, np.int32)), batch.column("doc_id"),
+                [pa.array(np.full(len(sizes), part, np.int32)), batch.column("doc_id"),
                  pa.array(starts), pa.array(sizes),
-                 lists(np.concatenate(ids).view(np.int32), sizes, pa.int32())],
+                 lists(ids.view(np.int32), sizes, pa.int32())],
                 schema=schema,
             )
 

@@ -6,13 +6,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from coldwatch.llm import packing, token_files
 from coldwatch.llm.common import shared_folder, table
-from coldwatch.llm.wordpieces import default_path, encoder
+from coldwatch.llm.wordpieces import WordEncoder, default_path, documents_ids, encoder
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "start string, doc_id long, text string, tokens int, piece string"
@@ -55,6 +56,45 @@ def test_forgetting_words_changes_nothing(tokenizer, monkeypatch):
             tokenizer, "some more words than are kept here")[:-1]
 
 
+def encoded_words(monkeypatch) -> tuple[WordEncoder, list[str]]:
+    """A new encoder, and the words that it will give to the tokenizer's model."""
+    coder, met = WordEncoder(default_path()), []
+    letters = coder._letters
+    monkeypatch.setattr(coder, "_letters", lambda w: met.append(w) or letters(w))
+    return coder, met
+
+
+def test_a_word_is_encoded_once_in_any_case_and_before_punctuation(monkeypatch):
+    coder, met = encoded_words(monkeypatch)
+    coder.encode(["Winter winter, WINTER. Straße straße!", "Winter... Ёлка, ёлка."])
+    coder.encode(["wINTER; winter Straße?"])
+    assert sorted(met) == ["straße", "winter", "ёлка"]
+
+
+def test_words_met_again_outlast_others(monkeypatch):
+    monkeypatch.setattr("coldwatch.llm.wordpieces.WORDS_KEPT", 8)
+    monkeypatch.setattr("coldwatch.llm.wordpieces.CHUNKS_KEPT", 8)
+    coder, met = encoded_words(monkeypatch)
+    for c in "abcdefghij":
+        coder.encode([f"often rare{c} odd{c} seldom{c}"])
+    assert met.count("often") == 1
+    coder.encode(["rarea"])
+    assert met.count("rarea") == 2
+    assert len(coder.words) + len(coder.words.old) <= 16
+
+
+@pytest.mark.parametrize("text_bytes, strip", [(1, 1), (40, 3), (1 << 20, 1 << 16)])
+def test_ids_of_sliced_columns(tokenizer, monkeypatch, text_bytes, strip):
+    monkeypatch.setattr("coldwatch.llm.wordpieces.TEXT_BYTES", text_bytes)
+    monkeypatch.setattr("coldwatch.llm.wordpieces.STRIP", strip)
+    for texts in (HARD[2:-1], [None], ["", ""]):
+        column = pa.array(["before", *texts, "after"], pa.string()).slice(1, len(texts))
+        ids, sizes = documents_ids(default_path(), column, 1)
+        want = [whole(tokenizer, t) for t in texts]
+        assert ids.tolist() == [i for w in want for i in w]
+        assert sizes.tolist() == [len(w) for w in want]
+
+
 def hard_rows() -> list[tuple]:
     rows = [("s", i, t, 0, "p") for i, t in enumerate(HARD)]
     return [*rows, ("s", 3, "Plain words, here.", 0, "p"), ("s", None, "no id", 0, "p")]
